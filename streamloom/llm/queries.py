@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .line_dedup import line_dedup
 from .mixing import fair_queue
+from .quality import quality_scores
+from .token_counts import length_histogram
+from .url_filter import url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +28,48 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.filter("epoch = 0").select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+#: Changes of three block lists, as (list, kind, value, action, date).
+URL_LIST = [
+    ("spam", "domain", "cheap-pills.example.net", "add", "2024-01-10"),
+    ("spam", "domain", "cheap-pills.example.net", "remove", "2024-09-01"),
+    ("spam", "domain", "cheap-pills.example.net", "add", "2025-02-01"),
+    ("spam", "domain", "cheap-pills.example.com", "add", "2024-03-01"),
+    ("spam", "host", "tionsh.example.net", "add", "2024-11-05"),
+    ("spam", "host", "tionsh.example.net", "remove", "2024-11-20"),
+    ("adult", "domain", "ththth.example.org", "add", "2024-05-01"),
+    ("adult", "host", "m.thther.example.org", "add", "2024-02-01"),
+    ("adult", "host", "m.thther.example.org", "add", "2024-08-01"),
+    ("adult", "host", "m.thther.example.org", "remove", "2025-01-01"),
+    ("legal", "domain", "tionble.example.com", "add", "2025-03-15"),
+    ("legal", "domain", "example.org", "add", "2025-10-01"),
+    ("legal", "domain", "example.org", "remove", "2025-10-15"),
+    ("legal", "url", "http://tionsh.example.net/en/151?utm_source=feed", "add", "2023-06-01"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages carry no fetch time: page n counts as fetched n mod 730 days after 1 January 2024."""
+    pages = _table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 730).cast("int"))
+    entries = spark.createDataFrame(URL_LIST, "list string, kind string, value string, action string, at string").withColumn("at", F.col("at").cast("date"))
+    judged = url_filter(pages.select("page_id", "url", fetched.alias("fetched")), entries)
+    return judged.select("page_id", "host", "fetched", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
+    "op8_url_filter": op8_url_filter,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,4 +101,15 @@ select doc_id, size, source_size, target,
   + greatest(0, least(size, floor(target)::bigint - source_size - upto + size))
   + greatest(0, least(size, floor(target)::bigint - 2 * source_size - upto + size)))::bigint as taken
 from q join t on q.source is not distinct from t.source""",
+    "op8_url_filter": """
+with e(name, kind, value, action, day) as (values """ + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in URL_LIST) + """),
+i as (select name, kind, value, day::date as since, action, lead(day::date) over (partition by name, kind, value order by day, action) as until from e),
+v as (select * from i where action = 'add' and (until is null or until > since)),
+c as (select page_id, url, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') as host,
+  date '2024-01-01' + (page_id % 730)::int as fetched from pages),
+h as (select c.page_id, string_agg(distinct v.name, ',' order by v.name) as lists from c join v
+  on c.fetched >= v.since and (v.until is null or c.fetched < v.until)
+  and (v.kind = 'host' and c.host = v.value or v.kind = 'domain' and (c.host = v.value or ends_with(c.host, '.' || v.value))
+    or v.kind = 'url' and regexp_replace(lower(c.url), '#.*$', '') = v.value) group by c.page_id)
+select c.page_id, c.host, c.fetched, coalesce(h.lists, '') as lists, h.page_id is not null as blocked from c left join h on c.page_id = h.page_id""",
 }
