@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .lang_id import identify
 from .line_dedup import line_dedup
 from .mixing import fair_queue
 from .quality import quality_scores
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc.doc_id", "held_out", "lang_pred", "score")
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +76,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lang_id": op1_lang_id,
     "op2_ann": op2_ann,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
