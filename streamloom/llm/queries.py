@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .lang_id import identify
 from .line_dedup import line_dedup
+from .minhash import near_duplicates
 from .mixing import fair_queue
 from .quality import quality_scores
 from .token_counts import length_histogram
@@ -75,6 +76,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "fetched", F.array_join("lists", ",").alias("lists"), "blocked")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
+    return found.select("doc.doc_id", "n_shingles", "component_id", F.col("doc.doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_ann": op2_ann,
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_minhash": op9_minhash,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -125,4 +132,17 @@ h as (select c.page_id, string_agg(distinct v.name, ',' order by v.name) as list
   and (v.kind = 'host' and c.host = v.value or v.kind = 'domain' and (c.host = v.value or ends_with(c.host, '.' || v.value))
     or v.kind = 'url' and regexp_replace(lower(c.url), '#.*$', '') = v.value) group by c.page_id)
 select c.page_id, c.host, c.fetched, coalesce(h.lists, '') as lists, h.page_id is not null as blocked from c left join h on c.page_id = h.page_id""",
+    "op9_minhash": f"""
+with recursive w as (select doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^ \\x09-\\x0D]+') as ws from documents),
+g as (select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else [array_to_string(ws[i:i+3], ' ') for i in range(1, len(ws) - 2)] end) as s from w),
+s as (select distinct doc_id, s from g),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union select b, a from l),
+r(node, seen) as (select doc_id, doc_id from documents union select r.node, e.b from r join e on r.seen = e.a),
+c as (select node, min(seen) as root from r group by node)
+select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.root as component_id, w.doc_id = c.root as kept
+from w left join n on w.doc_id = n.doc_id join c on w.doc_id = c.node""",
 }
