@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .decontaminate import leaks
 from .lang_id import identify
 from .line_dedup import line_dedup
 from .minhash import near_duplicates
@@ -81,6 +82,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_shingles", "component_id", F.col("doc.doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_ann": op2_ann,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
     "op9_minhash": op9_minhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
