@@ -14,6 +14,7 @@ from .line_dedup import line_dedup
 from .minhash import near_duplicates
 from .mixing import fair_queue
 from .quality import quality_scores
+from .suffix_dedup import repeated_spans
 from .token_counts import length_histogram
 from .url_filter import url_filter
 
@@ -31,6 +32,11 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spans.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(_table(spark, sf_dir, "documents"))
     return kept.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -89,6 +95,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_ann": op2_ann,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
