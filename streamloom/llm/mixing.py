@@ -37,7 +37,7 @@ def source_targets(sizes: DataFrame, cycle: int = 3, epochs: int = 3) -> DataFra
     )
     level = (F.col("budget") - F.col("spent")).cast("double") / F.col("open")
     s = s.withColumn("level", F.when(level <= F.col("dry"), level))
-    s = s.withColumn("horizon", F.min("level").over(Window.partitionBy(F.lit(1))))
+    s = s.withColumn("horizon", F.max("level").over(Window.partitionBy(F.lit(1))))
     return s.select("source", "source_size", "weight", F.least((F.col("source_size") * epochs).cast("double"), F.col("weight") * F.col("horizon")).alias("target"))
 
 

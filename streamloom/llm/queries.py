@@ -126,7 +126,7 @@ r as (select *, (3 * source_size)::double / weight as dry from w),
 v as (select *, (sum(source_size) over ())::bigint as budget,
     coalesce(sum(3 * source_size) over (order by dry, source is null, source rows between unbounded preceding and 1 preceding), 0)::bigint as spent,
     (sum(weight) over (order by dry, source is null, source rows between current row and unbounded following))::bigint as open from r),
-h as (select min((budget - spent)::double / open) as horizon from v where (budget - spent)::double / open <= dry),
+h as (select max((budget - spent)::double / open) as horizon from v where (budget - spent)::double / open <= dry),
 t as (select source, source_size, least((3 * source_size)::double, weight * horizon) as target from v, h),
 q as (select doc_id, source, size, (sum(size) over (partition by source order by key, size rows unbounded preceding))::bigint as upto from d)
 select doc_id, size, source_size, target,
