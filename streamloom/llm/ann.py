@@ -14,7 +14,7 @@ from .common import hash_pair, written
 
 #: Vectors that the curves are fitted on; every vector is indexed.
 SAMPLE = 8192
-CURVES, DIMS, BITS = 32, 8, 7
+CURVES, FIRST, DIMS, BITS = 32, 4, 8, 7
 #: Rows of a key window that meet in one task: larger windows are dealt over several.
 CHUNK, QUERY_CHUNK = 8192, 4096
 #: Ranges that a curve can be cut into, and the recall that the cut must reach on the sample.
@@ -126,9 +126,9 @@ def nearest(vectors: DataFrame, query_mod: int = 20, k: int = 20) -> DataFrame:
     beside it. Range by range the best are reranked on the original vectors, then merged over curves.
 
     The cut is fitted on a bounded sample (``fit_curves``), every point is indexed. Ranges of over
-    ``CHUNK`` points are dealt over several tasks, queries too, so no task grows with the input. On
-    the sample each query also finds a score that four times as many points reach at least; ranges
-    send on nothing below it.
+    ``CHUNK`` points are dealt over several tasks, queries too, so no task grows with the input. The
+    ``FIRST`` curves give each query k points; of the other curves, ranges send on only what is no
+    worse.
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``. Vectors that are null, zero, hold
     null or non-finite components, or differ in length from that of the smallest valid id, take no
@@ -157,48 +157,51 @@ def nearest(vectors: DataFrame, query_mod: int = 20, k: int = 20) -> DataFrame:
     fitted = np.array([r["embedding"] for r in sample], np.float32).astype(np.float64)
     longest = max(np.sqrt(first["square"]), np.sqrt((fitted**2).sum(1)).max())
     curves = fit_curves(fitted, longest, k)
-    shared = spark.sparkContext.broadcast((curves, fitted))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        curves, fitted = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            point, asked = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dims)
-            raw = pa.array([r.tobytes() for r in x], pa.binary())
-            wide_x = x.astype(np.float64)
-            data, ask = curves.lifted(wide_x, False), curves.lifted(wide_x[asked], True)
-            floor = np.full(len(ask), -np.inf)
-            if len(fitted) > 4 * wide and len(ask):
-                near = wide_x[asked] @ fitted.T
-                floor = np.partition(near, -4 * wide, 1)[:, -4 * wide]
-                floor -= 1e-9 * np.abs(floor)  # products of one pair may differ in the last bits
-            which = pa.array(np.flatnonzero(asked))
-            for c in range(len(curves.bounds)):
-                at = np.searchsorted(curves.bounds[c], curves.keys(data, c), "right")
-                cols = [pa.array(np.full(len(x), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.zeros(len(x), bool)), point, raw, pa.array(np.zeros(len(x)))]
-                yield pa.RecordBatch.from_arrays(cols, names=["curve", "range", "is_query", "point", "raw", "floor"])
-                if len(ask):
+    shared = spark.sparkContext.broadcast(curves)
+    names = ["curve", "range", "is_query", "point", "raw", "floor"]
+
+    def place(some: range):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            curves = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                point, asked = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+                x = batch.column(1).flatten().to_numpy().reshape(-1, dims)
+                raw = pa.array([r.tobytes() for r in x], pa.binary())
+                data, ask = curves.lifted(x.astype(np.float64), False), curves.lifted(x[asked].astype(np.float64), True)
+                which = pa.array(np.flatnonzero(asked))
+                for c in some:
+                    at = np.searchsorted(curves.bounds[c], curves.keys(data, c), "right")
+                    cols = [pa.array(np.full(len(x), c, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.zeros(len(x), bool)), point, raw, pa.array(np.zeros(len(x)))]
+                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    if not len(ask):
+                        continue
                     at = np.searchsorted(curves.bounds[c], curves.keys(ask, c), "right")
                     for beside in (-1, 0, 1):
                         ok = pa.array((at + beside >= 0) & (at + beside <= len(curves.bounds[c])))
-                        cols = [pa.array(np.full(len(ask), c, np.int32)), pa.array((at + beside).astype(np.int32)), pa.array(np.ones(len(ask), bool)), point.take(which), raw.take(which), pa.array(floor)]
-                        yield pa.RecordBatch.from_arrays([x.filter(ok) for x in cols], names=["curve", "range", "is_query", "point", "raw", "floor"])
+                        cols = [pa.array(np.full(len(ask), c, np.int32)), pa.array((at + beside).astype(np.int32)), pa.array(np.ones(len(ask), bool)), point.take(which), raw.take(which), batch.column(3).take(which)]
+                        yield pa.RecordBatch.from_arrays([v.filter(ok) for v in cols], names=names)
 
-    placed = points.select("point", "embedding", "asked").mapInArrow(place, "curve int, range int, is_query boolean, point long, raw binary, floor double")
+        return run
+
+    kinds = "curve int, range int, is_query boolean, point long, raw binary, floor double"
+    lowest = points.withColumn("floor", F.lit(float("-inf"))).select("point", "embedding", "asked", "floor")
     # one row per curve and range, at most CURVES * 2048
-    counts = placed.groupBy("curve", "range").agg(F.count_if(~F.col("is_query")).alias("n"), F.count_if("is_query").alias("q")).collect()
-    split = {(r["curve"], r["range"]): (-(-r["n"] // CHUNK), -(-r["q"] // QUERY_CHUNK)) for r in counts if r["n"] > CHUNK or r["q"] > QUERY_CHUNK}
-    placed = placed.withColumns({"part": F.lit(0), "asked": F.lit(0)})
-    if split:
-        table = F.broadcast(spark.createDataFrame([(c, r, n, q) for (c, r), (n, q) in split.items()], "curve int, range int, parts int, asks int"))
+    counts = lowest.mapInArrow(place(range(CURVES)), kinds).groupBy("curve", "range").agg(F.count_if(~F.col("is_query")).alias("n"), F.count_if("is_query").alias("q")).collect()
+    split = [(r["curve"], r["range"], -(-r["n"] // CHUNK), -(-r["q"] // QUERY_CHUNK)) for r in counts if r["n"] > CHUNK or r["q"] > QUERY_CHUNK]
+
+    def dealt(placed: DataFrame) -> DataFrame:
+        """Large ranges in parts: points once for each part of the queries, and the other way round."""
+        if not split:
+            return placed.withColumns({"part": F.lit(0), "asked": F.lit(0)})
+        table = F.broadcast(spark.createDataFrame(split, "curve int, range int, parts int, asks int"))
         own = lambda n: F.pmod(F.xxhash64("point"), F.greatest(n, F.lit(1))).cast("int")
         every = lambda n: F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1)
         n, q = F.coalesce("parts", F.lit(1)), F.coalesce("asks", F.lit(1))
-        placed = placed.drop("part", "asked").join(table, ["curve", "range"], "left")
+        placed = placed.join(table, ["curve", "range"], "left")
         placed = placed.withColumn("part", F.explode(F.when(F.col("is_query"), every(n)).otherwise(F.array(own(n)))))
-        placed = placed.withColumn("asked", F.explode(F.when(F.col("is_query"), F.array(own(q))).otherwise(every(q)))).drop("parts", "asks")
+        return placed.withColumn("asked", F.explode(F.when(F.col("is_query"), F.array(own(q))).otherwise(every(q)))).drop("parts", "asks")
 
     def rerank(table: pa.Table) -> pa.Table:
         is_query = table["is_query"]
@@ -217,12 +220,23 @@ def nearest(vectors: DataFrame, query_mod: int = 20, k: int = 20) -> DataFrame:
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"query": pa.array(parts[0], pa.int64()), "point": pa.array(parts[1], pa.int64()), "score": pa.array(parts[2], pa.float64())})
 
-    met = placed.groupBy("curve", "range", "part", "asked").applyInArrow(rerank, "query long, point long, score double")
-    met = met.groupBy("query", "point").agg(F.max("score").alias("score"))
+    def reranked(table: DataFrame, some: range) -> DataFrame:
+        placed = dealt(table.mapInArrow(place(some), kinds))
+        return placed.groupBy("curve", "range", "part", "asked").applyInArrow(rerank, "query long, point long, score double")
+
     best = Window.partitionBy("query").orderBy(F.desc("score"), "point")
-    met = met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= wide).drop("place")
+
+    def merged(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query", "point").agg(F.max("score").alias("score"))
+        return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= wide).drop("place")
+
+    begun = written(merged(reranked(lowest, range(FIRST))))
+    floors = begun.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") == wide)
+    floors = floors.select(F.col("query").alias("point"), (F.col("least") - 1e-9 * F.abs("least")).alias("floor"))  # one pair's products may differ in the last bits
+    raised = points.select("point", "embedding", "asked").join(floors, "point", "left").select("point", "embedding", "asked", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    found = merged(begun.unionByName(reranked(raised, range(FIRST, CURVES))))
     # back from points to ids, and from asking points to the queries that share them
-    members = met.join(points.select("point", "ids"), "point").withColumn("vec_id", F.explode("ids"))
+    members = found.join(points.select("point", "ids"), "point").withColumn("vec_id", F.explode("ids"))
     short = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     members = members.withColumn("place", F.row_number().over(short)).filter(F.col("place") <= 2 * wide).select("query", "vec_id", "score")
     who = queries.join(points.filter("asked").select("h1", "h2", F.col("point").alias("query")), ["h1", "h2"]).select("query_id", "query")
