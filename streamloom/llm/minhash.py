@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, hash_pair, written
+from .common import doc_key, hash_pair, packed, unpacked, written
 from .components import components
 from .shingles import byte_slices, mixed, shingle_hashes, shingle_sets
 
@@ -107,6 +107,12 @@ def _links(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple
     return out
 
 
+def _base(docs: DataFrame, columns: list[str]) -> DataFrame:
+    t1, t2 = hash_pair(F.col("body"))
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), doc_key(docs["doc_id"]).alias("did"), F.coalesce(docs["text"], F.lit("")).alias("body"))
+    return rows.withColumns({"t1": t1, "t2": t2})
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents whose shingle sets are linked by ``100 * both >= percent * either``.
 
@@ -128,8 +134,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     are one document and share a component; rows without one are one document after all others. An
     empty table gives an empty result.
     """
-    t1, t2 = hash_pair(F.col("body"))
-    base = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc"), doc_key(docs["doc_id"]).alias("did"), F.coalesce(docs["text"], F.lit("")).alias("body")).withColumns({"t1": t1, "t2": t2})
+    base = _base(docs, [c for c in docs.columns if c != "text"])
+    rows = _rooted(base, words, percent)
+    return base.select("doc", "did", "t1", "t2").join(rows, ["did", "t1", "t2"]).select("doc", "did", "n_shingles", F.col("root").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, all columns as they are, of which the smallest id of each group of
+    ``near_duplicates`` stays. Of several rows with that id one stays."""
+    base, ident = _base(docs, docs.columns), ["did", "t1", "t2"]
+    first = _rooted(base, words, percent).filter("did = root").groupBy("did").agg(F.min(F.struct("t1", "t2")).alias("t")).select("did", "t.t1", "t.t2")
+    return base.select("doc", *ident).join(first, ident).dropDuplicates(ident).select("doc.*")
+
+
+def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
+    """``did``, ``t1``, ``t2``, ``n_shingles`` and ``root`` of each different text of each id."""
     made = base.select("did", "body", "t1", "t2").mapInArrow(_sketched(words), "did long, t1 long, t2 long, n_shingles long, s1 long, s2 long, keys array<long>")
     made = written(made)
     classes = made.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("did").alias("cls"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min_by(F.struct("t1", "t2"), "did").alias("text"))
@@ -151,11 +170,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     placed = members.join(sizes, "grp").withColumn("mine", mine).withColumn("pair", F.explode(every))
     bin_ = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bins)))
     placed = placed.select("cls", "t1", "t2", "grp", "mine", (F.col("blocks") > 1).alias("split"), bin_.alias("bin"), "pair.i", "pair.j")
-    texts = base.select(F.col("did").alias("cls"), "t1", "t2", "body").join(placed, ["cls", "t1", "t2"])
+    # members grow with the input, so this join is the same at every size: never a broadcast
+    texts = packed(base.select("did", "t1", "t2", "body")).withColumnRenamed("did", "cls").join(placed.hint("merge"), ["cls", "t1", "t2"])
 
     def link(table: pa.Table) -> pa.Table:
-        column = table["body"].combine_chunks()
-        sets = list(shingle_sets(column if isinstance(column, pa.Array) else pa.chunked_array(column).combine_chunks(), words))
+        sets = list(shingle_sets(pa.array(map(unpacked, table["packed"].to_pylist()), pa.large_binary()), words))
         cls, grp, side = (table[c].to_numpy() for c in ("cls", "grp", "mine"))
         order = np.argsort(grp, kind="stable")
         out = []
@@ -169,5 +188,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = components(confirmed)
     same = classes.join(found, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "cls").alias("root"))
     rows = made.select("did", "t1", "t2", "n_shingles", "s1", "s2").distinct().join(same, ["s1", "s2"], "left")
-    rows = rows.groupBy("did", "t1", "t2").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.coalesce("root", "did")).alias("root"))
-    return base.select("doc", "did", "t1", "t2").join(rows, ["did", "t1", "t2"]).select("doc", "did", "n_shingles", F.col("root").alias("component_id"))
+    return rows.groupBy("did", "t1", "t2").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.coalesce("root", "did")).alias("root"))

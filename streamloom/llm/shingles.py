@@ -29,7 +29,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def byte_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of texts; null texts are empty."""
-    if column.type != pa.large_string():
+    if column.type not in (pa.large_string(), pa.large_binary()):
         column = column.cast(pa.large_string())
     if not len(column):
         return
