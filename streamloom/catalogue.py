@@ -163,7 +163,8 @@ _CONFIG = [("events", "click", "kafka", "dwd_click"), ("events", "view", "kafka"
     select event_id, kind, sink_table from events join c on event_type = op"""
 )
 def config_route(spark, sf):
-    config = spark.createDataFrame(_CONFIG, "source_table string, operate_type string, sink_type string, sink_table string").withColumns({c: F.lit(None).cast("string") for c in ("sink_columns", "sink_pk", "sink_extend")})
+    values = ", ".join(str(row) for row in _CONFIG)
+    config = spark.sql(f"select * from values {values} as c(source_table, operate_type, sink_type, sink_table)").withColumns({c: F.lit(None).cast("string") for c in ("sink_columns", "sink_pk", "sink_extend")})
     facts = _t(spark, sf, "events").select("event_id", "event_type", F.lit("events").alias("table"), F.create_map(F.lit("user_id"), F.col("user_id").cast("string")).alias("after"))
     parts = routing.route(facts, routing.current_config(config), "table", "event_type")
     rows = parts["kafka"].withColumn("kind", F.lit("kafka")).unionByName(parts["hbase"].withColumn("kind", F.lit("hbase")))
