@@ -15,7 +15,7 @@ _LOWER[65:91] += 32
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)[_LOWER]
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Texts are worked on in slices of about so many bytes; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -10,16 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, hash_pair, written
+from .common import doc_key, hash_pair, packed, unpacked, written
 from .decontaminate import _BASE, _INVERSE
 from .shingles import byte_slices, mixed
 
 #: Bytes of the grams of which each window's least hash names the group that decides about it.
 GRAM = 64
-#: Bytes of different strings that meet in one task; a group of more is decided by window fingerprints.
-TASK_BYTES = 4 << 20
+#: Bytes of different strings that meet in one task, as far as groups can be put together or apart; a
+#: group of over MOST_BYTES is decided by window fingerprints.
+TASK_BYTES, MOST_BYTES = 1 << 19, 1 << 20
 #: Longer texts are read in pieces of this size, which overlap by a window.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -72,7 +73,7 @@ def _suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     left = ends - np.arange(n)
     for i in range(7):
         ahead = np.zeros(n, np.int64)
-        ahead[: n - i] = symbols[i:]
+        ahead[: max(0, n - i)] = symbols[i:]
         key = (key << 9) | np.where(left >= i, ahead, 0)
     step = 7
     while True:
@@ -82,7 +83,7 @@ def _suffix_order(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if ranks[order[-1]] == n or step > left.max():
             return order
         ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = ranks[step:]
+        ahead[: max(0, n - step)] = ranks[step:]
         key = ranks * (n + 1) + np.where(left >= step, ahead, 0)
         step *= 2
 
@@ -106,48 +107,44 @@ def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
     symbols[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
     ends = np.repeat(at[1:] - 1, sizes + 1)
     n, m = len(symbols), len(strings)
-    order = _suffix_order(symbols, ends)
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
-    before = order - 1
+    order = _suffix_order(symbols, ends).astype(np.int32)  # a task's places fit 32 bits
+    symbols = symbols.astype(np.int16)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
+    del ends
     starts = np.zeros(n, bool)
     starts[at[:-1]] = True
     opens = starts[order]  # nothing stands before a string's first byte
-    last = np.where(opens, 0, symbols[before])
-    step_back = np.where(opens, -1, row[before])
-    came = np.full(n, -1, np.int64)  # the row that steps back to a row
-    came[step_back[~opens]] = np.flatnonzero(~opens)
+    last = np.where(opens, 0, symbols[order - 1])
+    back = row[order - 1]
+    # the transform as runs of one byte: rows of a run step back to rows in a row
+    run_at = np.flatnonzero(np.concatenate([[True], (np.diff(last) != 0) | opens[1:]]))
+    run_end = np.append(run_at[1:], n)
+    run_byte, run_to, run_open = last[run_at].astype(np.int64), back[run_at].astype(np.int64), opens[run_at]
     first_symbol = symbols[order]
+    del last, back, row, symbols
     known = np.zeros(n + 1, bool)
-    known[0] = known[n] = True
-    known[: m + 1] = True
-    borders = np.concatenate([np.arange(m + 1), np.flatnonzero(np.diff(first_symbol)) + 1, [n]])
-    borders = np.unique(borders)
+    borders = np.unique(np.concatenate([np.arange(m + 1), np.flatnonzero(np.diff(first_symbol)) + 1, [n]]))
     known[borders] = True
     low, high = borders[:-1], borders[1:]
     for _ in range(1, length):
         if not len(low):
             break
-        total = int((high - low).sum())
-        if total * 8 > n:  # most rows: in order of the rows they step back to, a new interval is a run
-            owner = np.full(n + 1, -1, np.int64)
-            owner[np.arange(total) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)] = np.repeat(np.arange(len(low)), high - low)
-            mine = owner[came]  # -1 reads the spare last place
-            change = np.concatenate([[True], (np.diff(mine) != 0) | (np.diff(first_symbol) != 0)])
-            begin = np.flatnonzero(change)
-            end = np.concatenate([begin[1:], [n]])
-            some = mine[begin] >= 0
-            new_low, new_high = begin[some], end[some]
-        else:
-            rows = np.arange(total) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
-            key = np.repeat(np.arange(len(low)), high - low) * 257 + last[rows]
-            ok = ~opens[rows]
-            key, to = key[ok], step_back[rows[ok]]
-            by = np.lexsort((to, key))
-            key, to = key[by], to[by]
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0])) if len(key) else np.empty(0, np.int64)
-            new_low = to[begin]
-            new_high = to[np.concatenate([begin[1:], [len(key)]]) - 1] + 1 if len(key) else new_low
+        first = np.searchsorted(run_at, low, "right") - 1
+        many = np.searchsorted(run_at, high - 1, "right") - first
+        owner = np.repeat(np.arange(len(low)), many)
+        run = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        some = ~run_open[run]
+        owner, run = owner[some], run[some]
+        if not len(run):
+            break
+        by = np.argsort(owner * 257 + run_byte[run], kind="stable")
+        owner, run = owner[by], run[by]
+        begin = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(run_byte[run]) != 0)]))
+        end = np.append(begin[1:], len(run)) - 1
+        head, tail = run[begin], run[end]
+        new_low = run_to[head] + np.maximum(low[owner[begin]] - run_at[head], 0)
+        new_high = run_to[tail] + np.minimum(high[owner[end]], run_end[tail]) - run_at[tail]
         fresh = ~known[new_high]
         low, high = new_low[fresh], new_high[fresh]
         known[high] = True
@@ -192,28 +189,13 @@ def _stretched(length: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as zstandard frames, so that a shuffle moves half the bytes."""
-    import zstandard
-
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([pack.compress((t.as_py() or "").encode()) for t in batch.column(0)], pa.binary())], names=["did", "t1", "t2", "packed"])
-
-
-def _unpacked(packed: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.decompress(packed)
-
-
 def _cut_out(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for packed, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for frame, wanted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 if wanted:
-                    text = _unpacked(packed.as_py())
+                    text = unpacked(frame.as_py())
                     rows += [(w["gram"], w["name"], w["big"], text[w["start"] : w["start"] + w["windows"] + length - 1]) for w in wanted]
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -241,8 +223,8 @@ def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for packed, runs in zip(batch.column(3), batch.column(4).to_pylist(), strict=True):
-                text = _unpacked(packed.as_py())
+            for frame, runs in zip(batch.column(3), batch.column(4).to_pylist(), strict=True):
+                text = unpacked(frame.as_py())
                 edge = np.zeros(len(text) + 1, np.int64)
                 for r in runs or ():
                     edge[r["a"]] += 1
@@ -267,8 +249,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
        counted: those that occur twice repeat as a whole, whatever their number.
     3. One stretch of each content whose gram has other contents is cut out of its text. Grams are
        put together to tasks of ``TASK_BYTES``; each builds a suffix array and its Burrows-Wheeler
-       transform and expands intervals up to ``length`` (``repeated_windows``). Grams with more
-       bytes, as at the borders of a passage in very many documents, are decided by counting 128-bit
+       transform and expands intervals up to ``length`` (``repeated_windows``). Grams of over
+       ``MOST_BYTES``, as at the borders of a passage in very many documents, are decided by counting 128-bit
        fingerprints of their windows, whatever their number.
     4. The repeated windows of each content go to all its places, and the texts lose what they cover.
 
@@ -290,13 +272,12 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     contents = written(found.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), F.min("did").alias("did"), F.max("windows").alias("windows")))
     grams = contents.groupBy("gram").agg(F.count(F.lit(1)).alias("contents"), F.sum(F.col("windows") + (length - 1)).alias("bytes")).filter("contents > 1")
     grams = written(grams.select("gram", "bytes"))
-    picked = contents.join(grams, "gram").select("gram", "name", "did", F.lit(True).alias("picked"), (F.col("bytes") > TASK_BYTES).alias("big"))
+    picked = contents.join(grams, "gram").select("gram", "name", "did", F.lit(True).alias("picked"), (F.col("bytes") > MOST_BYTES).alias("big"))
     wanted = found.join(picked, ["gram", "name", "did"], "left")
     wanted = wanted.groupBy(*ident).agg(F.collect_list(F.when(F.col("picked"), F.struct("gram", "name", "big", "start", "windows"))).alias("wanted"))
-    packed = long.mapInArrow(_packed, "did long, t1 long, t2 long, packed binary")
-    held = written(packed.join(wanted, ident).dropDuplicates(ident))
+    held = written(packed(long.select(*ident, "body")).join(wanted, ident).dropDuplicates(ident))
     cut = held.select("packed", "wanted").mapInArrow(_cut_out(length), "gram long, name long, big boolean, bytes binary")
-    total = grams.filter(F.col("bytes") <= TASK_BYTES).agg(F.sum("bytes")).first()[0] or 0
+    total = grams.filter(F.col("bytes") <= MOST_BYTES).agg(F.sum("bytes")).first()[0] or 0
     bins = max(1, -(-2 * total // TASK_BYTES))
 
     def expand(table: pa.Table) -> pa.Table:
@@ -311,7 +292,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
 
     small = cut.filter(~F.col("big")).withColumn("bin", F.pmod(F.xxhash64("gram"), F.lit(bins)))
     marks = small.groupBy("bin").applyInArrow(expand, "gram long, name long, a long, b long")
-    if grams.filter(F.col("bytes") > TASK_BYTES).limit(1).count():
+    if grams.filter(F.col("bytes") > MOST_BYTES).limit(1).count():
         prints = cut.filter("big").select("gram", "name", "bytes").mapInArrow(_fingerprints(length), "gram long, name long, at long, f1 long, f2 long")
         twice = prints.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f1", "f2")
         marks = marks.unionByName(prints.join(twice, ["f1", "f2"]).select("gram", "name", F.col("at").alias("a"), (F.col("at") + 1).alias("b")))
