@@ -29,11 +29,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def byte_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of texts; null texts are empty."""
-    if column.type not in (pa.large_string(), pa.large_binary()):
-        column = column.cast(pa.large_string())
     if not len(column):
         return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = column.type in (pa.large_string(), pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32).astype(np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
     start = 0
     while start < len(column):
