@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH and exact edit distances."""
+"""Benchmark decontamination: pieces that the edits leave, CGK embedding, bit-sampling LSH and exact edit distances."""
 
 from __future__ import annotations
 
@@ -13,8 +13,12 @@ from .shingles import byte_slices, mixed
 
 #: A passage is a leak of an item if it takes at most this share of the item's bytes in edits.
 MAX_EDITS = 0.15
-#: Bytes in a row that a window must share with an item to be embedded, at the place that they have in the item.
-SEED = 16
+#: Bytes of a piece of an item, and how many pieces at least must then be left after all edits (longest first).
+PIECES = ((5, 4), (4, 3), (3, 2), (3, 1), (2, 1), (1, 1))
+#: Left pieces asked for, where an item has more: the items' rarest pieces do.
+ENOUGH = 6
+#: Places of pieces in texts that are held at once; longer runs of texts are halved.
+ENTRIES = 4 << 20
 #: Shorter items name nothing and are not looked for.
 SHORTEST = 32
 #: Sampled places of a repetition; the repetitions follow from the recall wanted at MAX_EDITS.
@@ -24,6 +28,7 @@ ITEM_BYTES = 16 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
+_TABLE = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -33,16 +38,73 @@ def folded_bytes(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def seed_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the ``SEED`` bytes at each place."""
-    if len(data) < SEED:
-        return np.empty(0, np.uint64)
-    power = np.full(len(data), _BASE)
-    power[0] = 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(power), out=sums[1:])
-    power[1:] = _INVERSE
-    return mixed((sums[SEED:] - sums[:-SEED]) * np.cumprod(power)[: len(data) - SEED + 1])
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """The ``q`` bytes at each place as a number."""
+    out = np.zeros(max(0, len(data) - q + 1), np.uint64)
+    for i in range(q if len(out) else 0):
+        out = (out << np.uint64(8)) | data[i : len(out) + i]
+    return out
+
+
+def _slots(codes: np.ndarray) -> np.ndarray:
+    return ((codes * _BASE) >> np.uint64(64 - _TABLE)).astype(np.int64)
+
+
+class Pieces:
+    """Pieces of ``q`` bytes of some items, which do not overlap: ``most`` edits change at most as many of
+    them, so a passage within the edits keeps ``need`` of an item's ``most + need`` pieces, and
+    the places at which these would let the item begin lie within ``most`` of each other."""
+
+    def __init__(self, q: int, which: list[int], items: list[np.ndarray], most: np.ndarray):
+        self.q, self.need = q, np.zeros(len(items), np.int64)
+        every, times = np.unique(np.concatenate([grams(items[i], q) for i in which]), return_counts=True)
+        codes, owner, offset = [], [], []
+        for i in which:
+            mine = grams(items[i], q)[::q]
+            self.need[i] = min(ENOUGH, len(mine) - int(most[i]))
+            rare = np.argsort(times[np.searchsorted(every, mine)], kind="stable")[: int(most[i] + self.need[i])]
+            codes.append(mine[rare])
+            owner.append(np.full(len(rare), i))
+            offset.append(rare * q)
+        code = np.concatenate(codes)
+        order = np.argsort(code, kind="stable")
+        self.owner, self.offset = np.concatenate(owner)[order], np.concatenate(offset)[order]
+        self.codes, self.low, self.many = np.unique(code[order], return_index=True, return_counts=True)
+        self.seen = np.zeros(1 << _TABLE, bool)
+        self.seen[_slots(self.codes)] = True
+        self.least, self.widest = int(self.need[which].min()), int(most[which].max())
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces stand inside one text, and which."""
+        codes = grams(data, self.q)
+        at = np.flatnonzero(self.seen[_slots(codes)])
+        place = np.searchsorted(self.codes, codes[at])
+        place[place == len(self.codes)] = 0
+        inside = np.zeros(len(data) + 1, bool)
+        for j in range(1, self.q):
+            inside[np.maximum(offsets[1:] - j, 0)] = True  # would end in a later text
+        real = (self.codes[place] == codes[at]) & ~inside[at]
+        return at[real], place[real]
+
+
+def within(masks: list[int], length: int, most: int, region: bytes) -> bool:
+    """Whether a part of region is within ``most`` edits of the item with these places of each byte (Myers' bit vectors)."""
+    full, high = (1 << length) - 1, 1 << (length - 1)
+    plus, minus, score = full, 0, length
+    for byte in region:
+        equal = masks[byte]
+        vertical = equal | minus
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, down = minus | (full & ~(across | plus)), plus & across
+        if up & high:
+            score += 1
+        elif down & high:
+            score -= 1
+            if score <= most:
+                return True
+        up, down = (up << 1) & full, (down << 1) & full
+        plus, minus = down | (full & ~(vertical | up)), up & vertical
+    return score <= most
 
 
 def cgk(windows: np.ndarray, lengths: np.ndarray, coins: np.ndarray) -> np.ndarray:
@@ -102,14 +164,12 @@ class Finder:
         self.ids, self.max_edits = [ids[i] for i in keep], max_edits
         self.items = [folded_bytes(np.frombuffer(texts[i], np.uint8)) for i in keep]
         self.lengths = np.array([len(x) for x in self.items], np.int64)
-        found = [seed_hashes(x) for x in self.items]
-        hashes = np.concatenate([*found, np.empty(0, np.uint64)])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.owner = np.repeat(np.arange(len(found)), [len(x) for x in found])[order]
-        self.offset = np.concatenate([*(np.arange(len(x)) for x in found), np.empty(0, np.int64)])[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[(hashes & np.uint64(len(self.seen) - 1)).astype(np.int64)] = True
+        self.most = (self.max_edits * self.lengths).astype(np.int64)
+        kinds: dict[int, list[int]] = {}
+        for i, (n, most) in enumerate(zip(self.lengths.tolist(), self.most.tolist(), strict=True)):
+            kinds.setdefault(next(q for q, left in PIECES if n // q - most >= left), []).append(i)
+        self.pieces = [Pieces(q, which, self.items, self.most) for q, which in sorted(kinds.items())]
+        self.masks: dict[int, list[int]] = {}
         if self.items:
             self.coins = rng.integers(0, 2, (2 * int(self.lengths.max()) + 2, 256), dtype=np.int64)
             self.embedded = cgk(*self._stacked(self.items, self.lengths), self.coins)
@@ -134,8 +194,8 @@ class Finder:
         p = max(0.05, float(np.quantile(equal, 0.1))) ** BITS
         return int(np.clip(np.ceil(np.log(1 - recall) / np.log1p(-p)), 8, MOST_REPETITIONS))
 
-    def _collide(self, item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
-        """Whether a window and its item agree at all sampled places of some repetition."""
+    def _collisions(self, item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
+        """In how many repetitions a window and its item agree at all sampled places."""
         out = []
         for start in range(0, len(windows), 4096):
             part, which = windows[start : start + 4096], item[start : start + 4096]
@@ -143,42 +203,77 @@ class Finder:
             width = min(mine.shape[1], self.embedded.shape[1])
             places = np.minimum((self.samples[None] * (2 * self.lengths[which])[:, None, None]).astype(np.int64), width - 1)
             rows = np.arange(len(part))[:, None, None]
-            out.append((mine[rows, places] == self.embedded[which[:, None, None], places]).all(2).any(1))
-        return np.concatenate(out) if out else np.empty(0, bool)
-
-    def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, distance, start, end) for each text and the items that it leaks, the closest passage of each."""
+            out.append((mine[rows, places] == self.embedded[which[:, None, None], places]).all(2).sum(1))
+        return np.concatenate(out) if out else np.empty(0, np.int64)
+
+    def _near(self, item: int, region: np.ndarray, most: int) -> bool:
+        if item not in self.masks:
+            masks = [0] * 256
+            for at, byte in enumerate(self.items[item].tolist()):
+                masks[byte] |= 1 << at
+            self.masks[item] = masks
+        return within(self.masks[item], int(self.lengths[item]), most, region.tobytes())
+
+    def _places(self, pieces: Pieces, at: np.ndarray, place: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, text, begin) where enough pieces of an item let it begin within its edits of each other."""
+        many = pieces.many[place]
+        reach = int(self.lengths.max() + self.most.max()) + 1
+        if many.sum() > ENTRIES and len(at) and at[-1] - at[0] > 8 * reach:
+            middle = (int(at[0]) + int(at[-1])) // 2
+            left, right = np.searchsorted(at, [middle + reach, middle - reach])
+            yield from self._places(pieces, at[:left], place[:left], offsets)
+            yield from self._places(pieces, at[right:], place[right:], offsets)
+            return
+        text = np.searchsorted(offsets, at, "right") - 1
+        apart = at + (text + 1) * reach  # so texts are further apart than any item reaches
+        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - pieces.low[place], many)
+        span = np.int64(offsets[-1] + (len(offsets) + 1) * reach)
+        keys = np.sort(pieces.owner[entry] * span + np.repeat(apart, many) - pieces.offset[entry])
+        some = np.flatnonzero(keys[pieces.least - 1 :] - keys[: len(keys) - pieces.least + 1] <= pieces.widest)
+        item = keys[some] // span
+        last = some + pieces.need[item] - 1
+        some, item, last = (x[last < len(keys)] for x in (some, item, last))
+        enough = keys[last] - keys[some] <= self.most[item]
+        item, begin = item[enough], keys[some[enough]] - item[enough] * span
+        starts = offsets[:-1] + np.arange(1, len(offsets)) * reach
+        text = np.searchsorted(starts, begin + self.lengths[item], "right") - 1
+        yield item, text, begin - (text + 1) * reach
+
+    def find(self, data: np.ndarray, offsets: np.ndarray, any_item: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, distance, start, end) for each text and the items that it leaks, the closest
+        passage of each; with ``any_item``, a region that holds one, for each text that leaks any."""
         data = folded_bytes(data)
-        if not self.items or len(data) < SEED:
+        if not self.items or not len(data):
             return []
-        hashes = seed_hashes(data)
-        at = np.flatnonzero(self.seen[(hashes & np.uint64(len(self.seen) - 1)).astype(np.int64)])
-        low, high = np.searchsorted(self.hashes, hashes[at], "left"), np.searchsorted(self.hashes, hashes[at], "right")
-        many = high - low
-        entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
-        at = np.repeat(at, many)
-        text = np.searchsorted(offsets, at, "right") - 1
-        inside = at + SEED <= offsets[text + 1]
-        at, text, entry = at[inside], text[inside], entry[inside]
-        if not len(at):
+        found = [part for pieces in self.pieces for part in self._places(pieces, *pieces.hits(data, offsets), offsets)]
+        item, text, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(item):
             return []
-        item, begin = self.owner[entry], at - self.offset[entry]
         order = np.lexsort((begin, item, text))
         text, item, begin = text[order], item[order], begin[order]
-        new = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(begin) > 0)])
-        text, item, begin = text[new], item[new], np.maximum(begin[new], offsets[text[new]])
+        # regions that overlap are one: of any passage in reach of a begin, no byte is left out
+        new = np.concatenate([[True], (np.diff(text) != 0) | (np.diff(item) != 0) | (np.diff(begin) > (self.lengths + 2 * self.most)[item[1:]])])
+        final = begin[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(begin) - 1]])]
+        text, item, begin = text[new], item[new], begin[new]
+        low = np.maximum(begin - self.most[item], offsets[text])
+        high = np.minimum(final + self.lengths[item] + self.most[item], offsets[text + 1])
+        begin = np.maximum(begin, offsets[text])
         end = np.minimum(begin + self.lengths[item], offsets[text + 1])
-        hit = self._collide(item, [data[a:b] for a, b in zip(begin, end, strict=True)])
+        # the likeliest first, so that the others only have to be as close
+        order = np.argsort(-self._collisions(item, [data[a:b] for a, b in zip(begin, end, strict=True)]), kind="stable")
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for t, i, a in zip(text[hit].tolist(), item[hit].tolist(), begin[hit].tolist(), strict=True):
-            most = int(self.max_edits * self.lengths[i])
+        done: set[int] = set()
+        for t, i, a, b in zip(*(x[order].tolist() for x in (text, item, low, high)), strict=True):
             known = best.get((t, i))
-            if known and (known[0] == 0 or abs(a - offsets[t] - known[1]) <= most):
-                continue  # the same passage, from another seed
-            low, high = max(a - most, int(offsets[t])), min(a + int(self.lengths[i]) + most, int(offsets[t + 1]))
-            distance, start, stop = closest(self.items[i], data[low:high])
-            if distance <= most and (known is None or distance < known[0]):
-                best[t, i] = (distance, start + low - int(offsets[t]), stop + low - int(offsets[t]))
+            if t in done or not self._near(i, data[a:b], known[0] if known else int(self.most[i])):
+                continue
+            if any_item:
+                done.add(t)
+                best[t, i] = (int(self.most[i]), a - int(offsets[t]), b - int(offsets[t]))
+                continue
+            distance, start, stop = closest(self.items[i], data[a:b])
+            passage = (distance, start + a - int(offsets[t]), stop + a - int(offsets[t]))
+            best[t, i] = min(known or passage, passage)
         return [(t, i, *found) for (t, i), found in best.items()]
 
 
@@ -197,10 +292,11 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
     """Documents with passages of benchmark items: ``doc_id``, ``item_id``, ``distance`` (byte edits),
     ``start``, ``end`` (bytes in the text), one row per document and item, for its closest passage.
 
-    A-Z count as a-z, and all white space as blanks. Windows of an item's size are placed where
-    ``SEED`` bytes of it stand in the text; they and the item are embedded by CGK, and repeated bit
-    sampling decides which windows to verify, with as many repetitions as give ``RECALL`` for
-    passages of ``max_edits``. Their exact edit distance, ends free, decides.
+    A-Z count as a-z, and all white space as blanks. Items are cut to pieces of which the edits must
+    leave some (``Pieces``), so every passage within ``max_edits`` has a region where these stand in
+    the text: none is missed, however the edits are spread. The windows of the regions and the item
+    are embedded by CGK, and repeated bit sampling says which to take first. The exact edit
+    distance, ends free, decides every region.
 
     Whole texts are searched where they are read; nothing is shuffled. The items are broadcast in
     sets of bounded size, one pass for each set. Null and empty texts or items, and items of under
@@ -241,7 +337,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDI
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for first, data, offsets in byte_slices(batch.column(place)):
-                    keep[[first + hit[0] for hit in shared.value.find(data, offsets)]] = False
+                    keep[[first + hit[0] for hit in shared.value.find(data, offsets, any_item=True)]] = False
                 yield batch.filter(pa.array(keep))
 
         return clean

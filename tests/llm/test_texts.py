@@ -280,3 +280,37 @@ def test_finder_recall():
 def test_hash_of_bytes_is_stable(spark):
     rows = table(spark, [(1, "a b c d e")])
     assert near_duplicates(rows).select(F.col("n_shingles")).first()[0] == 1
+
+
+def test_finder_misses_no_spread_edits():
+    """Edits at every so many bytes leave no long run: all passages within the edits are found, and no others."""
+    rng = random.Random(13)
+    items = [prose(rng, 35).encode()[: rng.randint(40, 200)] for _ in range(24)]
+    finder = Finder(list(range(24)), items)
+    for every in (16, 12, 8, 7):
+        texts = []
+        for item in items:
+            changed = bytearray(item)
+            changed[every - 1 :: every] = b"#" * len(changed[every - 1 :: every])
+            texts.append(prose(rng, 50).encode() + b" " + bytes(changed) + b" " + prose(rng, 50).encode())
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        want = {(t, i) for i, x in enumerate(items) for t in range(24) if closest(np.frombuffer(x, np.uint8), np.frombuffer(texts[t], np.uint8))[0] <= int(0.15 * len(x))}
+        assert want >= {(i, i) for i, x in enumerate(items) if len(x) // every <= int(0.15 * len(x))}
+        assert {hit[:2] for hit in finder.find(data, offsets)} == want
+        assert {hit[0] for hit in finder.find(data, offsets, any_item=True)} == {t for t, _ in want}
+
+
+def test_finder_against_all_places(monkeypatch):
+    rng, nrng = random.Random(14), np.random.default_rng(14)
+    items = ["".join(rng.choice("ab -") for _ in range(n)).encode() for n in (33, 40, 80, 150)] + [b"-" * 64]
+    texts = [b"", b"-" * 500, b"ab" * 100]
+    for _ in range(60):
+        item = rng.choice(items)
+        changed = bytes(edited(np.frombuffer(item, np.uint8), rng.choice([0, 0.1, 0.14, 0.15, 0.18]), nrng))
+        texts.append(rng.choice([b"", prose(rng, 9).encode()]) + changed + rng.choice([b"", prose(rng, 9).encode()]))
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    best = {(t, i): closest(np.frombuffer(x, np.uint8), np.frombuffer(text, np.uint8))[0] for i, x in enumerate(items) for t, text in enumerate(texts)}
+    for entries in (4 << 20, 2000):
+        monkeypatch.setattr("streamloom.llm.decontaminate.ENTRIES", entries)
+        got = {hit[:2]: hit[2] for hit in Finder(list(range(5)), items).find(data, offsets)}
+        assert got == {(t, i): n for (t, i), n in best.items() if n <= int(0.15 * len(items[i]))}
