@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, hash_pair, packed, unpacked, written
+from .common import LAST_ID, doc_key, hash_pair, packed, unpacked, written
 from .components import components
 from .shingles import byte_slices, mixed, shingle_hashes, shingle_sets
 
@@ -120,8 +120,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ``[\\x20\\x09-\\x0D]+``); a text with fewer words has its whole sequence as one element, one
     without words, or null, has none and is linked with nothing.
 
-    1. Each text is sketched where it is read; documents with equal sets become one class, under
-       their smallest id, so exact copies cost one row per map task.
+    1. Each text is sketched where it is read; documents with equal sets become one class with a
+       number of its own, so exact copies cost one row per map task.
     2. Band keys that several classes share link each of them with the smallest of the key, never all
        pairs; components of these links are the groups of candidates.
     3. The texts of groups meet, and every link inside a group is decided on the full sets. Groups of
@@ -130,34 +130,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     4. Components of the confirmed links are the result.
 
     Returns one row per input row: ``doc`` (struct of the input's columns, without text), ``did``
-    (its id), ``n_shingles``, ``component_id`` (the smallest doc_id reachable). Rows with one doc_id
-    are one document and share a component; rows without one are one document after all others. An
+    (its id), ``n_shingles``, ``component_id`` (the smallest doc_id reachable), ``kept`` (whether it is
+    the first of its group, by id and hash of the text). Different texts are documents of their own
+    also where they share an id or have none; rows without one come after all others. An
     empty table gives an empty result.
     """
     base = _base(docs, [c for c in docs.columns if c != "text"])
     rows = _rooted(base, words, percent)
-    return base.select("doc", "did", "t1", "t2").join(rows, ["did", "t1", "t2"]).select("doc", "did", "n_shingles", F.col("root").alias("component_id"))
+    return base.select("doc", "did", "t1", "t2").join(rows, ["did", "t1", "t2"]).select("doc", "did", "n_shingles", F.col("root").alias("component_id"), "kept")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns as they are, of which the smallest id of each group of
-    ``near_duplicates`` stays. Of several rows with that id one stays."""
+    """The documents, all columns as they are, of which the first of each group of
+    ``near_duplicates`` stays. Of several rows with its id and text one stays; rows with neither id
+    nor words are in no group and all stay."""
     base, ident = _base(docs, docs.columns), ["did", "t1", "t2"]
-    first = _rooted(base, words, percent).filter("did = root").groupBy("did").agg(F.min(F.struct("t1", "t2")).alias("t")).select("did", "t.t1", "t.t2")
-    return base.select("doc", *ident).join(first, ident).dropDuplicates(ident).select("doc.*")
+    first = _rooted(base, words, percent).filter("kept").select(*ident, "n_shingles")
+    alone = F.when((F.col("did") == LAST_ID) & (F.col("n_shingles") == 0), F.monotonically_increasing_id())
+    return base.select("doc", *ident).join(first, ident).withColumn("alone", alone).dropDuplicates([*ident, "alone"]).select("doc.*")
 
 
 def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
-    """``did``, ``t1``, ``t2``, ``n_shingles`` and ``root`` of each different text of each id."""
+    """``did``, ``t1``, ``t2``, ``n_shingles``, ``root`` and ``kept`` of each different text of each id."""
     made = base.select("did", "body", "t1", "t2").mapInArrow(_sketched(words), "did long, t1 long, t2 long, n_shingles long, s1 long, s2 long, keys array<long>")
     made = written(made)
-    classes = made.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("did").alias("cls"), F.min("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min_by(F.struct("t1", "t2"), "did").alias("text"))
-    classes = written(classes)
+    classes = made.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("did", "t1", "t2")).alias("text"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()))
     bands = classes.select("cls", F.explode("keys").alias("key"))
     hubs = written(bands.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub < last").select("key", "hub"))
     met = bands.join(hubs, "key").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     groups = components(met)
-    members = classes.select("cls", "n", "text.t1", "text.t2").join(groups, F.col("cls") == F.col("node")).select("cls", "n", "t1", "t2", F.col("root").alias("grp"))
+    members = classes.select("cls", "n", "text.*").join(groups, F.col("cls") == F.col("node")).select("cls", "n", "did", "t1", "t2", F.col("root").alias("grp"))
     members = written(members)
     sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
@@ -169,11 +172,12 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
     placed = members.join(sizes, "grp").withColumn("mine", mine).withColumn("pair", F.explode(every))
     bin_ = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bins)))
-    placed = placed.select("cls", "t1", "t2", "grp", "mine", (F.col("blocks") > 1).alias("split"), bin_.alias("bin"), "pair.i", "pair.j")
+    placed = placed.select("cls", "did", "t1", "t2", "grp", "mine", (F.col("blocks") > 1).alias("split"), bin_.alias("bin"), "pair.i", "pair.j")
     # members grow with the input, so this join is the same at every size: never a broadcast
-    texts = packed(base.select("did", "t1", "t2", "body")).withColumnRenamed("did", "cls").join(placed.hint("merge"), ["cls", "t1", "t2"])
+    texts = packed(base.select("did", "t1", "t2", "body")).join(placed.hint("merge"), ["did", "t1", "t2"])
 
     def link(table: pa.Table) -> pa.Table:
+        table = table.take(np.unique(table["cls"].to_numpy(), return_index=True)[1])  # repeated rows
         sets = list(shingle_sets(pa.array(map(unpacked, table["packed"].to_pylist()), pa.large_binary()), words))
         cls, grp, side = (table[c].to_numpy() for c in ("cls", "grp", "mine"))
         order = np.argsort(grp, kind="stable")
@@ -185,7 +189,11 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     confirmed = texts.groupBy("split", "bin", "i", "j").applyInArrow(link, "a long, b long")
-    found = components(confirmed)
-    same = classes.join(found, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("root", "cls").alias("root"))
+    found = written(classes.select("cls", "text").join(components(confirmed), F.col("cls") == F.col("node")).select("cls", "text", "root"))
+    firsts = found.groupBy("root").agg(F.min("text").alias("first"))
+    found = found.join(firsts, "root").select("cls", "first")
+    same = classes.join(found, "cls", "left").select("s1", "s2", F.coalesce("first", "text").alias("first"))
     rows = made.select("did", "t1", "t2", "n_shingles", "s1", "s2").distinct().join(same, ["s1", "s2"], "left")
-    return rows.groupBy("did", "t1", "t2").agg(F.min("n_shingles").alias("n_shingles"), F.min(F.coalesce("root", "did")).alias("root"))
+    kept = F.coalesce(F.struct("did", "t1", "t2") == F.col("first"), F.lit(True))
+    rows = rows.select("did", "t1", "t2", "n_shingles", F.coalesce("first.did", "did").alias("root"), kept.alias("kept"))
+    return rows.groupBy("did", "t1", "t2").agg(F.min("n_shingles").alias("n_shingles"), F.min("root").alias("root"), F.max("kept").alias("kept"))

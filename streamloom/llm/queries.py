@@ -85,7 +85,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, percent=80)
-    return found.select("doc.doc_id", "n_shingles", "component_id", F.col("doc.doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return found.select("doc.doc_id", "n_shingles", "component_id", "kept")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,3 +314,17 @@ def test_finder_against_all_places(monkeypatch):
         monkeypatch.setattr("streamloom.llm.decontaminate.ENTRIES", entries)
         got = {hit[:2]: hit[2] for hit in Finder(list(range(5)), items).find(data, offsets)}
         assert got == {(t, i): n for (t, i), n in best.items() if n <= int(0.15 * len(items[i]))}
+
+
+def test_documents_that_share_an_id_or_have_none(spark):
+    """Different texts stay, whatever their ids; of near copies one stays."""
+    rng = random.Random(15)
+    a, b, c, d, e, f = (prose(rng, 60) for _ in range(6))
+    rows = [(1, a), (None, a + " more"), (None, b), (None, c), (None, c), (None, c + " more"), (7, d), (7, e), (7, e), (9, f), (2, f + " more"), (None, None), (None, ""), (None, "")]
+    kept = [(r.doc_id, r.text) for r in deduplicated(table(spark, rows), 4, 80).collect()]
+    last = [x for x in kept if x[1] and x[1].startswith(c)]
+    assert len(last) == 1 and sorted((x for x in kept if x not in last), key=repr) == sorted([(1, a), (None, b), (7, d), (7, e), (2, f + " more"), (None, None), (None, ""), (None, "")], key=repr)
+    got = near_duplicates(table(spark, rows), 4, 80).filter("doc.doc_id is not null or n_shingles > 0").collect()
+    assert sorted((r.doc.doc_id or 0, r.component_id, r.kept) for r in got if r.doc.doc_id) == [(1, 1, True), (2, 2, True), (7, 7, True), (7, 7, True), (7, 7, True), (9, 2, False)]
+    none = sorted((r.component_id, r.kept) for r in got if not r.doc.doc_id)
+    assert none[0] == (1, False) and none in ([(1, False)] + [(2**63 - 1, False)] * x + [(2**63 - 1, True)] * (4 - x) for x in (1, 2))
