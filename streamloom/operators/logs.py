@@ -15,13 +15,13 @@ def split_dirty(lines: DataFrame, column: str = "value") -> tuple[DataFrame, Dat
     return lines.filter(good), lines.filter(~good)
 
 
-def parse_logs(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(log rows with the raw text kept in ``raw``, dirty lines). Objects that are neither start nor
+def parse_logs(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(log rows with the raw text kept in ``raw``, and columns to ``keep``, dirty lines). Objects that are neither start nor
     page log, or have no ``common``, are dirty too: they would fail further on."""
     good, dirty = split_dirty(lines, column)
-    rows = good.select(F.from_json(column, LOG).alias("log"), F.col(column).alias("raw"))
+    rows = good.select(F.from_json(column, LOG).alias("log"), F.col(column).alias("raw"), *keep)
     usable = F.col("log.common").isNotNull() & (~is_empty(F.col("log.start")) | F.col("log.page").isNotNull())
-    return rows.filter(usable).select("log.*", "raw"), dirty.select(column).unionByName(rows.filter(~usable).select(F.col("raw").alias(column)))
+    return rows.filter(usable).select("log.*", "raw", *keep), dirty.select(column).unionByName(rows.filter(~usable).select(F.col("raw").alias(column)))
 
 
 def repair_new_visitor(rows: DataFrame, key: str = "mid", flag: str = "is_new", order: tuple[str, ...] = ("ts",), known_counts: bool = False) -> DataFrame:

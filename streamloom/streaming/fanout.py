@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.scalars import is_object
 from ..operators import cdc, logs, routing
 from ..plans.jobs import upserted_dim
 from ..sinks import create_dim_tables, encoded, encoded_map
@@ -20,23 +21,31 @@ def _put(rows: DataFrame, where: str, batch: int) -> None:
     rows.write.mode("overwrite").text(f"{where}/batch={batch}")
 
 
-def repaired_logs(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """Good log lines of a stream, as text, with the new-visitor flag repaired by keyed state."""
-    good, _ = logs.split_dirty(lines)
+def keyed_logs(lines: DataFrame) -> DataFrame:
+    """All lines of a stream for the keyed state, as ``payload``. What has no flag to repair, as it is
+    dirty or names no device or time, is flagged null, which the state passes through; such lines are
+    dealt out by their text, as no device's state is theirs."""
     path = lambda p: F.get_json_object("value", p)
-    rows = good.select(path("$.common.mid").alias("mid"), path("$.common.is_new").alias("is_new"), path("$.ts").cast("long").alias("ts"), F.col("value").alias("payload"))
-    return stateful.repaired_stream(rows.filter("mid is not null and ts is not null"), ttl_ms)
+    mid, ts = path("$.common.mid"), path("$.ts").cast("long")
+    whole = F.coalesce(is_object(F.col("value")) & mid.isNotNull() & ts.isNotNull(), F.lit(False))
+    no_device = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("value"), F.lit(1024)).cast("string"))
+    return lines.select(F.when(whole, mid).otherwise(no_device).alias("mid"), F.when(whole, path("$.common.is_new")).alias("is_new"), F.when(whole, ts).otherwise(F.lit(0)).alias("ts"), F.col("value").alias("payload"))
+
+
+def repaired_logs(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """All lines of a stream, as text, with the new-visitor flag repaired by keyed state. Lines that are
+    no JSON object, or without device or time, come as they are, without a flag."""
+    return stateful.repaired_stream(keyed_logs(lines), ttl_ms)
 
 
 def start_base_log(lines: DataFrame, home: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Log lines to the start, page and display topics; each batch is parsed once and written thrice."""
+    """Log lines to the start, page, display and dirty topics; each batch is persisted once and written four times."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        rows, dirty = logs.parse_logs(batch.select(F.col("payload").alias("value"), "is_new"))
-        flags = batch.select(F.col("payload").alias("raw"), "is_new").distinct()
-        rows = rows.join(flags, "raw").withColumn("common", F.col("common").withField("is_new", F.col("is_new"))).drop("is_new")
-        start, page, display = logs.split_logs(rows.drop("raw"))
+        rows, dirty = logs.parse_logs(batch.select("is_new", F.col("payload").alias("value")), keep=("is_new",))
+        repaired = F.coalesce(F.col("is_new"), F.col("common.is_new"))
+        start, page, display = logs.split_logs(rows.withColumn("common", F.col("common").withField("is_new", repaired)).drop("is_new", "raw"))
         for name, part in (("start", start), ("page", page), ("display", display)):
             _put(encoded(part), f"{home}/{name}", number)
         _put(dirty, f"{home}/dirty", number)

@@ -41,3 +41,16 @@ def test_base_db_stream(spark, tmp_path):
     assert sorted(map(tuple, latest_dim(spark, str(tmp_path / "dims"), "dim_base_trademark").collect())) == [("1", "b"), ("2", "c")]
     assert [r.value for r in spark.read.text(str(tmp_path / "out/topics")).collect()] == ['{"id":"9"}']
     assert spark.read.text(str(tmp_path / "out/unmatched")).count() == 1
+
+
+def test_base_log_stream_loses_and_doubles_nothing(spark, tmp_path):
+    """Dirty lines are written, lines without device or time go to their topics, equal lines stay two."""
+    common = LOG["common"]
+    lines = [LOG, LOG, LOG | {"ts": None}, LOG | {"common": common | {"mid": None}}, {"start": "icon", "common": common, "ts": None}, {"ts": 1}]
+    put(tmp_path / "in", "1", *map(json.dumps, lines), "{bad", "7", "{bad")
+    start_base_log(read_topic(spark, str(tmp_path / "in"), True), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(180)
+    read = lambda name: [r.value for r in spark.read.text(str(tmp_path / "out" / name)).collect()]
+    pages = [json.loads(x) for x in read("page")]
+    assert sorted((p.get("ts", 0), p["common"].get("mid") or "", p["common"]["is_new"]) for p in pages) == sorted([(LOG["ts"], common["mid"], "1"), (LOG["ts"], common["mid"], "0"), (0, common["mid"], "1"), (LOG["ts"], "", "1")])
+    assert len(read("start")) == 1 and len(read("display")) == 4 * len(LOG["displays"])
+    assert sorted(read("dirty")) == sorted(['{"ts": 1}', "7", "{bad", "{bad"])
