@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, doc_key, folded, hash_pair
+from .common import SPACE, doc_key, folded, hash_pair, written
+
+#: A hash of more than one part in so many of all lines is hot.
+HOT_PARTS = 4096
 
 
 def _key(line: Column) -> Column:
@@ -16,35 +19,43 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     """Drop repeated lines of whole texts.
 
     Lines are exploded, normalised (white space stripped at both ends, A-Z lower-cased) and hashed to
-    128 bits. Hashes of keys of ``min_chars`` code points or more that at least ``min_docs`` documents
-    hold lose all their lines, except in the smallest doc_id that holds them. What stays is put
-    together again by position.
+    128 bits, once: hashes and positions are written to the shared folder. Hashes of keys of
+    ``min_chars`` code points or more that at least ``min_docs`` documents hold lose all their lines,
+    except in the smallest doc_id that holds them. What stays is put together again by position.
 
-    Only hashes and positions are shuffled by line; of a hot line the shuffle gets one row per map
-    task. The texts move once, to meet the positions that they lose.
+    Counting combines in the map tasks, so a hot line costs one row a task. Lines with a hash that
+    holds over one part in ``HOT_PARTS`` of all lines (so fewer than ``HOT_PARTS`` hashes) are decided
+    by a broadcast of those; the others meet their hash's first document in a shuffle of hashes and
+    positions. Each text moves once, without a copy, to meet the positions that it loses.
 
-    Returns one row per input row: ``doc`` (struct of the input's columns), ``kept_text``, ``n_lines``
-    (before dropping), ``n_dropped``. Null and empty texts are one empty line. Rows with one doc_id
-    are one document; those without are one document after all others. An empty table gives an empty
-    one. Columns beside doc_id and text only pass through ``doc``.
+    Returns one row per input row: ``doc`` (struct of the input's columns without text),
+    ``kept_text``, ``n_lines`` (before dropping), ``n_dropped``. Null and empty texts are one empty
+    line. Rows with one doc_id are one document; those without are one document after all others. An
+    empty table gives an empty one. Columns beside doc_id and text only pass through ``doc``.
     """
     t1, t2 = hash_pair(F.col("body"))
-    base = docs.select(F.struct("*").alias("doc"), doc_key(docs["doc_id"]).alias("did"), F.coalesce(docs["text"], F.lit("")).alias("body")).withColumns({"t1": t1, "t2": t2})
+    ident, keys = ["did", "t1", "t2"], ["h1", "h2"]
+    base = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("doc"), doc_key(docs["doc_id"]).alias("did"), F.coalesce(docs["text"], F.lit("")).alias("body")).withColumns({"t1": t1, "t2": t2})
     h1, h2 = hash_pair(F.col("key"))
     lines = (
-        base.select("did", "t1", "t2", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
-        .select("did", "t1", "t2", "pos", _key(F.col("line")).alias("key"))
+        base.select(*ident, F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
+        .select(*ident, "pos", _key(F.col("line")).alias("key"))
         .filter(F.char_length("key") >= min_chars)
-        .select("did", "t1", "t2", "pos", h1.alias("h1"), h2.alias("h2"))
+        .select(*ident, "pos", h1.alias("h1"), h2.alias("h2"))
     )
+    lines = written(lines)
     if min_docs == 2:  # two different ids: no distinct count is needed
-        found = lines.groupBy("h1", "h2").agg(F.min("did").alias("first"), F.max("did").alias("other")).filter("first < other")
+        found = lines.groupBy(*keys).agg(F.min("did").alias("first"), F.max("did").alias("other"), F.count(F.lit(1)).alias("n")).filter("first < other")
     else:
-        held = lines.groupBy("h1", "h2", "did").agg(F.lit(1).alias("one"))
-        found = held.groupBy("h1", "h2").agg(F.min("did").alias("first"), F.count("one").alias("n")).filter(F.col("n") >= min_docs)
-    gone = lines.join(found.select("h1", "h2", "first"), ["h1", "h2"]).filter("did > first")
-    gone = gone.groupBy("did", "t1", "t2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    both = base.join(gone, ["did", "t1", "t2"], "left").select("doc", F.split("body", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+        held = lines.groupBy(*keys, "did").agg(F.count(F.lit(1)).alias("n"))
+        found = held.groupBy(*keys).agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).filter(F.col("docs") >= min_docs)
+    found = written(found.select(*keys, "first", "n"))
+    hot = F.col("n") * HOT_PARTS > lines.count()
+    few = F.broadcast(found.filter(hot).select(*keys, "first"))
+    rest = lines.join(few.select(*keys), keys, "left_anti").join(found.filter(~hot).select(*keys, "first"), keys)
+    gone = lines.join(few, keys).unionByName(rest).filter("did > first")
+    gone = gone.groupBy(*ident).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    both = base.join(gone, ident, "left").select("doc", F.split("body", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     # the runs between dropped positions: each line is copied once, however many are dropped
     edges = F.concat(F.array(F.lit(-1)), F.col("gone"))
     ends = F.concat(F.col("gone"), F.array(F.size("lines")))
