@@ -14,6 +14,8 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows without doc_id count as one document that comes after all others.
 LAST_ID = 2**63 - 1
+#: A key of more than one part in so many of all rows is hot: there are fewer of them than this.
+HOT_PARTS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,16 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def joined_hot(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Written rows with the columns of ``table``, which has one row a key and says in ``n`` how many
+    rows hold it. Hot keys (fewer than ``HOT_PARTS``) are broadcast, so their rows stay where they
+    are read; the rest meet in a shuffle, in which no key has more than a small share."""
+    hot = F.col("n") * HOT_PARTS > total
+    few = F.broadcast(table.filter(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(table.filter(~hot), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
 def hash_pair(col: Column) -> tuple[Column, Column]:
     """128 bits as two longs from differently seeded 64-bit hashes, which group and sort cheaply."""
     return F.xxhash64(col), F.xxhash64(F.lit(1), col)

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, doc_key, folded, hash_pair, written
-
-#: A hash of more than one part in so many of all lines is hot.
-HOT_PARTS = 4096
+from .common import SPACE, doc_key, folded, hash_pair, joined_hot, written
 
 
 def _key(line: Column) -> Column:
@@ -23,10 +20,10 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
     ``min_chars`` code points or more that at least ``min_docs`` documents hold lose all their lines,
     except in the smallest doc_id that holds them. What stays is put together again by position.
 
-    Counting combines in the map tasks, so a hot line costs one row a task. Lines with a hash that
-    holds over one part in ``HOT_PARTS`` of all lines (so fewer than ``HOT_PARTS`` hashes) are decided
-    by a broadcast of those; the others meet their hash's first document in a shuffle of hashes and
-    positions. Each text moves once, without a copy, to meet the positions that it loses.
+    Counting combines in the map tasks, so a hot line costs one row a task; hot lines are decided by
+    a broadcast of their hashes, the others meet their hash's first document in a shuffle of hashes
+    and positions (``joined_hot``). Each text moves once, without a copy, to meet the positions that
+    it loses.
 
     Returns one row per input row: ``doc`` (struct of the input's columns without text),
     ``kept_text``, ``n_lines`` (before dropping), ``n_dropped``. Null and empty texts are one empty
@@ -50,10 +47,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> DataF
         held = lines.groupBy(*keys, "did").agg(F.count(F.lit(1)).alias("n"))
         found = held.groupBy(*keys).agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n")).filter(F.col("docs") >= min_docs)
     found = written(found.select(*keys, "first", "n"))
-    hot = F.col("n") * HOT_PARTS > lines.count()
-    few = F.broadcast(found.filter(hot).select(*keys, "first"))
-    rest = lines.join(few.select(*keys), keys, "left_anti").join(found.filter(~hot).select(*keys, "first"), keys)
-    gone = lines.join(few, keys).unionByName(rest).filter("did > first")
+    gone = joined_hot(lines, found, keys, lines.count()).filter("did > first")
     gone = gone.groupBy(*ident).agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     both = base.join(gone, ident, "left").select("doc", F.split("body", "\n", -1).alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     # the runs between dropped positions: each line is copied once, however many are dropped

@@ -33,7 +33,7 @@ def prose(rng, words):
 
 @pytest.mark.parametrize(("least", "parts"), [(2, 4096), (3, 4096), (2, 20), (3, 1)])
 def test_line_dedup(spark, monkeypatch, least, parts):
-    monkeypatch.setattr("streamloom.llm.line_dedup.HOT_PARTS", parts)  # all, some or none decided by broadcast
+    monkeypatch.setattr("streamloom.llm.common.HOT_PARTS", parts)  # all, some or none decided by broadcast
     rng = random.Random(1)
     pool = [prose(rng, 4) for _ in range(12)] + ["short", "", " Same Line here \t", "same line HERE"]
     rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 8)))) for i in range(30)] + [(30, None), (31, ""), (None, pool[0]), (5, pool[1]), (5, pool[1]), (40, "\n".join(["x" * 30] * 5000))]
