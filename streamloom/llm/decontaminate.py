@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shingles import byte_slices, mixed
+from .shingles import BASE, byte_slices
 
 #: A passage is a leak of an item if it takes at most this share of the item's bytes in edits.
 MAX_EDITS = 0.15
@@ -29,8 +29,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
 _TABLE = 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
 def folded_bytes(data: np.ndarray) -> np.ndarray:
@@ -47,7 +45,7 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
 
 
 def _slots(codes: np.ndarray) -> np.ndarray:
-    return ((codes * _BASE) >> np.uint64(64 - _TABLE)).astype(np.int64)
+    return ((codes * BASE) >> np.uint64(64 - _TABLE)).astype(np.int64)
 
 
 class Pieces:

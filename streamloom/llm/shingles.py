@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 _RNG = np.random.default_rng(20240229)
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
+BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+_INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)[_LOWER]
@@ -27,8 +27,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of texts; null texts are empty."""
+def prefix_hashes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of a polynomial hash and inverse powers of its base: values a to b hash to
+    ``(sums[b] - sums[a]) * inverse[a]`` wherever they stand."""
+    power = np.full(len(values), BASE)
+    power[:1] = 1
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * np.cumprod(power), out=sums[1:])
+    power[1:] = _INVERSE
+    return sums, np.cumprod(power)
+
+
+def byte_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of texts of about ``size`` bytes; null texts are empty."""
     if not len(column):
         return
     wide = column.type in (pa.large_string(), pa.large_binary())
@@ -36,7 +47,7 @@ def byte_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.empty(0, np.uint8)
     start = 0
     while start < len(column):
-        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE, "right")) - 1)
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
         end = min(end, len(column))
         yield start, data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
         start = end
@@ -53,12 +64,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     cut[offsets] = True
     begins = np.flatnonzero(~space[:-1] & (np.concatenate([[True], space[:-2]]) | cut[:-1]))
     ends = np.flatnonzero(~space[:-1] & (space[1:] | cut[1:])) + 1
-    power = np.full(len(data), _BASE)
-    power[0] = 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * np.cumprod(power), out=sums[1:])
-    power[1:] = _INVERSE
-    hashes = (sums[ends] - sums[begins]) * np.cumprod(power)[begins]
+    sums, inverse = prefix_hashes(_BYTE[data])
+    hashes = (sums[ends] - sums[begins]) * inverse[begins]
     return mixed(hashes + (ends - begins).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(begins, offsets)
 
 
@@ -74,7 +81,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[n
     padded = np.concatenate([hashes, np.zeros(words, np.uint64)])
     out = long.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
     for i in range(words):
-        out = mixed(out * _BASE + np.where(i < long, padded[begin + i], np.uint64(0)))
+        out = mixed(out * BASE + np.where(i < long, padded[begin + i], np.uint64(0)))
     return out, at
 
 

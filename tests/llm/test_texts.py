@@ -210,9 +210,9 @@ def _spans(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [1 << 20, 900])
+@pytest.mark.parametrize("most", [1 << 20, 900, 1])
 def test_repeated_spans(spark, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", most)  # the small one: window fingerprints decide
+    monkeypatch.setattr(suffix_dedup, "MOST_BYTES", most)  # the smaller ones: groups are split by longer contexts
     monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
     rng = random.Random(8)
     passage, other = prose(rng, 60), prose(rng, 70) + " é€"
@@ -225,6 +225,22 @@ def test_repeated_spans(spark, monkeypatch, most):
     assert suffix_dedup.repeated_spans(table(spark, []), 150).count() == 0
 
 
+def test_stretches_of_periodic_texts():
+    """Every window is in one stretch, and a periodic run is one stretch with its period."""
+    for unit, most in ((b"a", 1), (b"ab", 2), (b"abc", 3), (b"0123456789" * 9, 10), (bytes(range(40, 130)), 90)):
+        data = np.frombuffer(b"start of it " + unit * (60_000 // len(unit)) + b" and its end", np.uint8)
+        text, first, windows, span, gram = suffix_dedup.stretches(data, np.array([0, len(data)]), 400)
+        assert span.sum() == len(data) - 399 and (first[1:] == (first + span)[:-1]).all()
+        assert span.max() > 59_000 and windows[span.argmax()] == most and len(first) < 60
+
+
+def test_long_periodic_texts(spark):
+    rows = [(1, "ab" * 500_000), (2, "ab" * 500_000), (3, "x" + "ba" * 150_000 + "y"), (4, "abc" * 200), (5, "-" * 399), (6, "q" * 401)]
+    want = {1: (10**6, 1), 2: (10**6, 1), 3: (300_000, 1), 4: (600, 1), 5: (0, 0), 6: (401, 1)}
+    got = suffix_dedup.repeated_spans(table(spark, rows)).collect()
+    assert {r.doc.doc_id: (r.n_removed, r.n_spans) for r in got} == want
+
+
 def test_edit_distance_and_embedding():
     rng = np.random.default_rng(9)
 
