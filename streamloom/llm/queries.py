@@ -34,7 +34,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return spans.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return spans.select("doc.doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,20 +119,20 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from x group by doc_id""",
     "op5_mixing": """
-with d as (select doc_id, source, md5(coalesce(doc_id::varchar, '')) as key, coalesce(len(regexp_extract_all(text, '[^ \\x09-\\x0D]+')), 0)::bigint as size from documents),
+with d as (select doc_id, source, md5(coalesce(doc_id::varchar, '-' || md5(text), '')) as key, coalesce(len(regexp_extract_all(text, '[^ \\x09-\\x0D]+')), 0)::bigint as size from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (select *, ((row_number() over (order by source is null, source) - 1) % 3 + 1)::bigint as weight from s),
 r as (select *, (3 * source_size)::double / weight as dry from w),
 v as (select *, (sum(source_size) over ())::bigint as budget,
     coalesce(sum(3 * source_size) over (order by dry, source is null, source rows between unbounded preceding and 1 preceding), 0)::bigint as spent,
     (sum(weight) over (order by dry, source is null, source rows between current row and unbounded following))::bigint as open from r),
-h as (select max((budget - spent)::double / open) as horizon from v where (budget - spent)::double / open <= dry),
-t as (select source, source_size, least((3 * source_size)::double, weight * horizon) as target from v, h),
+h as (select budget - spent as rest, open as sharing, (budget - spent)::double / open as horizon from v where (budget - spent)::double / open <= dry order by horizon desc limit 1),
+t as (select source, source_size, least((3 * source_size)::double, weight * horizon) as target, least(3 * source_size, (weight * rest) // sharing) as cut from v, h),
 q as (select doc_id, source, size, (sum(size) over (partition by source order by key, size rows unbounded preceding))::bigint as upto from d)
 select doc_id, size, source_size, target,
-  (greatest(0, least(size, floor(target)::bigint - upto + size))
-  + greatest(0, least(size, floor(target)::bigint - source_size - upto + size))
-  + greatest(0, least(size, floor(target)::bigint - 2 * source_size - upto + size)))::bigint as taken
+  (greatest(0, least(size, cut - upto + size))
+  + greatest(0, least(size, cut - source_size - upto + size))
+  + greatest(0, least(size, cut - 2 * source_size - upto + size)))::bigint as taken
 from q join t on q.source is not distinct from t.source""",
     "op8_url_filter": """
 with e(name, kind, value, action, day) as (values """ + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in URL_LIST) + """),

@@ -75,6 +75,16 @@ def test_fair_queue(spark):
         mine = [r for r in docs if r.doc.source == s]
         assert {round(r.target, 6) for r in mine} == {round(target[s], 6)} and abs(sum(r.taken for r in mine) - target[s]) < 1
     assert [r.finish for r in queue] == sorted(r.finish for r in queue)
+    # the cut follows the finish times: whole entries before it, none after, one in service a source
+    whole = max(r.finish for r in queue if r.size and r.words == r.size)
+    for r in queue:
+        assert not (0 < r.words < r.size) or sum(0 < x.words < x.size and x.doc.source == r.doc.source for x in queue) == 1
+        assert not (r.size and r.words < r.size) or r.finish >= max((x.finish for x in queue if x.doc.source == r.doc.source and x.words == x.size > 0), default=0)
+    assert all(r.words == r.size for r in queue if r.finish < whole and r.target >= 3 * r.source_size)
+    given, order = 0, sorted((x for x in queue if x.words), key=lambda r: r.finish)
+    for r in order:
+        given += r.words
+    assert sum(sizes.values()) - len(sizes) <= given <= sum(sizes.values())
     assert sum(r.words for r in queue) == sum(r.taken for r in docs)
     assert fair_queue(table(spark, [])).count() == 0
     assert [r.target for r in fair_queue(table(spark, [(1, None, "a")])).collect()] == [0.0]
