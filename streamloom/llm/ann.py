@@ -4,21 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import hash_pair, written
 
-#: Vectors that the curves are fitted on; every vector is indexed.
-SAMPLE = 8192
-CURVES, FIRST, DIMS, BITS = 32, 4, 8, 7
+#: Components of the vectors that the curves' ranges are fitted on (16 MB of floats); every vector is indexed.
+SAMPLE_FLOATS = 1 << 22
+#: Vectors of the sample whose nearest in the whole table say how wide windows must be.
+ASKED = 256
+CURVES, FIRST, DIMS, BITS = 16, 4, 8, 7
 #: Rows of a key window that meet in one task: larger windows are dealt over several.
 CHUNK, QUERY_CHUNK = 8192, 4096
-#: Ranges that a curve can be cut into, and the recall that the cut must reach on the sample.
-LADDER, TARGET = (2048, 1024, 512, 384, 256, 192, 128, 96, 64, 48, 32, 16, 8, 4, 1), 0.95
+#: Ranges that a curve can be cut into, and the recall that the cut must reach for the vectors asked.
+LADDER, TARGET = (8192, 4096, 2048, 1024, 512, 384, 256, 192, 128, 96, 80, 64, 56, 48, 40, 32, 24, 16, 12, 8, 6, 4, 1), 0.93
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -68,10 +72,8 @@ class Curves:
         return hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1), BITS)
 
 
-def fit_curves(sample: np.ndarray, longest: float, k: int, seed: int = 7) -> Curves:
-    """Random projections, each with a grid of its own shift. The finest cut into ranges is kept that
-    finds ``TARGET`` of the sample's own neighbours in a query's range and the two beside it. Larger
-    tables have nearer neighbours, so their recall is higher than the sample's."""
+def random_curves(sample: np.ndarray, longest: float, seed: int = 7) -> Curves:
+    """Random projections, each with a grid of its own shift that covers the sample."""
     rng = np.random.default_rng(seed)
     dims = sample.shape[1] + 1
     planes = np.stack([np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, :DIMS] if dims >= DIMS else rng.normal(size=(dims, DIMS)) for _ in range(CURVES)])
@@ -83,29 +85,34 @@ def fit_curves(sample: np.ndarray, longest: float, k: int, seed: int = 7) -> Cur
         curves.step[c] = 2 * half / ((1 << BITS) - 1)
         curves.low[c] = middle - half - rng.uniform(0, 1, DIMS) * half / 2
         curves.step[c] *= 1.25
-    asked = rng.permutation(len(sample))[:128]
-    scores = sample[asked] @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    k = max(1, min(k, len(sample) - 1))
-    true = np.argsort(-scores, 1)[:, :k]
-    keys = [curves.keys(points, c) for c in range(CURVES)]
-    wanted = [curves.keys(curves.lifted(sample[asked], True), c) for c in range(CURVES)]
+    return curves
+
+
+def cut_curves(curves: Curves, sample: np.ndarray, asked: np.ndarray, near: np.ndarray, owner: np.ndarray) -> Curves:
+    """Cut the curves into the most ranges, equal shares of the sample, with which ``TARGET`` of the
+    vectors ``near`` are in the range of the asking vector ``owner`` names or in the two beside it, on
+    any curve. As these are the nearest of the whole table, the cut is as fine as the table allows."""
+    points = curves.lifted(sample, False)
+    keys = [np.sort(curves.keys(points, c)) for c in range(CURVES)]
+    wanted = [curves.keys(curves.lifted(asked, True), c) for c in range(CURVES)]
+    held = [curves.keys(curves.lifted(near, False), c) for c in range(CURVES)]
     for ranges in LADDER:
         if ranges * 4 > len(sample) and ranges > 1:
             continue
-        bounds = [np.quantile(x, np.arange(1, ranges) / ranges, method="lower") for x in keys]
-        met = np.zeros(true.shape, bool)
-        for c in range(CURVES):
-            at = np.searchsorted(bounds[c], keys[c], "right")
-            met |= np.abs(at[true] - np.searchsorted(bounds[c], wanted[c], "right")[:, None]) <= 1
-        if met.mean() >= TARGET or ranges == 1:
-            curves.bounds = bounds
+        curves.bounds = [x[(np.arange(1, ranges) * len(x)) // ranges] for x in keys]
+        met = np.zeros(len(near), bool)
+        for c, bounds in enumerate(curves.bounds):
+            met |= np.abs(np.searchsorted(bounds, held[c], "right") - np.searchsorted(bounds, wanted[c], "right")[owner]) <= 1
+        if ranges == 1 or len(met) and met.mean() >= TARGET:
             return curves
     raise AssertionError("one range finds everything")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dims).astype(np.float64)
+    """Vectors of raw components, of 4 or 8 bytes each."""
+    rows = column.to_pylist()
+    kind = np.float32 if rows and len(rows[0]) == 4 * dims else np.float64
+    return np.frombuffer(b"".join(rows), kind).reshape(-1, dims).astype(np.float64)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -125,38 +132,74 @@ def nearest(vectors: DataFrame, query_mod: int = 20, k: int = 20) -> DataFrame:
     in Hilbert order; each curve is cut into key ranges, and a query meets its range and the two
     beside it. Range by range the best are reranked on the original vectors, then merged over curves.
 
-    The cut is fitted on a bounded sample (``fit_curves``), every point is indexed. Ranges of over
-    ``CHUNK`` points are dealt over several tasks, queries too, so no task grows with the input. The
-    ``FIRST`` curves give each query k points; of the other curves, ranges send on only what is no
-    worse.
-
-    Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``. Vectors that are null, zero, hold
-    null or non-finite components, or differ in length from that of the smallest valid id, take no
-    part, nor do rows without vec_id. Rows that agree in both columns count once; if one id has
-    several vectors, it takes part with each and is listed with its best. An empty table gives an
-    empty result.
+    The ranges are shares of a bounded sample; how many there are follows from the nearest of
+    ``ASKED`` sampled vectors in the whole table, found exactly in one pass without shuffle
+    (``cut_curves``). Every point is indexed. Ranges of over ``CHUNK`` points are dealt over several
+    tasks, queries too, so no task grows with the input. The ``FIRST`` curves give each query k
+    points; of the other curves, ranges send on only what is no worse.
+
+    Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``, computed in double precision on the
+    components as they are (floats or doubles). Vectors that are null, zero, hold null or non-finite
+    components take no part, nor do rows without vec_id; vectors of different lengths have no inner
+    product, so each length is searched on its own. Rows that agree in both columns count once; if
+    one id has several vectors, it takes part with each and is listed with its best. An empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
+    kind = "float" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "double"
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<float>").alias("embedding")).filter(F.col("vec_id").isNotNull() & sound)
-    first = rows.agg(F.min_by(F.size("embedding"), "vec_id").alias("dims"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("square")).first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if first["dims"] is None:
-        return empty
-    dims, wide = first["dims"], k + 1
-    h1, h2 = hash_pair(e)
-    rows = rows.filter(F.size(e) == dims).withColumns({"h1": h1, "h2": h2})
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(f"array<{kind}>").alias("embedding")).filter(F.col("vec_id").isNotNull() & sound)
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    lengths = rows.groupBy(F.size("embedding").alias("dims")).agg(F.max(square).alias("square")).collect()  # one row a length
+    found = [_of_length(rows.filter(F.size("embedding") == r["dims"]), r["dims"], r["square"], query_mod, k) for r in lengths]
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    pairs = reduce(DataFrame.unionByName, found)
+    if len(found) > 1:  # an id may have vectors of several lengths
+        pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _exact(points: DataFrame, asked: np.ndarray, dims: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of the points nearest to a few asked ones (not themselves), and whose they are."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column(1).flatten().to_numpy().reshape(-1, dims)
+            scores = asked @ x.T.astype(np.float64)
+            take = min(k, len(x))
+            near = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+            owner = np.repeat(np.arange(len(asked), dtype=np.int32), take)
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.take_along_axis(scores, near, 1).ravel()), pa.array([r.tobytes() for r in x[near.ravel()]], pa.binary())], names=["owner", "score", "raw"])
+
+    own = Window.partitionBy("owner").orderBy(F.desc("score"))
+    rows = points.select("point", "embedding").mapInArrow(best, "owner int, score double, raw binary")
+    rows = rows.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= k).select("owner", "raw").toArrow()
+    near, owner = _matrix(rows["raw"], dims), rows["owner"].to_numpy()
+    other = (near != asked[owner]).any(1)
+    return near[other], owner[other]
+
+
+def _of_length(rows: DataFrame, dims: int, square: float, query_mod: int, k: int) -> DataFrame:
+    """``query_id``, ``vec_id``, ``score`` of vectors of one length: at least the ``k`` best found of each query."""
+    spark, wide = rows.sparkSession, k + 1
+    h1, h2 = hash_pair(F.col("embedding"))
+    rows = rows.withColumns({"h1": h1, "h2": h2})
     order = Window.partitionBy("h1", "h2").orderBy("vec_id")
     few = rows.distinct().withColumn("place", F.row_number().over(order)).filter(F.col("place") <= wide)  # cut in each map task, then per vector
     queries = rows.filter(F.col("vec_id") % query_mod == 0).select("h1", "h2", F.col("vec_id").alias("query_id")).distinct()
     points = few.groupBy("h1", "h2").agg(F.min("vec_id").alias("point"), F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("embedding").alias("embedding"))
     asks = queries.groupBy("h1", "h2").agg(F.lit(True).alias("asked"))
     points = written(points.join(asks, ["h1", "h2"], "left").select("h1", "h2", "point", "ids", "embedding", F.coalesce("asked", F.lit(False)).alias("asked")))
-    sample = points.select("point", "embedding").orderBy("h1").limit(SAMPLE).collect()
-    fitted = np.array([r["embedding"] for r in sample], np.float32).astype(np.float64)
-    longest = max(np.sqrt(first["square"]), np.sqrt((fitted**2).sum(1)).max())
-    curves = fit_curves(fitted, longest, k)
+    sample = points.select("embedding").orderBy("h1").limit(max(ASKED, SAMPLE_FLOATS // dims)).toArrow()["embedding"]
+    sample = sample.combine_chunks().flatten().to_numpy().reshape(-1, dims).astype(np.float64)
+    longest = max(np.sqrt(square), np.sqrt((sample**2).sum(1)).max())
+    wanted = sample[np.random.default_rng(5).permutation(len(sample))[:ASKED]]
+    curves = cut_curves(random_curves(sample, longest), sample, wanted, *_exact(points, wanted, dims, k + 1))
     shared = spark.sparkContext.broadcast(curves)
     names = ["curve", "range", "is_query", "point", "raw", "floor"]
 
@@ -240,6 +283,4 @@ def nearest(vectors: DataFrame, query_mod: int = 20, k: int = 20) -> DataFrame:
     short = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     members = members.withColumn("place", F.row_number().over(short)).filter(F.col("place") <= 2 * wide).select("query", "vec_id", "score")
     who = queries.join(points.filter("asked").select("h1", "h2", F.col("point").alias("query")), ["h1", "h2"]).select("query_id", "query")
-    pairs = who.join(members, "query").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(final)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return who.join(members, "query").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -28,11 +28,12 @@ def test_nearest(spark):
     x = rng.normal(size=(600, 16)).astype(np.float32) * rng.uniform(0.5, 2, (600, 1)).astype(np.float32)
     x[100:180] = x[100]  # a hot vector, queries among its rows
     rows = [(i, [float(v) for v in row], "c", 1.0) for i, row in enumerate(x)]
-    rows += [(600, None, "c", 1.0), (620, [0.0] * 16, "c", 1.0), (640, [float("nan")] * 16, "c", 1.0), (660, [1.0] * 3, "c", 1.0), (680, [None] + [1.0] * 15, "c", 1.0), (None, [1.0] * 16, "c", 1.0), (7, [float(v) for v in x[7]], "c", 1.0)]
+    rows += [(600, None, "c", 1.0), (620, [0.0] * 16, "c", 1.0), (640, [float("nan")] * 16, "c", 1.0), (660, [1.0, 2.0, 4.0], "c", 1.0), (661, [1.0, 1.0, 1.0], "c", 1.0), (680, [None] + [1.0] * 15, "c", 1.0), (None, [1.0] * 16, "c", 1.0), (7, [float(v) for v in x[7]], "c", 1.0)]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, curve string, score double")
     got = {}
     for r in nearest(table).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert got.pop(660) == [(1, 661, 7.0)]  # another length has a search of its own
     assert set(got) == set(range(0, 600, 20))
     d, hit = x.astype(float), 0
     for q, found in got.items():
@@ -48,6 +49,32 @@ def test_nearest(spark):
     assert sorted(r.vec_id for r in few) == [1, 2, 3, 4]
 
 
+def test_nearest_keeps_doubles(spark):
+    small = [(i, [1.0, 1.0 + i * 1e-12]) for i in range(30)]
+    found = nearest(spark.createDataFrame(small, "vec_id bigint, embedding array<double>")).filter("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in found] == list(range(29, 9, -1))
+
+
+def test_recall_of_64_dimensions(spark):
+    """The given vectors, whole: recall against brute force, in double precision."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    table = pq.read_table(path)
+    ids, x = np.array(table["vec_id"]), np.array(table["embedding"].to_pylist(), np.float64)
+    found = {}
+    for r in nearest(spark.read.parquet(path)).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    assert set(found) == {int(i) for i in ids if i % 20 == 0}
+    hit = 0
+    for q, near in found.items():
+        s = dict(zip(ids.tolist(), (x @ x[ids == q][0]).tolist(), strict=True))
+        s.pop(q)
+        assert len(near) == 20 and all(abs(s[v] - z) < 1e-12 for v, z in near.items())
+        hit += len(set(sorted(s, key=lambda v: (-s[v], v))[:20]) & set(near))
+    assert hit >= 0.9 * 20 * len(found)
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "▁a", "a", "ab", "b", "ba", "▁ab"]
     logp = np.log(np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.2, 0.3], [0.1, 0.1], [0.1, 0.1], [0.2, 0.1]]))
