@@ -32,10 +32,15 @@ _ORDER = ["order_status", "create_time", "create_date", "create_hour", "activity
 _DETAIL = ["sku_id", "sku_name", "order_price", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount"]
 
 
-def order_wide(orders: DataFrame, details: DataFrame, slack: str = "5 seconds") -> DataFrame:
-    """Orders with their details of nearly the same time. Columns that neither side fills are null."""
-    o = with_order_times(orders).withColumn("o_ts", F.timestamp_millis("create_ts")).alias("o")
-    d = with_detail_time(details).withColumn("d_ts", F.timestamp_millis("create_ts")).alias("d")
+def _marked(rows: DataFrame, ts: str, delay: str | None) -> DataFrame:
+    return rows.withWatermark(ts, delay) if delay else rows
+
+
+def order_wide(orders: DataFrame, details: DataFrame, slack: str = "5 seconds", delay: str | None = None) -> DataFrame:
+    """Orders with their details of nearly the same time. Columns that neither side fills are null.
+    Streams need a ``delay`` for their watermarks."""
+    o = _marked(with_order_times(orders).withColumn("o_ts", F.timestamp_millis("create_ts")), "o_ts", delay).alias("o")
+    d = _marked(with_detail_time(details).withColumn("d_ts", F.timestamp_millis("create_ts")), "d_ts", delay).alias("d")
     rows = interval_join(o, d, F.col("o.id") == F.col("d.order_id"), "o_ts", "d_ts", slack, slack)
     unset = [F.lit(None).cast(k).alias(n) for n, k in (("split_feight_fee", "decimal(16,2)"), ("expire_time", "string"), ("operate_time", "string"))]
     return rows.select(F.col("o.id").alias("order_id"), *[F.col(f"o.{c}") for c in _ORDER], F.col("d.id").alias("detail_id"), *[F.col(f"d.{c}") for c in _DETAIL], *unset)
@@ -47,11 +52,11 @@ def merged_orders(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in a.columns])
 
 
-def payment_wide(payments: DataFrame, wides: DataFrame, before: str = "15 minutes", after: str = "5 seconds", zone: str = "+00:00") -> DataFrame:
+def payment_wide(payments: DataFrame, wides: DataFrame, before: str = "15 minutes", after: str = "5 seconds", zone: str = "+00:00", delay: str | None = None) -> DataFrame:
     """Payments with the order rows from ``before`` to ``after`` around them. A payment's value wins
-    over the order's of the same name, null or not."""
-    p = payments.withColumn("p_ts", F.timestamp_millis(to_ms(F.col("create_time"), zone))).alias("p")
-    w = wides.withColumn("w_ts", F.timestamp_millis(to_ms(F.col("create_time"), zone))).alias("w")
+    over the order's of the same name, null or not. Streams need a ``delay`` for their watermarks."""
+    p = _marked(payments.withColumn("p_ts", F.timestamp_millis(to_ms(F.col("create_time"), zone))), "p_ts", delay).alias("p")
+    w = _marked(wides.withColumn("w_ts", F.timestamp_millis(to_ms(F.col("create_time"), zone))), "w_ts", delay).alias("w")
     rows = interval_join(p, w, F.col("p.order_id") == F.col("w.order_id"), "p_ts", "w_ts", before, after)
     own = [F.col("p.id").alias("payment_id"), F.col("p.create_time").alias("payment_create_time"), F.col("w.create_time").alias("order_create_time")]
     same = [c for c in payments.columns if c not in ("id", "create_time")]

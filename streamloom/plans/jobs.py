@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import date_text, is_empty
 from ..operators import cdc, joins, logs, routing, stats, visits
 from ..schemas import LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, TABLE_PROCESS, names
-from ..sinks import create_dim_tables, upsert, write_routed, write_topic
+from ..sinks import create_dim_tables, put_dims, write_routed, write_topic
 
 
 def base_log(lines: DataFrame) -> dict[str, DataFrame]:
@@ -42,39 +42,40 @@ def visitor_stats(pages: DataFrame, unique: DataFrame, jumps: DataFrame, width:
     return stats.windowed([stats.unique_rows(keyed(unique), keep), stats.jump_rows(keyed(jumps), keep), page], "time", width)
 
 
-def base_db(spark: SparkSession, lines: DataFrame, config: DataFrame, topics: str, dims: str, aliases: bool = True) -> DataFrame:
-    """Changes routed by the current configuration: topics written, dimensions created. Returns facts
-    without configuration, which are kept for a later try rather than lost. For use in foreachBatch."""
+def base_db(spark: SparkSession, lines: DataFrame, config: DataFrame, topics: str, dims: str, aliases: bool = True, batch: int = 0) -> DataFrame:
+    """Changes routed by the current configuration: topics written, dimensions created and their rows
+    put (``sinks.dim_now`` reads them). Returns facts without configuration, which are kept for a later
+    try rather than lost. For use in foreachBatch, with the batch's number."""
     changes = cdc.without_deletes(cdc.decode_changes(lines)).withColumn("table", F.col("source.table"))
     now = routing.current_config(config, aliases=aliases)
     parts = routing.route(changes, now)
     write_routed(parts["kafka"], topics)
     create_dim_tables(spark, now, dims)
+    put_dims(parts["hbase"], dims, batch)
     return parts["unmatched"]
 
 
-def upserted_dim(now: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """A dimension after a batch of routed changes."""
-    rows = changes.select(*[F.col("after")[c].alias(c) for c in now.columns], F.col("ts_ms").alias("_order"))
-    return upsert(now, rows, [key], "_order")
+def order_pairs(orders: DataFrame, details: DataFrame, slack: str = "5 seconds", delay: str | None = None) -> DataFrame:
+    """Order and detail records, joined; ``delay`` bounds the state of streams."""
+    o = orders.select(F.from_json("value", ORDER_INFO).alias("r")).select("r.*")
+    d = details.select(F.from_json("value", ORDER_DETAIL).alias("r")).select("r.*")
+    return joins.order_wide(o, d, slack, delay)
 
 
-def order_wide(orders: DataFrame, details: DataFrame, dims: dict[str, DataFrame], as_of: Column, how: str = "inner") -> DataFrame:
+def order_wide(orders: DataFrame, details: DataFrame, dims: dict[str, DataFrame], as_of: Column, how: str = "inner", slack: str = "5 seconds") -> DataFrame:
     """Order and detail records to enriched order rows."""
-    o = orders.select(F.from_json("value", ORDER_INFO).alias("r")).select("r.*")
-    d = details.select(F.from_json("value", ORDER_DETAIL).alias("r")).select("r.*")
-    return joins.enrich(joins.order_wide(o, d), dims, joins.order_lookups(as_of), how)
+    return joins.enrich(order_pairs(orders, details, slack), dims, joins.order_lookups(as_of), how)
 
 
-def payment_wide(payments: DataFrame, wides: DataFrame) -> DataFrame:
+def payment_wide(payments: DataFrame, wides: DataFrame, before: str = "15 minutes", after: str = "5 seconds", delay: str | None = None) -> DataFrame:
     p = payments.select(F.from_json("value", PAYMENT_INFO).alias("r")).select("r.*")
-    return joins.payment_wide(p, wides)
+    return joins.payment_wide(p, wides, before, after, delay=delay)
 
 
 def config_of(changes: DataFrame) -> DataFrame:
     """The configuration table as its change feed leaves it; deletions take rows away."""
     keyed = changes.select("op", "ts_ms", *[F.coalesce(F.col("after")[c], F.col("before")[c]).alias(c) for c in names(TABLE_PROCESS)])
-    return cdc.latest(keyed, ["source_table", "operate_type"], ["ts_ms"]).select(*names(TABLE_PROCESS))
+    return cdc.latest(keyed, ["source_table", "operate_type"], ["ts_ms"]).select(*names(TABLE_PROCESS), "ts_ms")
 
 
 def run_base_log(spark: SparkSession, lines: DataFrame, home: str) -> None:

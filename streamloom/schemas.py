@@ -16,6 +16,9 @@ ORDER_INFO = (
 )
 ORDER_DETAIL = (f"id bigint, order_id bigint, sku_id bigint, order_price {DEC}, sku_num bigint, sku_name string, create_time string, split_total_amount {DEC}, split_activity_amount {DEC}, split_coupon_amount {DEC}")
 PAYMENT_INFO = (f"id bigint, order_id bigint, user_id bigint, total_amount {DEC}, subject string, payment_type string, create_time string, callback_time string")
+ORDER_WIDE = (
+    "order_id bigint, province_id bigint, order_status string, user_id bigint, total_amount decimal(16,2), activity_reduce_amount decimal(16,2), coupon_reduce_amount decimal(16,2), original_total_amount decimal(16,2), feight_fee decimal(16,2), create_time string, create_date string, create_hour string, detail_id bigint, sku_id bigint, order_price decimal(16,2), sku_num bigint, split_total_amount decimal(16,2), split_activity_amount decimal(16,2), split_coupon_amount decimal(16,2), split_feight_fee decimal(16,2), expire_time string, operate_time string, user_gender string, user_age int, province_name string, province_area_code string, province_iso_code string, province_3166_2_code string, sku_name string, category3_id string, spu_id string, tm_id string, spu_name string, tm_name string, category3_name string"
+)
 VISITOR_STATS = ("stt string, edt string, vc string, ch string, ar string, is_new string, uv_ct bigint, pv_ct bigint, sv_ct bigint, uj_ct bigint, dur_sum bigint, ts bigint")
 
 

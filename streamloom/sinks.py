@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .functions.scalars import without_nulls
-from .operators.routing import dim_schema
+from .operators.routing import dim_schema, extend_options
 
 
 def encoded(rows: DataFrame) -> DataFrame:
@@ -36,19 +37,59 @@ def write_routed(rows: DataFrame, where: str, image: str = "after", servers: str
         out.write.mode(mode).partitionBy("topic").text(where)
 
 
+def stream_topic(rows: DataFrame, where: str, checkpoint: str, servers: str | None = None, **trigger) -> StreamingQuery:
+    """A stream of records (``value``) to a Kafka topic, or to a directory of line files."""
+    writer = rows.select("value").writeStream.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True})
+    if servers:
+        return writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", where).start()
+    return writer.format("text").start(where)
+
+
 def create_dim_tables(spark: SparkSession, config: DataFrame, home: str) -> list[str]:
-    """An empty table for each dimension that the configuration names and that doesn't exist yet. The
-    configuration has one row per table: it is small, and its creation is the driver's work."""
+    """An empty table for each dimension that the configuration names and that doesn't exist yet, with
+    the options of its ``sink_extend``. The configuration has one row per table: it is small, and its
+    creation is the driver's work."""
     made = []
-    for row in config.filter("sink_type = 'hbase'").select("sink_table", "sink_columns", "sink_pk").distinct().toLocalIterator():
+    for row in config.filter("sink_type = 'hbase'").select("sink_table", "sink_columns", "sink_pk", "sink_extend").distinct().toLocalIterator():
+        where = f"{home}/tables/{row['sink_table']}"
         try:
-            spark.read.parquet(f"{home}/{row['sink_table']}").limit(0).count()
+            spark.read.parquet(where).limit(0).count()
         except AnalysisException:
-            spark.createDataFrame([], dim_schema(row["sink_columns"], row["sink_pk"]).replace(" not null", "")).write.parquet(f"{home}/{row['sink_table']}")
+            empty = spark.createDataFrame([], dim_schema(row["sink_columns"], row["sink_pk"]).replace(" not null", ""))
+            empty.write.options(**extend_options(row["sink_extend"])).parquet(where)
             made.append(row["sink_table"])
     return made
 
 
+def put_dims(rows: DataFrame, home: str, batch: int) -> None:
+    """A batch of routed dimension rows, appended in one write for all tables: what is written follows
+    the changes, never the tables. A batch that runs again replaces its own rows."""
+    out = rows.select("sink_table", "after", F.col("ts_ms").alias("at"))
+    out.write.mode("overwrite").partitionBy("sink_table").parquet(f"{home}/changes/batch={batch}")
+
+
+def dim_now(spark: SparkSession, home: str, table: str, key: str = "id") -> DataFrame:
+    """A dimension as its changes leave it: of each key the last one."""
+    empty = spark.read.parquet(f"{home}/tables/{table}")
+    try:
+        rows = spark.read.schema("after map<string,string>, at bigint, batch bigint, sink_table string").parquet(f"{home}/changes")
+    except AnalysisException:
+        return empty
+    rows = rows.filter(F.col("sink_table") == table).withColumn("_key", F.col("after")[key])
+    last = rows.groupBy("_key").agg(F.max_by("after", F.struct("batch", "at")).alias("after"))
+    return last.select(*[F.col("after")[c].alias(c) for c in empty.columns])
+
+
+def compact_dims(spark: SparkSession, home: str, to: str, keys: dict[str, str]) -> None:
+    """The dimensions (table -> key) in a new home, with one row a key; readers change over to it."""
+    for table, key in keys.items():
+        now = dim_now(spark, home, table, key)
+        now.limit(0).write.parquet(f"{to}/tables/{table}")
+        image = F.map_from_arrays(F.array(*[F.lit(c) for c in now.columns]), F.array(*now.columns))
+        rows = now.select(F.lit(table).alias("sink_table"), image.alias("after"), F.lit(0).cast("long").alias("at"))
+        rows.write.mode("append").partitionBy("sink_table").parquet(f"{to}/changes/batch=-1")
+
+
 def upsert(now: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """A table after changes of the same columns and ``order``: of each key the last change, or the row as it was."""
     both = now.withColumn("_at", F.lit(None).cast(changes.schema[order].dataType)).unionByName(changes.withColumnRenamed(order, "_at"))

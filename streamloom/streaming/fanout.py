@@ -12,8 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.scalars import is_object
 from ..operators import cdc, logs, routing
-from ..plans.jobs import upserted_dim
-from ..sinks import create_dim_tables, encoded, encoded_map
+from ..sinks import create_dim_tables, encoded, encoded_map, put_dims
 from . import stateful
 
 
@@ -56,7 +55,8 @@ def start_base_log(lines: DataFrame, home: str, checkpoint: str, **trigger) -> S
 
 def start_base_db(spark: SparkSession, lines: DataFrame, read_config, home: str, dims: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Change lines to topics and dimension tables. ``read_config()`` is called for every batch, so a
-    new configuration row counts from the next batch on; facts without one go to ``unmatched``."""
+    new configuration row counts from the next batch on; facts without one go to ``unmatched``. Of
+    dimensions only the batch's changes are written (``sinks.dim_now`` reads a table from them)."""
 
     def write(batch: DataFrame, number: int) -> None:
         changes = cdc.without_deletes(cdc.decode_changes(batch)).withColumn("table", F.col("source.table")).persist()
@@ -65,26 +65,8 @@ def start_base_db(spark: SparkSession, lines: DataFrame, read_config, home: str,
         out = parts["kafka"].select(F.col("sink_table").alias("topic"), encoded_map(F.col("after")).alias("value"))
         out.write.mode("overwrite").partitionBy("topic").text(f"{home}/topics/batch={number}")
         _put(encoded(parts["unmatched"]), f"{home}/unmatched", number)
-        create_dim_tables(spark, config, f"{dims}/empty")
-        for row in config.filter("sink_type = 'hbase'").select("sink_table", "sink_pk").distinct().toLocalIterator():
-            # a dimension is its versions by batch: the newest below this one, with this batch's changes
-            table = row["sink_table"]
-            now = latest_dim(spark, dims, table, number)
-            upserted_dim(now, parts["hbase"].filter(F.col("sink_table") == table), row["sink_pk"]).write.mode("overwrite").parquet(f"{dims}/{table}/version={number}")
+        create_dim_tables(spark, config, dims)
+        put_dims(parts["hbase"], dims, number)
         changes.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
-
-
-def latest_dim(spark: SparkSession, dims: str, table: str, before: int | None = None) -> DataFrame:
-    """The newest version of a dimension (below a batch's number), or its empty table."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        versions = spark.read.option("basePath", f"{dims}/{table}").parquet(f"{dims}/{table}")
-    except AnalysisException:
-        return spark.read.parquet(f"{dims}/empty/{table}")
-    if before is not None:
-        versions = versions.filter(F.col("version") < before)
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{dims}/empty/{table}") if newest is None else versions.filter(F.col("version") == newest).drop("version")

@@ -56,8 +56,9 @@ class DailyUnique(StatefulProcessor):
 class Bounces(StatefulProcessor):
     """Entries that no other page of the device follows within a time, decided in order of event time.
 
-    Rows wait until the watermark has passed them; one entry at most waits for its successor, with a
-    timer for the case that there is none."""
+    Rows wait until the watermark has passed them; one entry at most waits for its successor. A device
+    has one timer, for the first time at which something of it can be decided: when it fires, all rows
+    that the watermark has passed are, so a row is read once or twice, however many wait."""
 
     def __init__(self, within_ms: int = 10_000):
         self.within_ms = within_ms
@@ -66,12 +67,24 @@ class Bounces(StatefulProcessor):
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ts bigint, entry boolean, payload string")
         self.open = handle.getValueState("open", "ts bigint, payload string")
+        self.timer = handle.getValueState("timer", "ts bigint")
+
+    def _wake(self, ms: int | None) -> None:
+        """The one timer, set to ms unless it fires earlier."""
+        now = self.timer.get()[0] if self.timer.exists() else None
+        if ms is None or now is not None and now <= ms:
+            return
+        if now is not None:
+            self.handle.deleteTimer(now)
+        self.timer.update((ms,))
+        self.handle.registerTimer(ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = None
         for row in rows:
-            ms = row.ts_ms
-            self.waiting.appendValue((ms, row.entry, row.payload))
-            self.handle.registerTimer(ms)
+            self.waiting.appendValue((row.ts_ms, row.entry, row.payload))
+            first = row.ts_ms if first is None else min(first, row.ts_ms)
+        self._wake(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -91,11 +104,14 @@ class Bounces(StatefulProcessor):
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
+        self.timer.clear()
+        times = [r[0] for r in later[:1]]
         if entry is None:
             self.open.clear()
         else:
             self.open.update(entry)
-            self.handle.registerTimer(entry[0] + self.within_ms)
+            times.append(entry[0] + self.within_ms)
+        self._wake(min(times, default=None))
         return iter(out)
 
     def close(self) -> None:

@@ -6,7 +6,8 @@ import pytest
 
 from streamloom.sources.topics import read_topic
 from streamloom.streaming import joins as sj
-from streamloom.streaming.fanout import latest_dim, start_base_db, start_base_log
+from streamloom.sinks import compact_dims, dim_now
+from streamloom.streaming.fanout import start_base_db, start_base_log
 from tests.test_warehouse import LOG, change
 
 
@@ -38,7 +39,9 @@ def test_base_db_stream(spark, tmp_path):
     for n in (2, 1):  # a second start brings the second file alone
         start_base_db(spark, read_topic(spark, str(tmp_path / "in"), True), lambda: config, str(tmp_path / "out"), str(tmp_path / "dims"), str(tmp_path / "ck")).awaitTermination(180)
         put(tmp_path / "in", str(n), change("u", {"id": "1"}, {"id": "1", "tm_name": "b"}, ts=5), change("c", None, {"id": "2", "tm_name": "c"}, ts=6))
-    assert sorted(map(tuple, latest_dim(spark, str(tmp_path / "dims"), "dim_base_trademark").collect())) == [("1", "b"), ("2", "c")]
+    assert sorted(map(tuple, dim_now(spark, str(tmp_path / "dims"), "dim_base_trademark").collect())) == [("1", "b"), ("2", "c")]
+    compact_dims(spark, str(tmp_path / "dims"), str(tmp_path / "small"), {"dim_base_trademark": "id"})
+    assert sorted(map(tuple, dim_now(spark, str(tmp_path / "small"), "dim_base_trademark").collect())) == [("1", "b"), ("2", "c")]
     assert [r.value for r in spark.read.text(str(tmp_path / "out/topics")).collect()] == ['{"id":"9"}']
     assert spark.read.text(str(tmp_path / "out/unmatched")).count() == 1
 

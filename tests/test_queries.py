@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+import streamloom.job_queries  # noqa: F401  adds the jobs
 from streamloom.catalogue import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from streamloom.functions import scalars as S
 from streamloom.operators import cdc, joins, logs, routing, stats, visits
 from streamloom.plans import jobs
-from streamloom.sinks import create_dim_tables, encoded, upsert, write_daily, write_routed, write_topic
+from streamloom.sinks import create_dim_tables, dim_now, encoded, upsert, write_daily, write_routed, write_topic
 from streamloom.sources import topics
 
 T0 = datetime(2024, 1, 1)
@@ -111,10 +111,16 @@ def test_routing(spark, tmp_path):
     assert [r.table for r in left.collect()] == ["nobody"]
     sent = spark.read.text(str(tmp_path / "topics")).collect()
     assert [(r.topic, json.loads(r.value)) for r in sent] == [("dwd_order_info", {"id": "1", "user_id": "2"})]
-    assert spark.read.parquet(str(tmp_path / "dims/dim_base_trademark")).columns == ["id", " tm_name"]
+    assert dim_now(spark, str(tmp_path / "dims"), "dim_base_trademark").collect() == [("1", None)]  # the row is put; names aren't trimmed
+    assert dim_now(spark, str(tmp_path / "dims"), "dim_base_trademark").columns == ["id", " tm_name"]
     facts = cdc.decode_changes(lines(spark, change("c", None, {"id": "1", "tm_name": "a"}))).withColumn("table", F.col("source.table"))
     assert routing.route(facts, routing.current_config(config))["hbase"].first().after == {"id": "1"}  # names aren't trimmed
     assert create_dim_tables(spark, config, str(tmp_path / "dims")) == []
+    bare = spark.createDataFrame([("a", "c", "hbase", "dim_a", None, None, "compression=gzip"), ("a", "c", "hbase", "dim_old", "id", "k", None)], config.schema).withColumn("ts_ms", F.when(F.col("sink_table") == "dim_a", 2).otherwise(1))
+    now = routing.current_config(bare)
+    assert [(r.sink_table, r.sink_pk, r.sink_extend) for r in now.collect()] == [("dim_a", "id", "compression=gzip")]  # the last one written, by time
+    assert create_dim_tables(spark, now, str(tmp_path / "dims")) == ["dim_a"] and dim_now(spark, str(tmp_path / "dims"), "dim_a").columns == ["id"]
+    assert routing.dim_schema(None, "k") == "`k` string not null" and routing.extend_options(" a=1, b=2 x") == {"a": "1", "b": "2"}
 
 
 def test_dimension_upserts(spark):
