@@ -366,7 +366,7 @@ _JUMP = f"""n as (select *, lead(ms) over w as nms, lead(event_type = 'signup')
 def stream_unique_visit(spark, sf):
     """Daily unique visitors by keyed state."""
     where = home(spark)
-    streams.start_unique_visit(_pages(spark, sf, f"{where}/in"), f"{where}/out", f"{where}/ck", None).awaitTermination()
+    streams.start_unique_visit(_pages(spark, sf, f"{where}/in"), f"{where}/out", f"{where}/ck").awaitTermination()
     return _ids(spark, f"{where}/out")
 
 

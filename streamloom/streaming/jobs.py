@@ -28,8 +28,9 @@ def _pages(lines: DataFrame) -> DataFrame:
     return rows.filter("mid is not null and ts is not null").withColumn("time", F.timestamp_millis("ts"))
 
 
-def start_unique_visit(pages: DataFrame, topic: str, checkpoint: str, ttl_ms: int | None = stateful.DAY_MS, servers: str | None = None, **trigger) -> StreamingQuery:
-    """Page lines to those of daily unique visitors."""
+def start_unique_visit(pages: DataFrame, topic: str, checkpoint: str, ttl_ms: int | None = None, servers: str | None = None, **trigger) -> StreamingQuery:
+    """Page lines to those of daily unique visitors. With ``ttl_ms`` (``stateful.DAY_MS``) a device's day
+    is forgotten, and the stream needs a trigger that goes on."""
     entries = _pages(pages).filter("entry").select("mid", date_text(F.col("time")).alias("day"), "ts", "payload")
     return stream_topic(stateful.unique_visit_stream(entries, ttl_ms).select(F.col("payload").alias("value")), topic, checkpoint, servers, **trigger)
 

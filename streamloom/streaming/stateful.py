@@ -118,14 +118,20 @@ class Bounces(StatefulProcessor):
         pass
 
 
+def _mode(ttl_ms: int | None) -> str:
+    """State that expires keeps a stream awake: Spark then runs empty batches without end, so it needs a
+    trigger that goes on. Without expiry a stream ends with its input."""
+    return "none" if ttl_ms is None else "processingTime"
+
+
 def repaired_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """``mid``, ``is_new``, ``ts``, ``payload``, as they come; rows of one batch in order of ts."""
-    return rows.groupBy("mid").transformWithState(NewVisitorRepair(ttl_ms), "mid string, is_new string, ts bigint, payload string", "append", "processingTime")
+    return rows.groupBy("mid").transformWithState(NewVisitorRepair(ttl_ms), "mid string, is_new string, ts bigint, payload string", "append", _mode(ttl_ms))
 
 
 def unique_visit_stream(entries: DataFrame, ttl_ms: int | None = DAY_MS) -> DataFrame:
     """Entry rows as ``mid``, ``day``, ``ts``, ``payload``."""
-    return entries.groupBy("mid").transformWithState(DailyUnique(ttl_ms), "mid string, day string, ts bigint, payload string", "append", "processingTime")
+    return entries.groupBy("mid").transformWithState(DailyUnique(ttl_ms), "mid string, day string, ts bigint, payload string", "append", _mode(ttl_ms))
 
 
 def unique_visits_simple(entries: DataFrame, ts: str = "time") -> DataFrame:

@@ -26,7 +26,7 @@ def put(folder, name, *lines):
 
 def test_base_log_stream(spark, tmp_path):
     put(tmp_path / "in", "1", json.dumps(LOG), json.dumps(LOG | {"ts": LOG["ts"] + 5}), json.dumps(LOG | {"start": "icon", "ts": LOG["ts"] + 9}), "{bad")
-    start_base_log(read_topic(spark, str(tmp_path / "in"), True), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(180)
+    assert start_base_log(read_topic(spark, str(tmp_path / "in"), True), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(180)
     pages = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out/page")).collect()]
     assert {p["ts"] - LOG["ts"]: p["common"]["is_new"] for p in pages} == {0: "1", 5: "0"}
     assert spark.read.text(str(tmp_path / "out/display")).count() == 4 and spark.read.text(str(tmp_path / "out/start")).count() == 1
@@ -37,7 +37,7 @@ def test_base_db_stream(spark, tmp_path):
     config = spark.createDataFrame([("order_info", "c", "kafka", "dwd_order_info", "id", None, None)] + [("base_trademark", op, "hbase", "dim_base_trademark", "id,tm_name", None, None) for op in "cu"], ddl)
     put(tmp_path / "in", "1", change("c", None, {"id": "1", "tm_name": "a"}), change("c", None, {"id": "9", "x": "y"}, "order_info"), change("c", None, {"id": "5"}, "nobody"))
     for n in (2, 1):  # a second start brings the second file alone
-        start_base_db(spark, read_topic(spark, str(tmp_path / "in"), True), lambda: config, str(tmp_path / "out"), str(tmp_path / "dims"), str(tmp_path / "ck")).awaitTermination(180)
+        assert start_base_db(spark, read_topic(spark, str(tmp_path / "in"), True), lambda: config, str(tmp_path / "out"), str(tmp_path / "dims"), str(tmp_path / "ck")).awaitTermination(180)
         put(tmp_path / "in", str(n), change("u", {"id": "1"}, {"id": "1", "tm_name": "b"}, ts=5), change("c", None, {"id": "2", "tm_name": "c"}, ts=6))
     assert sorted(map(tuple, dim_now(spark, str(tmp_path / "dims"), "dim_base_trademark").collect())) == [("1", "b"), ("2", "c")]
     compact_dims(spark, str(tmp_path / "dims"), str(tmp_path / "small"), {"dim_base_trademark": "id"})
@@ -51,7 +51,7 @@ def test_base_log_stream_loses_and_doubles_nothing(spark, tmp_path):
     common = LOG["common"]
     lines = [LOG, LOG, LOG | {"ts": None}, LOG | {"common": common | {"mid": None}}, {"start": "icon", "common": common, "ts": None}, {"ts": 1}]
     put(tmp_path / "in", "1", *map(json.dumps, lines), "{bad", "7", "{bad")
-    start_base_log(read_topic(spark, str(tmp_path / "in"), True), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(180)
+    assert start_base_log(read_topic(spark, str(tmp_path / "in"), True), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(180)
     read = lambda name: [r.value for r in spark.read.text(str(tmp_path / "out" / name)).collect()]
     pages = [json.loads(x) for x in read("page")]
     assert sorted((p.get("ts", 0), p["common"].get("mid") or "", p["common"]["is_new"]) for p in pages) == sorted([(LOG["ts"], common["mid"], "1"), (LOG["ts"], common["mid"], "0"), (0, common["mid"], "1"), (LOG["ts"], "", "1")])

@@ -34,7 +34,7 @@ def feed(spark, tmp_path, batches, ddl, name="in"):
 def drained(out, tmp_path, mode="append"):
     name = f"out{abs(hash(str(tmp_path)))}"
     q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(180)
+    assert q.awaitTermination(180)  # the stream ends with its input
     return out.sparkSession.table(name).collect()
 
 
@@ -46,7 +46,7 @@ def test_new_visitor_stream(spark, tmp_path):
 
 def test_unique_visit_stream(spark, tmp_path):
     rows = [[{"mid": "m", "day": d, "ts": i, "payload": str(i)}] for i, d in enumerate(["d2", "d1", "d1", "d2"])]
-    out = stateful.unique_visit_stream(feed(spark, tmp_path, rows, "mid string, day string, ts bigint, payload string"))
+    out = stateful.unique_visit_stream(feed(spark, tmp_path, rows, "mid string, day string, ts bigint, payload string"), None)
     assert sorted(r.ts for r in drained(out, tmp_path)) == [0, 1, 3]
 
 
