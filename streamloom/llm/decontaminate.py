@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shingles import BASE, byte_slices
+from .shingles import BASE, byte_slices, mixed
 
 #: A passage is a leak of an item if it takes at most this share of the item's bytes in edits.
 MAX_EDITS = 0.15
@@ -25,6 +25,8 @@ SHORTEST = 32
 BITS, RECALL, MOST_REPETITIONS = 2, 0.99, 512
 #: Bytes of items that go to the executors at once: more are looked for in further passes.
 ITEM_BYTES = 16 << 20
+#: Bytes of strings that are embedded together.
+STACKED = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[[9, 10, 11, 12, 13]] = 32
@@ -105,7 +107,22 @@ def within(masks: list[int], length: int, most: int, region: bytes) -> bool:
     return score <= most
 
 
-def cgk(windows: np.ndarray, lengths: np.ndarray, coins: np.ndarray) -> np.ndarray:
+class Coins:
+    """A fair coin for each step and byte, from a hash, of which a block of steps is held at once."""
+
+    def __init__(self, seed: int):
+        self.seed, self.block, self.rows = seed, -1, np.empty((0, 256), np.int64)
+
+    def __getitem__(self, at: tuple[int, np.ndarray]) -> np.ndarray:
+        step, byte = at
+        if step >> 12 != self.block:
+            self.block = step >> 12
+            numbers = np.arange(self.block << 20, (self.block + 1) << 20, dtype=np.uint64) + np.uint64(self.seed << 44)
+            self.rows = (mixed(numbers) >> np.uint64(63)).astype(np.int64).reshape(4096, 256)
+        return self.rows[step & 4095][byte]
+
+
+def cgk(windows: np.ndarray, lengths: np.ndarray, coins: np.ndarray | Coins) -> np.ndarray:
     """CGK embedding of rows of bytes: step j writes the byte under the pointer (0 behind the end),
     and the coin of j and this byte decides whether the pointer moves on. Strings of small edit
     distance have embeddings of small Hamming distance, as their walks meet again after each edit."""
@@ -120,6 +137,25 @@ def cgk(windows: np.ndarray, lengths: np.ndarray, coins: np.ndarray) -> np.ndarr
     return out
 
 
+def embeddings(rows: list[np.ndarray], coins: Coins) -> tuple[np.ndarray, np.ndarray]:
+    """The embeddings of all rows, one behind the other, of twice each row's length, and where each
+    begins. Rows of like length are embedded together, ``STACKED`` bytes at once: a long one pads no other."""
+    sizes = np.array([len(x) for x in rows], np.int64)
+    begin = np.concatenate([[0], np.cumsum(2 * sizes)])
+    out, order, start = np.zeros(begin[-1], np.uint8), np.argsort(-sizes, kind="stable"), 0
+    while start < len(order):
+        widest = max(1, int(sizes[order[start]]))
+        part = order[start : start + max(1, STACKED // widest)]
+        stacked = np.zeros((len(part), widest), np.uint8)
+        for i, row in enumerate(part):
+            stacked[i, : sizes[row]] = rows[row]
+        made = cgk(stacked, sizes[part], coins)
+        for i, row in enumerate(part):
+            out[begin[row] : begin[row + 1]] = made[i, : 2 * sizes[row]]
+        start += len(part)
+    return out, begin
+
+
 def edited(item: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
     """The item after random substitutions, insertions and deletions, for fitting and tests."""
     out = list(item)
@@ -169,26 +205,17 @@ class Finder:
         self.pieces = [Pieces(q, which, self.items, self.most) for q, which in sorted(kinds.items())]
         self.masks: dict[int, list[int]] = {}
         if self.items:
-            self.coins = rng.integers(0, 2, (2 * int(self.lengths.max()) + 2, 256), dtype=np.int64)
-            self.embedded = cgk(*self._stacked(self.items, self.lengths), self.coins)
+            self.coins = Coins(seed)
+            self.embedded, self.begin = embeddings(self.items, self.coins)
             self.samples = rng.uniform(0, 1, (self._repetitions(recall, rng), BITS))
 
-    @staticmethod
-    def _stacked(rows: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out = np.zeros((len(rows), int(lengths.max(initial=1))), np.uint8)
-        for i, x in enumerate(rows):
-            out[i, : len(x)] = x[: out.shape[1]]
-        return out, lengths
-
     def _repetitions(self, recall: float, rng: np.random.Generator) -> int:
         """How many find a passage of MAX_EDITS with the recall wanted, as random edits of up to 256 items show."""
         some = [self.items[i] for i in rng.permutation(len(self.items))[:256]]
         changed = [edited(x, self.max_edits, rng)[: len(x)] for x in some]
-        lengths = np.array([len(x) for x in some])
-        a = cgk(*self._stacked(some, lengths), self.coins)
-        b = cgk(*self._stacked(changed, np.array([len(x) for x in changed])), self.coins)
-        width = min(a.shape[1], b.shape[1])
-        equal = [(a[i, : min(width, 2 * n)] == b[i, : min(width, 2 * n)]).mean() for i, n in enumerate(lengths)]
+        (a, at), (b, bt) = embeddings(some, self.coins), embeddings(changed, self.coins)
+        widths = np.minimum(np.diff(at), np.diff(bt))
+        equal = [(a[i : i + w] == b[j : j + w]).mean() for i, j, w in zip(at, bt, widths, strict=False) if w]
         p = max(0.05, float(np.quantile(equal, 0.1))) ** BITS
         return int(np.clip(np.ceil(np.log(1 - recall) / np.log1p(-p)), 8, MOST_REPETITIONS))
 
@@ -197,11 +224,11 @@ class Finder:
         out = []
         for start in range(0, len(windows), 4096):
             part, which = windows[start : start + 4096], item[start : start + 4096]
-            mine = cgk(*self._stacked(part, np.array([len(x) for x in part])), self.coins)
-            width = min(mine.shape[1], self.embedded.shape[1])
-            places = np.minimum((self.samples[None] * (2 * self.lengths[which])[:, None, None]).astype(np.int64), width - 1)
-            rows = np.arange(len(part))[:, None, None]
-            out.append((mine[rows, places] == self.embedded[which[:, None, None], places]).all(2).sum(1))
+            mine, begin = embeddings(part, self.coins)
+            width = np.minimum(np.diff(begin), 2 * self.lengths[which])
+            places = (self.samples[None] * width[:, None, None]).astype(np.int64)
+            left, right = begin[:-1, None, None] + places, self.begin[which][:, None, None] + places
+            out.append((mine[left] == self.embedded[right]).all(2).sum(1) * (width > 0) if len(mine) else np.zeros(len(part), np.int64))
         return np.concatenate(out) if out else np.empty(0, np.int64)
 
     def _near(self, item: int, region: np.ndarray, most: int) -> bool:
@@ -275,9 +302,11 @@ class Finder:
         return [(t, i, *found) for (t, i), found in best.items()]
 
 
-def _finders(spark: SparkSession, items: DataFrame, max_edits: float) -> Iterator:
-    """Broadcast sets of items of ``ITEM_BYTES`` at most (or one longer item), which hold all items."""
-    rows = items.select(items["item_id"].cast("long").alias("item_id"), "text").filter(F.col("item_id").isNotNull() & (F.octet_length("text") >= SHORTEST)).distinct()
+def _finders(spark: SparkSession, items: DataFrame, max_edits: float, named: bool = True) -> Iterator:
+    """Broadcast sets of items of ``ITEM_BYTES`` at most (or one longer item), which hold all items, or
+    all with an id if they must be ``named``."""
+    item_id = items["item_id"].cast("long")
+    rows = items.select((item_id if named else F.coalesce(item_id, F.lit(-1))).alias("item_id"), "text").filter(F.octet_length("text") >= SHORTEST).filter("item_id is not null").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // (ITEM_BYTES // 2)) if size > ITEM_BYTES else 1
     for n in range(passes):
@@ -298,7 +327,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
 
     Whole texts are searched where they are read; nothing is shuffled. The items are broadcast in
     sets of bounded size, one pass for each set. Null and empty texts or items, and items of under
-    ``SHORTEST`` bytes, match nothing. Items with one id are one item; repeated documents are each
+    ``SHORTEST`` bytes, match nothing, nor do items without an id. Items with one id are one item; repeated documents are each
     reported. Empty tables give an empty result.
     """
     spark, kinds = docs.sparkSession, "doc_id long, item_id long, distance long, start long, end long"
@@ -327,7 +356,8 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """The documents without those that ``leaks`` would report, all columns as they are."""
+    """The documents without those that ``leaks`` would report, all columns as they are; items without
+    an id count too. Null and empty texts, null ids and repeated rows stay; empty tables give what they must."""
     place = docs.columns.index("text")
 
     def run(shared) -> Callable:
@@ -340,6 +370,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDI
 
         return clean
 
-    for shared in _finders(docs.sparkSession, items, max_edits):
+    for shared in _finders(docs.sparkSession, items, max_edits, named=False):
         docs = docs.mapInArrow(run(shared), docs.schema)
     return docs

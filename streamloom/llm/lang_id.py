@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,8 +18,10 @@ from .common import crc_mod, written
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Training documents of each language, longest text of these (in characters), and rounds of the fit.
 SAMPLE, SAMPLE_CHARS, ROUNDS = 1500, 65_536, 3
-#: Longer runs of letters are scored in parts of this length.
+#: Longer runs of letters are scored one by one, and not learned from.
 LONGEST = 128
+#: Labels that the model has room for (pieces x languages are broadcast); more are an error.
+MOST_LANGUAGES = 512
 #: Words whose scores a task remembers.
 REMEMBERED = 300_000
 START, UNKNOWN, SMOOTHING = "▁", -14.0, 0.1
@@ -26,11 +29,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, those of over ``LONGEST`` in parts."""
-    found = _WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    """Lower-cased runs of letters."""
+    return _WORD.findall(text.lower())
 
 
 def read_vocabulary(path: str) -> list[str]:
@@ -110,6 +110,25 @@ class Pieces:
         out[order] = alpha[np.arange(len(words)), lengths]
         return out
 
+    def long_score(self, word: str, logp: np.ndarray) -> np.ndarray:
+        """As ``scores``, for one word of any length: only the sums that pieces still reach are held."""
+        text = START + word
+        ahead = deque([np.zeros(logp.shape[1])] + [np.full(logp.shape[1], -np.inf)] * self.depth)
+        for start in range(len(text)):
+            here, node = ahead.popleft(), 0
+            ahead.append(np.full(logp.shape[1], -np.inf))
+            for m, ch in enumerate(text[start : start + self.depth]):
+                key = (node << 21) | ord(ch)
+                at = int(np.searchsorted(self.keys, key))
+                known = at < len(self.keys) and self.keys[at] == key
+                node = int(self.nodes[at]) if known else 0
+                piece = int(self.piece[node]) if known else -1
+                if piece >= 0 or m == 0:
+                    ahead[m] = np.logaddexp(ahead[m], here + logp[piece])
+                if not known:
+                    break
+        return ahead[0]
+
     def expected(self, words: list[str], times: np.ndarray, lang: np.ndarray, logp: np.ndarray) -> np.ndarray:
         """Expected uses of pieces over all segmentations: pieces x languages."""
         order = np.array(sorted(range(len(words)), key=lambda i: -len(words[i])))
@@ -146,10 +165,14 @@ class LanguageModel:
         if len(self.known) > REMEMBERED or self.rows is None:
             self.known, self.rows = {}, np.empty((0, len(self.langs)))
         new = list({w for words in split for w in words if w not in self.known}) if self.langs else []
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
+        short = [w for w in new if len(w) <= LONGEST]
+        for start in range(0, len(short), 20_000):
+            part = short[start : start + 20_000]
             self.known.update(zip(part, range(len(self.known), len(self.known) + len(part)), strict=True))
             self.rows = np.concatenate([self.rows, self.pieces.scores(part, self.logp)])
+        for word in (w for w in new if len(w) > LONGEST):
+            self.known[word] = len(self.known)
+            self.rows = np.concatenate([self.rows, self.pieces.long_score(word, self.logp)[None]])
         found = []
         for words in split:
             if not words or not self.langs:
@@ -161,18 +184,19 @@ class LanguageModel:
         return found
 
 
-def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> LanguageModel:
+def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, sample: int = SAMPLE, longest: int = SAMPLE_CHARS) -> LanguageModel:
     """Piece probabilities of each language by expectation maximisation over all segmentations.
 
     Fitted on a bounded sample: of each language's documents that are not held out, the ``sample``
-    ones of the smallest md5 of their id, without texts of over ``SAMPLE_CHARS``. Their words are
+    ones of the smallest md5 of their id, without texts of over ``longest`` characters and runs of
+    over ``LONGEST`` letters (neither is left out when texts are scored). Their words are
     counted once; a round is a Spark job over these counts that returns one row per language and
     piece used.
     """
     spark = docs.sparkSession
     pieces = read_vocabulary(vocabulary)
     trie = Pieces(pieces)
-    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= SAMPLE_CHARS) & ~held_out)
+    rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= longest) & ~held_out)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     by = Window.partitionBy("lang").orderBy("key", "doc_id")
     chosen = rows.select("lang", "doc_id", key.alias("key")).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= sample)
@@ -185,13 +209,15 @@ def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULAR
         for batch in batches:
             langs, words = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = words_of(text)
+                found = [w for w in words_of(text) if len(w) <= LONGEST]
                 langs += [lang] * len(found)
                 words += found
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["lang", "word"])
 
     counts = written(texts.select("lang", "text").mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} different labels")
     place = {lang: i for i, lang in enumerate(langs)}
     logp = np.full((len(pieces) + 1, len(langs)), -np.log(len(pieces)))
     logp[-1] = UNKNOWN

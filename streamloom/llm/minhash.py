@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, doc_key, hash_pair, packed, unpacked, written
+from .common import LAST_ID, doc_key, hash_pair, joined_hot, packed, unpacked, written
 from .components import components
 from .shingles import byte_slices, mixed, shingle_hashes, shingle_sets
 
@@ -154,7 +154,7 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
     """``did``, ``t1``, ``t2``, ``n_shingles``, ``root`` and ``kept`` of each different text of each id."""
     made = base.select("did", "body", "t1", "t2").mapInArrow(_sketched(words), "did long, t1 long, t2 long, n_shingles long, s1 long, s2 long, keys array<long>")
     made = written(made)
-    classes = made.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("did", "t1", "t2")).alias("text"))
+    classes = made.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("held"), F.first("keys").alias("keys"), F.min(F.struct("did", "t1", "t2")).alias("text"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()))
     bands = classes.select("cls", F.explode("keys").alias("key"))
     hubs = written(bands.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub < last").select("key", "hub"))
@@ -192,8 +192,11 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
     found = written(classes.select("cls", "text").join(components(confirmed), F.col("cls") == F.col("node")).select("cls", "text", "root"))
     firsts = found.groupBy("root").agg(F.min("text").alias("first"))
     found = found.join(firsts, "root").select("cls", "first")
-    same = classes.join(found, "cls", "left").select("s1", "s2", F.coalesce("first", "text").alias("first"))
-    rows = made.select("did", "t1", "t2", "n_shingles", "s1", "s2").distinct().join(same, ["s1", "s2"], "left")
+    same = written(classes.join(found, "cls", "left").select("s1", "s2", F.col("held").alias("n"), F.coalesce("first", "text").alias("first")))
+    # a set that very many texts hold is hot; texts without words have none and meet nothing
+    sets = made.select("did", "t1", "t2", "n_shingles", "s1", "s2")
+    rows = joined_hot(sets.filter("n_shingles > 0"), same, ["s1", "s2"], made.count())
+    rows = rows.unionByName(sets.filter("n_shingles = 0"), allowMissingColumns=True)
     kept = F.coalesce(F.struct("did", "t1", "t2") == F.col("first"), F.lit(True))
     rows = rows.select("did", "t1", "t2", "n_shingles", F.coalesce("first.did", "did").alias("root"), kept.alias("kept"))
     return rows.groupBy("did", "t1", "t2").agg(F.min("n_shingles").alias("n_shingles"), F.min("root").alias("root"), F.max("kept").alias("kept"))

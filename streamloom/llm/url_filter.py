@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import joined_hot, written
+
 _HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
@@ -35,9 +37,9 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     Kinds: ``host`` (that host alone), ``domain`` (it and its subdomains), ``url`` (that URL without
     its fragment, in lower case). A URL's few possible keys are exploded and equi-joined with the
-    intervals; the fetch time decides inside the join. Equal captures are judged once, so a hot URL
-    is one row; a hot host's captures stay spread by the join's adaptive split, or unshuffled where
-    Spark finds the intervals small enough to broadcast by its own size check.
+    intervals; the fetch time decides after the join. Equal captures are judged once, so a hot URL is
+    one row; keys of very many captures (a large host, a top-level domain) stay where they are read
+    and meet a broadcast of those keys' intervals alone (``joined_hot``).
 
     Null or relative URLs have no host and can match by ``url`` only; a null fetch time matches
     nothing. One row per input row. Empty lists block nothing; no captures give no rows.
@@ -53,9 +55,9 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
     asked = c.filter("url is not null and fetched is not null").select("url", "host", "fetched").distinct()
     asked = asked.withColumn("key", F.explode(keys)).select("url", "fetched", "key.kind", "key.value").filter("value is not null")
-    v = validity_intervals(entries)
-    active = (asked["fetched"] >= v["since"]) & (v["until"].isNull() | (asked["fetched"] < v["until"]))
-    hits = asked.join(v, (asked["kind"] == v["kind"]) & (asked["value"] == v["value"]) & active)
+    asked, names = written(asked), ["kind", "value"]
+    v = written(validity_intervals(entries).join(asked.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), names))
+    hits = joined_hot(asked, v, names, asked.count()).filter("fetched >= since and (until is null or fetched < until)")
     hits = hits.groupBy("url", "fetched").agg(F.sort_array(F.collect_set("list")).alias("found"))
     found = F.coalesce("found", F.array().cast("array<string>"))
     return c.join(hits, ["url", "fetched"], "left").select("page_id", "url", "host", "fetched", found.alias("lists"), (F.size(found) > 0).alias("blocked"))

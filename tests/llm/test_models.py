@@ -87,6 +87,8 @@ def test_forward_sums_all_segmentations():
         return out + (exp(-9.0) * total(text[1:], lang) if text[0] not in pieces else 0)
 
     trie, words = Pieces(pieces), ["ab", "abab", "b", "axb", "aabba"]
+    assert np.allclose([trie.long_score(w, logp) for w in words], trie.scores(words, logp))
+    assert np.allclose(trie.long_score("ab" * 150, logp), trie.scores(["ab" * 150], logp)[0])
     scores = trie.scores(words, logp)
     assert np.allclose(scores, [[log(total("▁" + w, k)) for k in (0, 1)] for w in words])
     uses = trie.expected(["ab"], np.array([2.0]), np.array([0]), logp)

@@ -274,6 +274,21 @@ def test_edit_distance_and_embedding():
     assert (e[0] == e[1]).mean() > 0.5 > (e[0] == e[2]).mean() + 0.2
 
 
+def test_embedding_pads_no_item_to_the_longest():
+    rng = np.random.default_rng(21)
+    rows = [rng.integers(97, 123, n).astype(np.uint8) for n in (5, 0, 300, 40_000, 7)] + [rng.integers(97, 123, 60).astype(np.uint8) for _ in range(300)]
+    from streamloom.llm.decontaminate import Coins, embeddings
+
+    out, begin = embeddings(rows, Coins(3))
+    assert len(out) == 2 * sum(map(len, rows))
+    for i in (0, 2, 3, 4, 200):
+        alone = cgk(rows[i][None], np.array([len(rows[i])]), Coins(3))[0]
+        assert (out[begin[i] : begin[i + 1]] == alone).all()
+    finder = Finder([1, 2], [bytes(rows[2]), bytes(rows[3])])
+    text = np.concatenate([rows[5], rows[3], rows[6]])
+    assert [hit[:3] for hit in finder.find(text, np.array([0, len(text)]))] == [(0, 1, 0)]
+
+
 def test_leaks(spark):
     rng = random.Random(10)
     nrng = np.random.default_rng(10)
