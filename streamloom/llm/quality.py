@@ -17,6 +17,8 @@ SAMPLE = 1200
 #: Longer labelled texts are left out of the sample (never out of the scoring).
 SAMPLE_BYTES = 32_768
 DICTIONARY_BYTES, LEVEL = 262_144, 3
+#: Weight of the penalty that keeps the calibration finite where the classes are apart.
+RIDGE = 1.0
 
 
 @lru_cache(maxsize=2)
@@ -52,16 +54,27 @@ def _dictionary(texts: list[bytes]) -> bytes:
 
 
 def _calibrated(features: np.ndarray, labels: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge logistic regression by Newton steps, the classes weighted by their share of all labels."""
+    """Ridge logistic regression by Newton steps, halved until they lower the loss; the classes are
+    weighted by their share of all labels."""
     mean, spread = features.mean(0), features.std(0)
     mean[0], spread[0] = 0, 1
     spread[spread == 0] = 1
     z, beta = (features - mean) / spread, np.zeros(features.shape[1])
     weight = np.where(labels == 1, share / max(1, labels.sum()), (1 - share) / max(1, (1 - labels).sum())) * len(labels)
-    for _ in range(30):
+
+    def loss(beta: np.ndarray) -> float:
+        x = z @ beta
+        return float((weight * (np.logaddexp(0, x) - labels * x)).sum() + RIDGE / 2 * beta @ beta)
+
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + 0.01 * np.eye(len(beta))
-        beta += np.clip(np.linalg.solve(hessian, z.T @ (weight * (labels - p)) - 0.01 * beta), -5, 5)
+        hessian = (z * (weight * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(beta))
+        step, now = np.linalg.solve(hessian, z.T @ (weight * (labels - p)) - RIDGE * beta), loss(beta)
+        while np.abs(step).max() > 1e-8 and loss(beta + step) > now:
+            step = step / 2
+        beta = beta + step
+        if np.abs(step).max() <= 1e-8:
+            break
     return mean, spread, beta
 
 

@@ -129,6 +129,22 @@ def test_quality(spark):
     assert quality_scores(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("apart", [0.5, 3, 50])
+def test_calibration_converges(apart):
+    """Classes that overlap, hardly do, or are far apart: the loss has one minimum, and steps reach it."""
+    from streamloom.llm.quality import _calibrated
+
+    rng = np.random.default_rng(8)
+    y = (np.arange(400) % 5 > 0).astype(float)
+    x = y * apart + rng.normal(size=400)
+    features = np.column_stack([np.ones(400), x, 0.5 * x + 1e-3 * rng.normal(size=400), x * np.abs(x)])
+    mean, spread, beta = _calibrated(features, y, 0.8)
+    z = (features - mean) / spread
+    p = 1 / (1 + np.exp(-z @ beta))
+    assert np.abs(beta).max() < 20 and np.abs(z.T @ (y - p) * 1.0 - beta).max() < 1e-3
+    assert p[y == 1].mean() > p[y == 0].mean() + 0.1 * min(apart, 3)
+
+
 def test_url_filter(spark):
     e = [("spam", "domain", "Bad.com", "add", date(2024, 1, 10)), ("spam", "domain", "bad.com", "remove", date(2024, 2, 1)), ("spam", "domain", "bad.com", "add", date(2024, 3, 1)), ("x", "host", "a.org", "add", date(2024, 1, 1)), ("x", "host", "a.org", "add", date(2024, 1, 1)), ("x", "host", "a.org", "remove", date(2024, 1, 1)), ("u", "url", "http://a.org/p", "add", date(2023, 1, 1)), (None, "host", "a.org", "add", date(2023, 1, 1)), ("z", "path", "a.org", "add", date(2023, 1, 1))]
     entries = spark.createDataFrame(e, "list string, kind string, value string, action string, at date")
