@@ -16,7 +16,7 @@ from .mixing import fair_queue
 from .quality import quality_scores
 from .suffix_dedup import repeated_spans
 from .token_counts import length_histogram
-from .url_filter import url_filter
+from .url_filter import host_of, list_keys, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-#: Changes of three block lists, as (list, kind, value, action, date).
+#: Changes of three block lists, as (list, kind, value, action, date); ``dated_list`` adds more from the pages.
 URL_LIST = [
     ("spam", "domain", "cheap-pills.example.net", "add", "2024-01-10"),
     ("spam", "domain", "cheap-pills.example.net", "remove", "2024-09-01"),
@@ -74,12 +74,33 @@ URL_LIST = [
 ]
 
 
+def dated_list(pages: DataFrame) -> DataFrame:
+    """``URL_LIST``, and changes made from the pages, as the tables hold no list: the hash of what an entry
+    could name says if it was ever listed (one of 8 hosts and domains, one of 64 URLs), in which list and
+    when, whether it was removed (3 of 4) and then listed again (half of these). So the list grows with the pages, as do
+    those listed at several times."""
+    named = pages.select("url", host_of(F.col("url")).alias("host")).select(F.explode(list_keys(F.col("url"), F.col("host"))).alias("key")).select("key.*")
+    named = named.filter("value is not null and (kind != 'domain' or contains(value, '.'))").distinct()
+    n = F.conv(F.substring(F.md5(F.concat_ws(" ", "kind", "value")), 1, 7), 16, 10).cast("int")
+    made = named.withColumn("n", n).filter("n % if(kind = 'url', 64, 8) = 0").selectExpr(
+        "element_at(array('adult', 'legal', 'spam'), cast(n div 64 % 3 + 1 as int)) as list",
+        "kind",
+        "value",
+        "date_add(date'2024-01-01', cast(n div 256 % 600 as int)) as added",
+        "if(n div 512 % 4 = 0, null, cast(n div 4096 % 200 + 1 as int)) as days",
+        "n div 2048 % 2 = 0 as again",
+    )
+    changes = "array(named_struct('action', 'add', 'at', added), named_struct('action', 'remove', 'at', date_add(added, days)), named_struct('action', 'add', 'at', if(again, date_add(added, days + 30), null)))"
+    made = made.selectExpr("list", "kind", "value", f"inline({changes})").filter("at is not null")
+    fixed = pages.sparkSession.createDataFrame(URL_LIST, "list string, kind string, value string, action string, at string")
+    return fixed.withColumn("at", F.col("at").cast("date")).unionByName(made)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages carry no fetch time: page n counts as fetched n mod 730 days after 1 January 2024."""
     pages = _table(spark, sf_dir, "pages")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 730).cast("int"))
-    entries = spark.createDataFrame(URL_LIST, "list string, kind string, value string, action string, at string").withColumn("at", F.col("at").cast("date"))
-    judged = url_filter(pages.select("page_id", "url", fetched.alias("fetched")), entries)
+    judged = url_filter(pages.select("page_id", "url", fetched.alias("fetched")), dated_list(pages))
     return judged.select("page_id", "host", "fetched", F.array_join("lists", ",").alias("lists"), "blocked")
 
 
@@ -135,11 +156,21 @@ select doc_id, size, source_size, target,
   + greatest(0, least(size, cut - 2 * source_size - upto + size)))::bigint as taken
 from q join t on q.source is not distinct from t.source""",
     "op8_url_filter": """
-with e(name, kind, value, action, day) as (values """ + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in URL_LIST) + """),
-i as (select name, kind, value, day::date as since, action, lead(day::date) over (partition by name, kind, value order by day, action) as until from e),
-v as (select * from i where action = 'add' and (until is null or until > since)),
+with f(name, kind, value, action, day) as (values """ + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in URL_LIST) + """),
 c as (select page_id, url, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') as host,
   date '2024-01-01' + (page_id % 730)::int as fetched from pages),
+k as (select 'host' as kind, host as value from c union select 'url', regexp_replace(lower(url), '#.*$', '') from c
+  union select 'domain', unnest([array_to_string(string_split(host, '.')[j:], '.') for j in range(1, len(string_split(host, '.')))]) from c),
+n as (select kind, value, ('0x' || substr(md5(kind || ' ' || value), 1, 7))::int as n from k where value is not null),
+m as (select kind, value, ['adult', 'legal', 'spam'][n // 64 % 3 + 1] as name, date '2024-01-01' + n // 256 % 600 as added,
+  case when n // 512 % 4 != 0 then n // 4096 % 200 + 1 end as days, n // 2048 % 2 = 0 as again from n where n % case kind when 'url' then 64 else 8 end = 0),
+e as (select name, kind, value, action, day::date as day from f
+  union all select name, kind, value, 'add', added from m
+  union all select name, kind, value, 'remove', added + days from m where days is not null
+  union all select name, kind, value, 'add', added + days + 30 from m where days is not null and again),
+i as (select distinct name, kind, value, day, action from e),
+s as (select name, kind, value, day as since, action, lead(day) over (partition by name, kind, value order by day, action) as until from i),
+v as (select * from s where action = 'add' and (until is null or until > since)),
 h as (select c.page_id, string_agg(distinct v.name, ',' order by v.name) as lists from c join v
   on c.fetched >= v.since and (v.until is null or c.fetched < v.until)
   and (v.kind = 'host' and c.host = v.value or v.kind = 'domain' and (c.host = v.value or ends_with(c.host, '.' || v.value))

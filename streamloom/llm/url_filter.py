@@ -16,6 +16,18 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def list_keys(url: Column, host: Column) -> Column:
+    """What an entry that lists a URL can say, as an array of ``kind`` and ``value``: its host, itself
+    without a fragment, and each domain that the host is in. Without a host the first is null and there are no domains."""
+    labels = F.split(host, r"\.")
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    return F.concat(
+        F.array(key("host", host), key("url", F.regexp_replace(F.lower(url), "#.*$", ""))),
+        F.coalesce(F.transform(domains, lambda d: key("domain", d)), F.array().cast("array<struct<kind:string,value:string>>")),
+    )
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """Dated changes (``list``, ``kind``, ``value``, ``action``, ``at``) as intervals ``[since, until)``.
 
@@ -45,16 +57,8 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     nothing. One row per input row. Empty lists block nothing; no captures give no rows.
     """
     c = captures.select("page_id", "url", "fetched").withColumn("host", host_of(F.col("url")))
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    bare = F.regexp_replace(F.lower("url"), "#.*$", "")
-    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    keys = F.concat(
-        F.array(key("host", F.col("host")), key("url", bare)),
-        F.coalesce(F.transform(parents, lambda d: key("domain", d)), F.array().cast("array<struct<kind:string,value:string>>")),
-    )
     asked = c.filter("url is not null and fetched is not null").select("url", "host", "fetched").distinct()
-    asked = asked.withColumn("key", F.explode(keys)).select("url", "fetched", "key.kind", "key.value").filter("value is not null")
+    asked = asked.withColumn("key", F.explode(list_keys(F.col("url"), F.col("host")))).select("url", "fetched", "key.kind", "key.value").filter("value is not null")
     asked, names = written(asked), ["kind", "value"]
     v = written(validity_intervals(entries).join(asked.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), names))
     hits = joined_hot(asked, v, names, asked.count()).filter("fetched >= since and (until is null or fetched < until)")
