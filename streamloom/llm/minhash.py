@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, doc_key, hash_pair, joined_hot, packed, unpacked, written
@@ -107,6 +108,16 @@ def _links(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple
     return out
 
 
+def size_level(n: Column, percent: int) -> Column:
+    """Number of a set's level of sizes: sets of ``100 * both >= percent * either`` have sizes in a ratio
+    of at most ``100 / percent``, so their levels differ by 1 at most (the width is a little more)."""
+    return F.floor(F.log(n) / (math.log(100 / percent) + 1e-9)).cast("long")
+
+
+def _block(level: Column, k: Column) -> Column:
+    return level * 2**32 + k
+
+
 def _base(docs: DataFrame, columns: list[str]) -> DataFrame:
     t1, t2 = hash_pair(F.col("body"))
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("doc"), doc_key(docs["doc_id"]).alias("did"), F.coalesce(docs["text"], F.lit("")).alias("body"))
@@ -125,7 +136,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     2. Band keys that several classes share link each of them with the smallest of the key, never all
        pairs; components of these links are the groups of candidates.
     3. The texts of groups meet, and every link inside a group is decided on the full sets. Groups of
-       over ``BLOCK`` different sets are dealt out by pairs of blocks, so no task grows with a group.
+       over ``BLOCK`` different sets are dealt out by levels of size (``size_level``), and by pairs of
+       blocks within a level and between adjacent ones, so no task grows with a group.
        Tasks return a spanning forest of the links they find.
     4. Components of the confirmed links are the result.
 
@@ -162,17 +174,34 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
     groups = components(met)
     members = classes.select("cls", "n", "text.*").join(groups, F.col("cls") == F.col("node")).select("cls", "n", "did", "t1", "t2", F.col("root").alias("grp"))
     members = written(members)
-    sizes = members.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    # groups are put together to tasks of some size; of a large one the sets are dealt out by size, as
+    # similar sets are in one level of sizes or in two adjacent ones, and only these levels meet
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    sizes = sizes.select("grp", blocks.alias("blocks"))
-    # groups are put together to tasks of some size; a large one has a task for each pair of blocks
+    sums = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")]
+    members = members.withColumn("level", size_level(F.col("n"), percent))
+    levels = members.groupBy("grp", "level").agg(*sums).withColumn("blocks", blocks)
+    sizes = levels.groupBy("grp").agg(F.sum("m").alias("m"), F.sum("total").alias("total")).select("grp", (blocks > 1).alias("split"))
+    by = Window.partitionBy("grp").orderBy("level")
+    above = F.when(F.lead("level").over(by) == F.col("level") + 1, F.lead("blocks").over(by))
+    below = F.when(F.lag("level").over(by) == F.col("level") - 1, F.lag("blocks").over(by))
+    levels = levels.select("grp", "level", "blocks", F.coalesce(above, F.lit(0)).alias("above"), F.coalesce(below, F.lit(0)).alias("below"))
     total = members.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // (BLOCK_SHINGLES // 2)))
-    mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, mine).alias("i"), F.greatest(j, mine).alias("j")))
-    placed = members.join(sizes, "grp").withColumn("mine", mine).withColumn("pair", F.explode(every))
-    bin_ = F.when(F.col("blocks") > 1, F.col("grp")).otherwise(F.pmod(F.xxhash64("grp"), F.lit(bins)))
-    placed = placed.select("cls", "did", "t1", "t2", "grp", "mine", (F.col("blocks") > 1).alias("split"), bin_.alias("bin"), "pair.i", "pair.j")
+    small = members.join(sizes.filter(~F.col("split")), "grp").withColumns({"mine": F.lit(0).cast("long"), "bin": F.pmod(F.xxhash64("grp"), F.lit(bins))})
+    small = small.withColumn("pair", F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    mine = _block(F.col("level"), F.pmod(F.xxhash64("cls"), F.col("blocks")))
+
+    def meets(step: int, count: str) -> Column:
+        def pair(k: Column) -> Column:
+            other = _block(F.col("level") + step, k)
+            return F.struct(F.least(other, F.col("mine")).alias("i"), F.greatest(other, F.col("mine")).alias("j"))
+
+        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), pair)
+
+    large = members.join(sizes.filter("split").select("grp", "split"), "grp").join(levels, ["grp", "level"]).withColumns({"mine": mine, "bin": F.col("grp")})
+    large = large.withColumn("pair", F.explode(F.concat(meets(0, "blocks"), meets(1, "above"), meets(-1, "below"))))
+    names = ["cls", "did", "t1", "t2", "grp", "mine", "split", "bin", "pair.i", "pair.j"]
+    placed = small.select(*names).unionByName(large.select(*names))
     # members grow with the input, so this join is the same at every size: never a broadcast
     texts = packed(base.select("did", "t1", "t2", "body")).join(placed.hint("merge"), ["did", "t1", "t2"])
 

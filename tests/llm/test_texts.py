@@ -168,10 +168,10 @@ def test_near_duplicates(spark, monkeypatch):
         w = rng.choice(base).split(" ")
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(len(w))] = "changed" + str(rng.randrange(9))
-        rows.append((i, " ".join(w)))
+        rows.append((i, " ".join(w[: rng.choice([60, 60, 55, 50, 45, 40])])))  # several levels of sizes
     rows += [(80, None), (81, ""), (82, "one two"), (83, "ONE  two"), (None, base[0]), (3, rows[3][1]), (90, prose(rng, 3000))]
     want = _near(rows, 4, 80)
-    for block in (2048, 8):  # in one task, and by pairs of blocks
+    for block in (2048, 8):  # in one task, and by levels of sizes and pairs of blocks
         monkeypatch.setattr("streamloom.llm.minhash.BLOCK", block)
         got = near_duplicates(table(spark, rows), 4, 80).collect()
         assert sorted(((r.doc.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == want
