@@ -2,6 +2,9 @@
 
 import json
 import random
+import socket
+import threading
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from streamloom.functions import scalars as S
 from streamloom.operators import cdc, joins, logs, routing, stats, visits
 from streamloom.plans import jobs
-from streamloom.sinks import create_dim_tables, dim_now, encoded, upsert, write_daily, write_routed, write_topic
+from streamloom.sinks import console, create_dim_tables, dim_now, encoded, upsert, write_daily, write_routed, write_topic
 from streamloom.sources import topics
 
 T0 = datetime(2024, 1, 1)
@@ -197,3 +200,49 @@ def test_topics_and_logs(spark, tmp_path):
     assert sorted(r.id for r in spark.sql("select * from binlog").collect()) == [2, 3]
     config = jobs.config_of(cdc.decode_changes(lines(spark, change("c", None, {"source_table": "a", "operate_type": "c", "sink_type": "kafka"}), change("d", {"source_table": "a", "operate_type": "c"}, None, "t", 2), change("r", None, {"source_table": "b", "operate_type": "c"}))).withColumn("ts_ms", F.col("ts_ms")))
     assert [r.source_table for r in config.collect()] == ["b"]
+
+
+def test_jdbc_query(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/store;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    rows = spark.createDataFrame([(1, "north", None), (2, "south", 7)], "id int, region_name string, tm_count int")
+    rows.write.format("jdbc").options(url=url, driver=driver, dbtable="base_province").save()
+    query = 'select "region_name", "tm_count" from base_province where "id" > 1'
+    assert topics.read_jdbc(spark, url, query, driver=driver).columns == ["region_name", "tm_count"]
+    found = topics.read_jdbc(spark, url, query, to_camel=True, driver=driver)
+    assert found.columns == ["regionName", "tmCount"] and [tuple(r) for r in found.collect()] == [("south", 7)]
+    assert topics.read_jdbc(spark, url, 'select "id" from base_province where "id" > 9', driver=driver).count() == 0
+
+
+def test_socket_and_console(spark):
+    """Lines of a socket as a stream, split as CSV, and shown at the console."""
+    server = socket.create_server(("127.0.0.1", 0))
+    port = server.getsockname()[1]
+
+    def serve():
+        while True:  # the source opens a connection for its schema's sake and one for each run
+            try:
+                peer, _ = server.accept()
+                peer.sendall(b"1,first,1700000000\n2,second,1700000060\n")
+                open_.append(peer)
+            except OSError:
+                return
+
+    open_ = []
+    threading.Thread(target=serve, daemon=True).start()
+    rows = topics.csv_rows(topics.read_socket(spark, "127.0.0.1", port), "id int, name string, ts bigint", seconds="ts")
+    query = console(rows)
+    memory = rows.writeStream.format("memory").queryName("socket_rows").start()
+    try:
+        end = time.time() + 60
+        while spark.table("socket_rows").count() < 2 and time.time() < end:
+            time.sleep(0.2)
+        got = [(r.id, r.name, r.ts.timestamp()) for r in spark.table("socket_rows").orderBy("id").collect()]
+        query.processAllAvailable()
+    finally:
+        query.stop()
+        memory.stop()
+        server.close()
+        for peer in open_:
+            peer.close()
+    assert got == [(1, "first", 1_700_000_000), (2, "second", 1_700_000_060)]
+    assert query.exception() is None
