@@ -11,6 +11,7 @@ from .ann import nearest
 from .decontaminate import leaks
 from .lang_id import identify
 from .line_dedup import line_dedup
+from .merkle import proof_text, verified_manifest
 from .minhash import near_duplicates
 from .mixing import fair_queue
 from .quality import quality_scores
@@ -113,6 +114,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = verified_manifest(_table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_ann": op2_ann,
@@ -124,11 +130,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle": op11_merkle,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _merkle_levels(name: str, leaves: str, walkers: str, levels: int) -> str:
+    """SQL that builds ``levels`` levels over ``leaves`` (g, pos, n, h) and walks ``walkers`` (with pos, n,
+    seen, proof) up through them: tables ``{name}_n`` of tops and ``{name}_p`` of walkers at the top."""
+    sql = f"{name}_n0 as (select g, pos, n, h from {leaves}), {name}_p0 as (select * from {walkers})"
+    for k in range(levels):
+        last = "" if k == levels - 1 else str(k + 1)
+        sql += f""",
+{name}_r{k} as (select g, pos // 16 as run, any_value(n) as n, list(h order by pos) as hs from {name}_n{k} where n > 1 group by g, pos // 16),
+{name}_n{last} as (select g, run as pos, (n + 15) // 16 as n, sha256(array_to_string(hs, '')) as h from {name}_r{k} union all select g, pos, n, h from {name}_n{k} where n = 1),
+{name}_p{last} as (select p.* replace (p.pos // 16 as pos, (p.n + 15) // 16 as n, p.proof || coalesce(array_to_string(hs[:p.pos % 16], '') || array_to_string(hs[p.pos % 16 + 2:], ''), '') as proof,
+    coalesce(sha256(array_to_string(hs[:p.pos % 16], '') || p.seen || array_to_string(hs[p.pos % 16 + 2:], '')), p.seen) as seen)
+  from {name}_p{k} p left join {name}_r{k} r on p.g is not distinct from r.g and p.pos // 16 = r.run and p.n > 1)"""
+    return sql
+
+
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+_RECORD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+#: crc32, a bit at a time: each byte is taken in, then shifted out in eight steps.
+_CRC = "xor(list_reduce(flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_concat([ascii(c)::bigint], list_resize([]::bigint[], 8, -1)))), lambda a, b: case when b >= 0 then xor(a, b) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, 4294967295::bigint), 4294967295::bigint)"
+
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": f"""
 with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
@@ -189,4 +218,13 @@ r(node, seen) as (select doc_id, doc_id from documents union select r.node, e.b
 c as (select node, min(seen) as root from r group by node)
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.root as component_id, w.doc_id = c.root as kept
 from w left join n on w.doc_id = n.doc_id join c on w.doc_id = c.node""",
+    "op11_merkle": f"""
+with d as (select doc_id, source as g, sha256({_RECORD} || {_FIELD.format("text")}) as leaf,
+    sha256({_RECORD} || {_FIELD.format(f"(case when {_CRC} % 5 = 0 then {_FOLD.format('text')} else text end)")}) as seen from documents),
+l as (select *, row_number() over (partition by g order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by g) as n, leaf as h, '' as proof from d),
+{_merkle_levels("a", "l", "l", 7)},
+s as (select 0 as g, row_number() over (order by g nulls first) - 1 as pos, count(*) over () as n, h, g as source from a_n),
+w as (select 0 as g, s.pos, s.n, p.seen, p.proof, p.doc_id, p.leaf, s.h as subroot from a_p p join s on p.g is not distinct from s.source),
+{_merkle_levels("b", "s", "w", 4)}
+select doc_id, leaf, subroot, b_n.h as root, sha256(proof) as proof_sha256, seen as folded_root, seen = b_n.h as verified from b_p, b_n""",
 }
