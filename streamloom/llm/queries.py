@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .bpe import decoded, encoded
 from .decontaminate import leaks
 from .lang_id import identify
 from .line_dedup import line_dedup
@@ -119,6 +121,14 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """``vocabulary`` is the path of a tokenizer file on every machine, ``byte_bpe_50k.json`` by default."""
+    path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
+    found = decoded(encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    n = (F.octet_length("ids") / 4).cast("long")
+    return found.select("doc.doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_ann": op2_ann,
@@ -131,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
+    "op12_bpe": op12_bpe,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
