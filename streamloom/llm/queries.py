@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe import decoded, encoded
 from .decontaminate import leaks
+from .hard_negatives import hard_negatives
 from .lang_id import identify
 from .line_dedup import line_dedup
 from .merkle import proof_text, verified_manifest
@@ -129,6 +130,11 @@ def op12_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return found.select("doc.doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_id": op1_lang_id,
     "op2_ann": op2_ann,
@@ -142,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle": op11_merkle,
     "op12_bpe": op12_bpe,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -238,4 +245,12 @@ s as (select 0 as g, row_number() over (order by g nulls first) - 1 as pos, coun
 w as (select 0 as g, s.pos, s.n, p.seen, p.proof, p.doc_id, p.leaf, s.h as subroot from a_p p join s on p.g is not distinct from s.source),
 {_merkle_levels("b", "s", "w", 4)}
 select doc_id, leaf, subroot, b_n.h as root, sha256(proof) as proof_sha256, seen as folded_root, seen = b_n.h as verified from b_p, b_n""",
+    "op13_hard_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+    from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score from e a join e b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+p as (select anchor_id, other as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, other)::int as rank, other as negative_id, positive_score, score as negative_score
+from p join s on p.anchor_id = s.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, other) <= 3""",
 }
