@@ -226,7 +226,6 @@ def coalesce_merge(spark, sf):
 )
 def log_split(spark, sf):
     raw = F.to_json(F.struct(F.struct(F.col("user_id").cast("string").alias("mid")).alias("common"), F.when(F.col("event_type") == "signup", "icon").alias("start"), F.when(F.col("event_type") == "view", F.struct(F.col("event_type").alias("page_id"))).alias("page"), F.col("event_id").alias("ts")))
-    rows, _ = logs.parse_logs(table(spark, sf, "events").select(raw.alias("value")))
-    start, page, _ = logs.split_logs(rows)
-    kinds = start.select("ts", F.lit("signup").alias("event_type"), F.lit("start").alias("kind")).unionByName(page.select("ts", F.col("page.page_id").alias("event_type"), F.lit("page").alias("kind")))
-    return kinds.select(F.col("ts").alias("event_id"), "event_type", "kind")
+    docs = logs.documents(table(spark, sf, "events").select(raw.alias("value")))
+    kind = F.when(F.col("kind") == "start", "signup").otherwise(F.try_variant_get("doc", "$.page.page_id", "string"))
+    return docs.filter("kind <> 'dirty'").select(F.col("ts").alias("event_id"), kind.alias("event_type"), "kind")

@@ -57,6 +57,16 @@ def is_object(json: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT"), F.lit(False))
 
 
+def fields_of(doc: Column) -> Column:
+    """The fields of a variant that is an object, by name; null for anything else."""
+    return F.try_variant_get(doc, "$", "map<string,variant>")
+
+
+def put_json(doc: Column, key: str, value: Column) -> Column:
+    """A JSON object (variant) with one key set anew; what else it holds stays as it is."""
+    return F.to_variant_object(put(fields_of(doc), key, value))
+
+
 def put(m: Column, key: str, value: Column) -> Column:
     """A map with one key set anew."""
     return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(F.lit(key), value))

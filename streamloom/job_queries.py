@@ -18,10 +18,12 @@ from .catalogue import query, table
 from .functions import scalars as S
 from .operators import cdc, joins, logs, routing
 from .plans import jobs
+from .records import Topics
 from .sources import topics
 from .streaming import fanout
 from .streaming import jobs as streams
 from .streaming import joins as sj
+from .streaming import stateful
 
 AS_OF = "2024-01-01"
 
@@ -137,67 +139,85 @@ def payment_wide_rows(spark, sf):
     return _plain(jobs.payment_wide(sinks.encoded(_payments(spark, sf)), wides).select(*_PAID_COLUMNS))
 
 
-def _logs(spark, sf) -> DataFrame:
-    """Events as log lines: sign-ups start, errors are dirty, views have two displays and clicks none."""
-    e, kind = table(spark, sf, "events"), F.col("event_type")
-    item = lambda x: F.struct(F.concat(F.col("event_id").cast("string"), F.lit(x)).alias("item"))
-    line = F.struct(
-        F.struct(F.col("user_id").cast("string").alias("mid"), F.when(kind.isin("signup", "view"), "1").otherwise("0").alias("is_new"), F.lit("v1").alias("vc"), (F.col("user_id") % 3).cast("string").alias("ch"), kind.alias("ar")).alias("common"),
-        F.when(kind != "signup", F.struct(kind.alias("page_id"), F.when(kind != "purchase", "home").alias("last_page_id"), F.floor("value").cast("long").alias("during_time"))).alias("page"),
-        F.when(kind == "signup", "icon").alias("start"), F.when(kind == "view", F.array(item("a"), item("b"))).alias("displays"), F.col("event_id").alias("ts"),
-    )
-    text = F.to_json(line)
-    return e.select(F.when(kind == "error", F.substring(text, 1, 20)).otherwise(text).alias("value"))
+#: Events as log lines, in SQL of both engines: sign-ups start, errors are broken, views have two displays. Fields
+#: that no job knows, nested ones and numbers of all kinds, stand at every level, keys in no order.
+_LINE = """'{"ts":' || event_id || ',"common":{"mid":"' || user_id || '","is_new":"' || case when event_type in ('signup', 'view') then '1' else '0' end || '","vc":"v1","uid":' || user_id || ',"os":{"v":[2.50,1],"name":"n"},"ch":"c","ar":"' || event_type || '"},'
+    || case when event_type = 'signup' then '"start":{"ms":12.50,"entry":"icon"}' else '"page":{"page_id":"' || event_type || '","item":{"price":' || event_id || ',"id":"i"},"during_time":' || user_id || '}' end
+    || case when event_type = 'view' then ',"displays":[{"pos":1,"item":"' || event_id || 'a","more":{"b":null,"a":[true]}},{"item":"' || event_id || 'b","pos":2}]' else '' end || ',"err":{"code":1.0E2}}'"""
+_LOGGED = f"case when event_type = 'error' then left({_LINE}, 20) else {_LINE} end"
+_SHOWN = """'{"item":"' || event_id || 'a","more":{"a":[true],"b":null},' || p || '"pos":1}'""", """'{"item":"' || event_id || 'b",' || p || '"pos":2}'"""
+_RECORDS = f"""l as (select *, case when event_type in ('signup', 'view') and row_number() over (partition by user_id, event_type in ('signup', 'view') order by event_id) = 1 then '1' else '0' end as flag from events where event_type <> 'error')
+    select case when event_type = 'signup' then 'start' else 'page' end as topic, '{{"common":{{"ar":"' || event_type || '","ch":"c","is_new":"' || flag || '","mid":"' || user_id || '","os":{{"name":"n","v":[2.5,1]}},"uid":' || user_id || ',"vc":"v1"}},'
+      || case when event_type = 'view' then '"displays":[' || {_SHOWN[0]} || ',' || {_SHOWN[1]} || '],' else '' end || '"err":{{"code":100.0}},'
+      || case when event_type = 'signup' then '"start":{{"entry":"icon","ms":12.5}},' else '"page":{{"during_time":' || user_id || ',"item":{{"id":"i","price":' || event_id || '}},"page_id":"' || event_type || '"}},' end || '"ts":' || event_id || '}}' as value from l, (select '' as p)
+    union all select 'display', {_SHOWN[0]} from events, (select '"page_id":"view",' as p) where event_type = 'view'
+    union all select 'display', {_SHOWN[1]} from events, (select '"page_id":"view",' as p) where event_type = 'view'
+    union all select 'dirty', {_LOGGED} from events where event_type = 'error'"""
+LOG_TOPICS = logs.TOPICS
 
 
-@query("select event_id::varchar || x as item, 'view' as page_id from events, (values ('a'), ('b')) as v(x) where event_type = 'view'")
-def display_rows(spark, sf):
-    """A display row for each element, with the page's id."""
-    rows, _ = logs.parse_logs(_logs(spark, sf))
-    return logs.split_logs(rows)[2].select("display.item", "display.page_id")
+def _logs(spark, sf, some: str = "true") -> DataFrame:
+    return table(spark, sf, "events").filter(some).select(F.expr(_LOGGED).alias("value"))
 
 
-_NEW = """l as (select event_id, user_id::varchar as mid, event_type, case when event_type in ('signup', 'view') and row_number() over (partition by user_id, event_type in ('signup', 'view') order by event_id) = 1 then '1' else '0' end as is_new
-    from events where event_type <> 'error')
-    select case when event_type = 'signup' then 'start' else 'page' end as kind, event_id, mid, is_new from l
-    union all select 'display', null, null, null from events, range(2) where event_type = 'view' union all select 'dirty', null, null, null from events where event_type = 'error'"""
+def _read_all(spark, out: Topics, names) -> DataFrame:
+    """Several topics as one table (``topic``, ``value``)."""
+    found = [out.read(spark, n).select(F.lit(n).alias("topic"), "value") for n in names]
+    for part in found[1:]:
+        found[0] = found[0].unionByName(part)
+    return found[0]
 
 
-def _log_parts(read) -> DataFrame:
-    """The four outputs of the log job as one table."""
-    path = lambda p: F.get_json_object("value", p)
-    none = F.lit(None).cast("string")
-    whole = [read(k).select(F.lit(k).alias("kind"), path("$.ts").cast("long").alias("event_id"), path("$.common.mid").alias("mid"), path("$.common.is_new").alias("is_new")) for k in ("start", "page")]
-    rest = [read(k).select(F.lit(k).alias("kind"), none.cast("long").alias("event_id"), none.alias("mid"), none.alias("is_new")) for k in ("display", "dirty")]
-    return whole[0].unionByName(whole[1]).unionByName(rest[0]).unionByName(rest[1])
+def _parts(spark, sf, name: str, ts: str, n: int, text: str | None = None) -> list[str]:
+    """Conditions that cut a table's rows into ``n`` parts by time, or rows by the time in a ``text`` column."""
+    low, high = table(spark, sf, name).agg(F.min(F.col(ts).cast("timestamp_ntz")), F.max(F.col(ts).cast("timestamp_ntz"))).first()
+    cuts = [] if low is None else [(low + (high - low) * i / n).replace(microsecond=0) for i in range(1, n)]
+    literal = [f"'{c}'" if text else f"timestamp_ntz'{c}'" for c in cuts]
+    at = text or ts
+    bounds = zip([None, *literal], [*literal, None])
+    return [" and ".join(([f"{at} >= {lo}"] if lo else []) + ([f"{at} < {hi}"] if hi else [])) or "true" for lo, hi in bounds]
 
 
-@query(f"with {_NEW}")
+@query("select event_id::varchar || x as item, 'view' as page_id from events, (values ('a'), ('b')) as v(x) where event_type = 'view'")
+def display_rows(spark, sf):
+    """A display record for each element, as it stands in its topic."""
+    rows = jobs.base_log(_logs(spark, sf))["display"]
+    return rows.select(F.get_json_object("value", "$.item").alias("item"), F.get_json_object("value", "$.page_id").alias("page_id"))
+
+
+@query(f"with {_RECORDS}")
 def base_log_job(spark, sf):
-    """The log job in batch form, to its four topics and back."""
-    where = home(spark)
-    jobs.run_base_log(spark, _logs(spark, sf), where)
-    dirty = topics.read_topic(spark, f"{where}/dirty")
-    return _log_parts(lambda k: dirty if k == "dirty" else topics.read_topic(spark, f"{where}/{k}"))
+    """The log job in batch form, to its four topics and back: whole records."""
+    out = Topics(home(spark))
+    jobs.run_base_log(_logs(spark, sf), out)
+    return _read_all(spark, out, LOG_TOPICS)
 
 
-@query(f"with {_NEW}")
+@query(f"with {_RECORDS}")
 def stream_base_log(spark, sf):
-    """The same as a stream, flags repaired by keyed state."""
+    """The same as a stream that is started three times, from where the last start ended; flags by keyed state."""
     where, session = home(spark), stream_session(spark)
-    _logs(spark, sf).write.text(f"{where}/in")
-    fanout.start_base_log(topics.read_topic(session, f"{where}/in", True), f"{where}/out", f"{where}/ck").awaitTermination()
-    return _log_parts(lambda k: spark.read.text(f"{where}/out/{k}").select("value"))
+    lines, out = Topics(f"{where}/in"), Topics(f"{where}/out")
+    for some in _thirds(spark, sf):
+        lines.put(_logs(spark, sf, some).withColumn("topic", F.lit("ods_base_log")))
+        fanout.start_base_log(lines.read(session, "ods_base_log", True), out, f"{where}/ck").awaitTermination()
+    return _read_all(spark, out, LOG_TOPICS)
+
 
+def _thirds(spark, sf) -> list[str]:
+    """Conditions that cut the events into three parts by id, the order in which the log lines are numbered."""
+    most = table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
+    return [f"event_id < {most // 3}", f"event_id >= {most // 3} and event_id < {most * 2 // 3}", f"event_id >= {most * 2 // 3}"]
 
-def _changes(spark, sf) -> DataFrame:
+
+def _changes(spark, sf, some: str = "true") -> DataFrame:
     """Events as changes of a user's row, one feed for two tables; errors are deletes, clicks updates."""
-    e, kind, text = table(spark, sf, "events"), F.col("event_type"), lambda c: F.col(c).cast("string")
+    e, kind, text = table(spark, sf, "events").filter(some), F.col("event_type"), lambda c: F.col(c).cast("string")
     image = F.create_map(F.lit("id"), text("user_id"), F.lit("last"), text("event_id"), F.lit("kind"), kind)
     old = F.create_map(F.lit("id"), text("user_id"))
     op = F.when(kind == "error", "d").when(kind == "click", "u").when(kind == "signup", "r").otherwise("c")
     name = F.when(kind == "purchase", "order_info").otherwise("user_info")
-    source = F.struct(F.lit("gmall").alias("db"), name.alias("table"), F.col("event_id").alias("ts_ms"))
+    source = F.struct(F.lit("shop").alias("db"), name.alias("table"), F.col("event_id").alias("ts_ms"))
     return e.select(F.when(kind.isin("error", "click"), old).alias("before"), F.when(kind != "error", image).alias("after"), source.alias("source"), op.alias("op"), F.col("event_id").alias("ts_ms"))
 
 
@@ -205,14 +225,14 @@ def _changes(spark, sf) -> DataFrame:
 def change_feed(spark, sf):
     """A feed of one table, written to a topic and read from its latest state on."""
     where = topic(_changes(spark, sf), home(spark))
-    rows = topics.read_changes(spark, where, tables=["gmall.user_info"])
+    rows = topics.read_changes(spark, where, tables=["shop.user_info"])
     return rows.select("ts_ms", F.col("source.table").alias("name"), "op", F.col("before")["id"].alias("old_id"), F.col("after")["last"].alias("new_last"))
 
 
-@query("select event_id, 'gmall' as \"database\", 'user_info' as tableName, case event_type when 'error' then 'delete' when 'click' then 'update' when 'signup' then 'read' else 'insert' end as \"type\", case when event_type = 'error' then 0 else 3 end as n_after, case when event_type in ('error', 'click') then 1 else 0 end as n_before from events")
+@query("select event_id, 'shop' as \"database\", 'user_info' as tableName, case event_type when 'error' then 'delete' when 'click' then 'update' when 'signup' then 'read' else 'insert' end as \"type\", case when event_type = 'error' then 0 else 3 end as n_after, case when event_type in ('error', 'click') then 1 else 0 end as n_before from events")
 def change_envelope(spark, sf):
     """The plain envelope, database and table out of the topic's name."""
-    changes = cdc.decode_changes(sinks.encoded(_changes(spark, sf))).withColumn("topic", F.lit("mysql.gmall.user_info"))
+    changes = cdc.decode_changes(sinks.encoded(_changes(spark, sf))).withColumn("topic", F.lit("mysql.shop.user_info"))
     rows = cdc.plain_envelope(changes.withColumn("before", F.map_concat(F.coalesce("before", F.create_map().cast("map<string,string>")), F.create_map(F.lit("ts"), F.col("ts_ms").cast("string")))), "topic")
     return rows.select(F.col("before")["ts"].cast("long").alias("event_id"), "database", "tableName", "type", F.size("after").alias("n_after"), (F.size("before") - 1).alias("n_before"))
 
@@ -233,16 +253,16 @@ _ROUTED = """select 'dwd_user' as topic, user_id::varchar as id, event_id::varch
 def dimension_upsert(spark, sf):
     """The change job's dimension: created from the configuration, of each key the last change."""
     where = home(spark)
-    jobs.base_db(spark, sinks.encoded(_changes(spark, sf)), _config(spark), f"{where}/topics", f"{where}/dims")
+    jobs.base_db(spark, sinks.encoded(_changes(spark, sf)), _config(spark), Topics(f"{where}/topics"), f"{where}/dims")
     return sinks.dim_now(spark, f"{where}/dims", "dim_user")
 
 
 @query(_ROUTED)
 def routed_topics(spark, sf):
     """The change job's topics, chosen record by record, and the facts that no configuration names."""
-    where = home(spark)
-    left = jobs.base_db(spark, sinks.encoded(_changes(spark, sf)), _config(spark), f"{where}/topics", f"{where}/dims")
-    return _routed(spark.read.text(f"{where}/topics"), left.select("after"))
+    where, out = home(spark), Topics(f"{home(spark)}/topics")
+    left = jobs.base_db(spark, sinks.encoded(_changes(spark, sf)), _config(spark), out, f"{where}/dims")
+    return _routed(out.read(spark, "dwd_user").withColumn("topic", F.lit("dwd_user")), left.select("after"))
 
 
 def _routed(sent: DataFrame, left: DataFrame) -> DataFrame:
@@ -251,9 +271,12 @@ def _routed(sent: DataFrame, left: DataFrame) -> DataFrame:
 
 
 def _base_db_stream(spark, sf) -> str:
+    """The change job, started three times over a topic that grows; of each start the changes are one batch."""
     where, session = home(spark), stream_session(spark)
-    topic(_changes(spark, sf), f"{where}/in")
-    fanout.start_base_db(session, topics.read_topic(session, f"{where}/in", True, files_per_batch=3), lambda: _config(session), f"{where}/out", f"{where}/dims", f"{where}/ck").awaitTermination()
+    lines, out = Topics(f"{where}/in"), Topics(f"{where}/out")
+    for some in _thirds(spark, sf):
+        lines.put(sinks.encoded(_changes(spark, sf, some)).withColumn("topic", F.lit("ods_base_db")))
+        fanout.start_base_db(session, lines.read(session, "ods_base_db", True), lambda: _config(session), out, f"{where}/dims", f"{where}/ck").awaitTermination()
     return where
 
 
@@ -265,9 +288,9 @@ def stream_dimension_upsert(spark, sf):
 
 @query(_ROUTED)
 def stream_routed_topics(spark, sf):
-    where = _base_db_stream(spark, sf)
-    left = spark.read.text(f"{where}/out/unmatched").select(F.from_json("value", "after map<string,string>").alias("r")).select("r.after")
-    return _routed(spark.read.text(f"{where}/out/topics").select("topic", "value"), left)
+    out = Topics(f"{_base_db_stream(spark, sf)}/out")
+    left = out.read(spark, "unmatched").select(F.from_json("value", "after map<string,string>").alias("r")).select("r.after")
+    return _routed(out.read(spark, "dwd_user").withColumn("topic", F.lit("dwd_user")), left)
 
 
 @query("select * from (values ('user_info', 'c', 'hbase', 'dim_user', 'id,last', 'id', ''), ('user_info', 'u', 'hbase', 'dim_user', 'id,last', 'id', ''), ('user_info', 'r', 'kafka', 'dwd_user', null, 'id', '')) as c(source_table, operate_type, sink_type, sink_table, sink_columns, sink_pk, sink_extend)")
@@ -283,7 +306,7 @@ def changelog_sql(spark, sf):
     """A change feed as a typed table in SQL."""
     name = f"binlog_{uuid.uuid4().hex}"
     schema = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("last", T.LongType())])
-    topics.changelog_view(topics.read_changes(spark, topic(_changes(spark, sf), home(spark))).filter("op <> 'd'"), name, schema)
+    topics.changelog_view(topics.read_changes(spark, topic(_changes(spark, sf), home(spark))), name, schema)
     return spark.sql(f"select * from {name}")
 
 
@@ -329,31 +352,37 @@ def daily_files(spark, sf):
     return spark.read.text(where).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("ids"))
 
 
-def _page_lines(spark, sf) -> DataFrame:
-    """Events as page lines; a sign-up is an entry. ``ts`` has all digits, so that no two rows of a user tie."""
+def _page_lines(spark, sf, some: str = "true") -> DataFrame:
+    """Events as page lines; a sign-up is an entry. ``ts`` has all digits, so that no two rows of a user tie.
+    They arrive (``at``) in an order of their own, the greatest id first."""
     kind = F.col("event_type")
     line = F.struct(
         F.struct(F.col("user_id").cast("string").alias("mid"), F.lit("0").alias("is_new"), F.lit("v1").alias("vc"), (F.col("user_id") % 3).cast("string").alias("ch"), kind.alias("ar")).alias("common"),
         F.struct(F.col("event_id").cast("string").alias("page_id"), F.when(kind != "signup", "home").alias("last_page_id"), F.coalesce(F.floor("value"), F.lit(0)).cast("long").alias("during_time")).alias("page"),
         S.epoch_ms(F.col("ts")).alias("ts"),
     )
-    return table(spark, sf, "events").select(F.to_json(line).alias("value"))
+    return table(spark, sf, "events").filter(some).select(F.to_json(line).alias("value"), F.timestamp_seconds(-F.col("event_id")).alias("at"))
 
 
 #: A last record, long after all others, moves the streams' time on; nothing is made of it.
 _END = '{"common":{"mid":"end","ar":"end"},"page":{"page_id":"0","last_page_id":"x","during_time":0},"ts":4000000000000}'
 
 
-def _pages(spark, sf, where: str) -> DataFrame:
-    """The page topic as a stream of one batch, with its end."""
-    rows = _page_lines(spark, sf)
-    rows.unionByName(spark.createDataFrame([(_END,)], "value string")).coalesce(8).write.text(where)
-    return topics.read_topic(stream_session(spark), where, True)
+def _fed_pages(spark, sf, n: int, start) -> None:
+    """The page topic in ``n`` appends by time, the last with its end; ``start(session, pages, where)`` runs after each."""
+    where, session = home(spark), stream_session(spark)
+    pages, parts = Topics(f"{where}/in"), _parts(spark, sf, "events", "ts", n)
+    for i, some in enumerate(parts):
+        rows = _page_lines(spark, sf, some)
+        if i == len(parts) - 1:
+            rows = rows.unionByName(spark.createDataFrame([(_END,)], "value string").withColumn("at", F.current_timestamp()))
+        pages.put(rows.withColumn("topic", F.lit("dwd_page_log")), at=F.col("at"))
+        start(session, pages, where)
 
 
-def _ids(spark, where: str) -> DataFrame:
+def _ids(lines: DataFrame) -> DataFrame:
     path = lambda p: F.get_json_object("value", p)
-    return spark.read.text(where).select(path("$.page.page_id").cast("long").alias("event_id"), path("$.common.mid").cast("long").alias("user_id"))
+    return lines.select(path("$.page.page_id").cast("long").alias("event_id"), path("$.common.mid").try_cast("long").alias("user_id"))
 
 
 _MS = "e as (select *, epoch_us(ts) // 1000 as ms from events)"
@@ -364,54 +393,155 @@ _JUMP = f"""n as (select *, lead(ms) over w as nms, lead(event_type = 'signup')
 
 @query(f"with {_UNIQUE} select event_id, user_id from u where before is distinct from ts::date")
 def stream_unique_visit(spark, sf):
-    """Daily unique visitors by keyed state."""
-    where = home(spark)
-    streams.start_unique_visit(_pages(spark, sf, f"{where}/in"), f"{where}/out", f"{where}/ck").awaitTermination()
-    return _ids(spark, f"{where}/out")
+    """Daily unique visitors by keyed state, over three starts of the stream."""
+    out = Topics(home(spark))
+    _fed_pages(spark, sf, 3, lambda session, pages, where: streams.start_unique_visit(pages.read(session, "dwd_page_log", True), out, f"{where}/ck").awaitTermination())
+    return _ids(out.read(spark, "dwm_unique_visit"))
 
 
 @query(f"with {_MS}, {_JUMP} select event_id, user_id from j")
 def stream_user_jump(spark, sf):
-    """Bounces by keyed state and timers."""
-    where = home(spark)
-    streams.start_user_jump(_pages(spark, sf, f"{where}/in"), f"{where}/out", f"{where}/ck", 6 * 3_600_000).awaitTermination()
-    return _ids(spark, f"{where}/out").filter("user_id is not null")
+    """Bounces by keyed state and timers, over two starts of the stream."""
+    out = Topics(home(spark))
+    _fed_pages(spark, sf, 2, lambda session, pages, where: streams.start_user_jump(pages.read(session, "dwd_page_log", True), out, f"{where}/ck", 6 * 3_600_000).awaitTermination())
+    return _ids(out.read(spark, "dwm_user_jump_detail")).filter("user_id is not null")
 
 
 @query(
-    f"""with {_UNIQUE}, {_JUMP}, r as (select ms, user_id % 3 as k, event_type, 1 as uv, 0 as pv, 0 as sv, 0 as uj, 0 as dur from u where before is distinct from ts::date
-    union all select ms, user_id % 3, event_type, 0, 0, 0, 1, 0 from j union all select ms, user_id % 3, event_type, 0, 1, (event_type = 'signup')::int, 0, coalesce(floor(value), 0)::bigint from e)
+    f"""with {_UNIQUE}, {_JUMP}, r as (select ms, user_id % 3 as k, event_type, 1 as uv, 0 as pv, 0 as sv, 0 as uj, 0 as dur, null as id from u where before is distinct from ts::date
+    union all select ms, user_id % 3, event_type, 0, 0, 0, 1, 0, null from j union all select ms, user_id % 3, event_type, 0, 1, (event_type = 'signup')::int, 0, coalesce(floor(value), 0)::bigint, event_id from e)
     select {_TIME.format("make_timestamp((ms // 21600000) * 21600000000)")} as stt, {_TIME.format("make_timestamp((ms // 21600000 + 1) * 21600000000)")} as edt, event_type as ar, k::varchar as ch, '0' as is_new, 'v1' as vc,
-    sum(uv)::bigint as uv_ct, sum(pv)::bigint as pv_ct, sum(sv)::bigint as sv_ct, sum(uj)::bigint as uj_ct, sum(dur)::bigint as dur_sum from r group by all"""
+    sum(uv)::bigint as uv_ct, sum(pv)::bigint as pv_ct, sum(sv)::bigint as sv_ct, sum(uj)::bigint as uj_ct, sum(dur)::bigint as dur_sum, arg_max(ms, id)::bigint as ts from r group by all"""
 )
 def stream_visitor_stats(spark, sf):
-    """Three topics, united and summed in event-time windows."""
-    where = home(spark)
-    pages = _pages(spark, sf, f"{where}/in")
-    lines = jobs.pages_of(_page_lines(spark, sf)).withColumn("value", F.to_json(F.struct("common", "page", "ts")))
-    made = {"unique": jobs.unique_visit(lines), "jumps": jobs.user_jump(lines, "6 hours")}
-    for name, rows in made.items():
-        rows.select("value").coalesce(8).write.text(f"{where}/{name}")
-    unique, jumps = (topics.read_topic(pages.sparkSession, f"{where}/{name}", True) for name in made)
-    streams.start_visitor_stats(pages, unique, jumps, f"{where}/out", f"{where}/ck", "6 hours").awaitTermination()
-    return spark.read.text(f"{where}/out").select(F.from_json("value", schemas.VISITOR_STATS).alias("r")).select("r.*").drop("ts").filter("ar <> 'end'")
+    """Three topics, the last two written by their own streams, united and summed in event-time windows, all
+    three streams started twice. Bounces come hours after their pages, so windows wait for a day."""
+    made, stats_out = {n: Topics(home(spark)) for n in ("unique", "jumps")}, Topics(home(spark))
+
+    def start(session, pages, where):
+        read = lambda: pages.read(session, "dwd_page_log", True)
+        streams.start_unique_visit(read(), made["unique"], f"{where}/ck1").awaitTermination()
+        streams.start_user_jump(read(), made["jumps"], f"{where}/ck2", 6 * 3_600_000).awaitTermination()
+        unique, jumps = made["unique"].read(session, "dwm_unique_visit", True), made["jumps"].read(session, "dwm_user_jump_detail", True)
+        streams.start_visitor_stats(read(), unique, jumps, stats_out, f"{where}/ck3", "6 hours", delay="1 day").awaitTermination()
+
+    _fed_pages(spark, sf, 2, start)
+    rows = stats_out.read(spark, "dws_visitor_stats").select(F.from_json("value", schemas.VISITOR_STATS).alias("r")).select("r.*")
+    return rows.filter("ar <> 'end'")
+
+
+def _fed_pairs(spark, sf, left: DataFrame, right: DataFrame, start) -> None:
+    """Two topics of rows with ``create_time``, in two appends each; ``start(session, left, right, where)`` runs after each."""
+    where, session = home(spark), stream_session(spark)
+    topics_ = Topics(f"{where}/left"), Topics(f"{where}/right")
+    for some in _parts(spark, sf, "orders", "o_orderdate", 2, "create_time"):
+        for out, rows in zip(topics_, (left, right)):
+            out.put(sinks.encoded(rows.filter(some)).withColumn("topic", F.lit("rows")))
+        start(session, *[t.read(session, "rows", True) for t in topics_], where)
 
 
 @query(f"with {_PAIRS} {_WIDE.format('', '')}")
 def stream_order_wide(spark, sf):
-    """Order and detail streams, joined, with the dimensions as they are when a batch comes."""
-    where, session = home(spark), stream_session(spark)
-    read = lambda rows, name: topics.read_topic(session, topic(rows.coalesce(8), f"{where}/{name}"), True)
-    streams.start_order_wide(read(_orders(spark, sf), "orders"), read(_details(spark, sf), "details"), lambda: _dims(session, sf), F.lit(AS_OF), f"{where}/out", f"{where}/ck", slack="30 days").awaitTermination()
-    return _plain(spark.read.text(f"{where}/out").select(F.from_json("value", schemas.ORDER_WIDE).alias("r")).select("r.*"))
+    """Order and detail streams, joined, started twice, with the dimensions as they are when a batch comes."""
+    out = Topics(home(spark))
+    _fed_pairs(spark, sf, _orders(spark, sf), _details(spark, sf), lambda session, orders, details, where: streams.start_order_wide(
+        orders, details, lambda: _dims(session, sf), F.lit(AS_OF), out, f"{where}/ck", slack="30 days").awaitTermination())
+    return _plain(out.read(spark, "dwm_order_wide").select(F.from_json("value", schemas.ORDER_WIDE).alias("r")).select("r.*"))
 
 
 @query(_PAID)
 def stream_payment_wide(spark, sf):
-    """Payment and order streams, joined."""
-    where, session = home(spark), stream_session(spark)
+    """Payment and order streams, joined, started twice."""
+    out = Topics(home(spark))
     wides = jobs.order_pairs(sinks.encoded(_orders(spark, sf)), sinks.encoded(_details(spark, sf)), "30 days")
-    read = lambda rows, name: topics.read_topic(session, topic(rows.coalesce(8), f"{where}/{name}"), True)
-    streams.start_payment_wide(read(_payments(spark, sf), "payments"), read(wides, "wides"), f"{where}/out", f"{where}/ck").awaitTermination()
-    rows = spark.read.text(f"{where}/out").select(F.from_json("value", "payment_id bigint, payment_create_time string, order_create_time string, order_id bigint, user_id bigint, total_amount double, subject string, payment_type string, callback_time string, detail_id bigint, sku_id bigint, sku_num bigint, order_price double").alias("r"))
-    return rows.select("r.*")
+    _fed_pairs(spark, sf, _payments(spark, sf), wides, lambda session, payments, orders, where: streams.start_payment_wide(payments, orders, out, f"{where}/ck").awaitTermination())
+    kinds = "payment_id bigint, payment_create_time string, order_create_time string, order_id bigint, user_id bigint, total_amount double, subject string, payment_type string, callback_time string, detail_id bigint, sku_id bigint, sku_num bigint, order_price double"
+    return out.read(spark, "dwm_payment_wide").select(F.from_json("value", kinds).alias("r")).select("r.*")
+
+
+@query(
+    """with k as (select o_orderkey as id, o_orderkey % 7 as chunk, o_orderstatus as status from orders), c as (select l_orderkey as id, l_linenumber as pos, max(l_linestatus) || l_linenumber as status, max(l_returnflag) = 'R' as gone from lineitem group by l_orderkey, l_linenumber),
+    z as (select id, pos, status, gone from c qualify row_number() over (partition by id order by pos desc) = 1)
+    select k.id, coalesce(z.status, k.status) as status from k left join z on k.id = z.id where not coalesce(z.gone, false)"""
+)
+def snapshot_feed(spark, sf):
+    """Orders read chunk by chunk while line items change and delete them, then the log from each chunk's mark
+    on; replayed, the orders as the whole log leaves them."""
+    log = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("pos")).agg(F.max("l_linestatus").alias("status"), F.max("l_returnflag").alias("flag"))
+    changes = log.select("id", (F.col("id") % 7).alias("chunk"), "pos", F.when(F.col("flag") == "R", "d").otherwise("u").alias("op"), F.concat("status", F.col("pos").cast("string")).alias("image"))
+    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 7).alias("chunk"), F.col("o_orderstatus").alias("image"))
+    marks = spark.range(7).select(F.col("id").alias("chunk"), (F.col("id") % 3).alias("low"), (F.col("id") % 3 + 2).alias("high"))
+    seen = changes.filter("pos <= chunk % 3 + 1").groupBy("id").agg(F.max_by(F.struct("op", "image"), "pos").alias("last"))  # the table when its chunk is read
+    found = base.join(seen, "id", "left").filter("not (last.op <=> 'd')").select("id", "chunk", F.coalesce("last.image", "image").alias("image"))
+    feed = cdc.snapshot_feed(found, marks, changes, ["id"])
+    return cdc.latest(feed, ["id"], ["pos"]).select("id", F.col("image").alias("status"))
+
+
+_IMAGES = """e as (select user_id, event_id, event_type, case when event_type <> 'error' then event_id end as img from events), p as (select *, lag(img) over w as past, lag(event_type) over w as was from e window w as (partition by user_id order by event_id)),
+    b as (select *, case when was <> 'error' then past end as before from p)"""
+
+
+@query(
+    f"""with {_IMAGES} select event_id, false as flag, before as last from b where before is not null
+    union all select event_id, true, event_id from b where event_type <> 'error'"""
+)
+def stream_retract(spark, sf):
+    """A log without old images, completed by keyed state over two starts, as a retraction stream. Deletes of what isn't there show nothing."""
+    where, session, out = home(spark), stream_session(spark), Topics(home(spark))
+    lines = Topics(f"{where}/in")
+    low, mid, high = _thirds(spark, sf)
+    for some in (low, f"not ({low})"):
+        lines.put(sinks.encoded(_changes(spark, sf, some)).withColumn("topic", F.lit("log")))
+        changes = cdc.decode_changes(lines.read(session, "log", True)).select(F.coalesce(F.col("after")["id"], F.col("before")["id"]).alias("id"), "op", F.col("ts_ms").alias("ts"), F.lit(None).cast("string").alias("before"), F.to_json("after").alias("after"))
+        out.stream(sinks.encoded(stateful.with_before_stream(changes)), f"{where}/ck", "complete").awaitTermination()
+    made = out.read(spark, "complete").select(F.from_json("value", "id string, op string, ts bigint, before string, after string").alias("r")).select("r.*")
+    return cdc.retract(made).filter("image is not null").select(F.col("ts").alias("event_id"), "flag", F.get_json_object("image", "$.last").cast("long").alias("last"))
+
+
+@query(f"with {_IMAGES}, z as (select user_id, event_id, event_type from e qualify row_number() over (partition by user_id order by event_id desc) = 1) select event_type as kind, count(*) as n, sum(event_id)::bigint as total from z where event_type <> 'error' group by event_type")
+def retracted_sums(spark, sf):
+    """Sums by a value that changes: what a key counted for before is taken back."""
+    changes = _changes(spark, sf).withColumn("id", F.coalesce(F.col("after")["id"], F.col("before")["id"])).withColumn("before", F.lit(None).cast("map<string,string>"))
+    flags = cdc.retract(cdc.with_before(changes, ["id"], ["ts_ms"])).filter("image is not null")
+    return cdc.retracted_sums(flags, [F.col("image")["kind"].alias("kind")], F.col("image")["last"].cast("long"))
+
+
+@query(f"with {_MS}, {_JUMP} select event_id, user_id, case when nms < ms + 21600000 then 'match' else 'timeout' end as kind from j")
+def stream_jump_kinds(spark, sf):
+    """Bounces, those that another entry follows and those that nothing does, in topics of their own."""
+    out = Topics(home(spark))
+    _fed_pages(spark, sf, 2, lambda session, pages, where: streams.start_user_jump(pages.read(session, "dwd_page_log", True), out, f"{where}/ck", 6 * 3_600_000, topic="match", timed_out="timeout").awaitTermination())
+    kinds = [_ids(out.read(spark, k)).withColumn("kind", F.lit(k)) for k in ("match", "timeout")]
+    return kinds[0].unionByName(kinds[1]).filter("user_id is not null")
+
+
+@query(
+    """with m as (select max(event_id) // 3 as third from events) select case when event_type = 'purchase' then 'dwd_order' when event_id < third then 'dwd_user' else 'dwd_user_new' end as topic, user_id::varchar as id, event_id::varchar as last, event_type as kind
+    from events, m where event_type in ('signup', 'purchase')"""
+)
+def stream_config_change(spark, sf):
+    """A configuration that changes between batches: sign-ups go to a new topic from the second batch on, and
+    purchases, which nothing names at first, are held and sent when their row arrives with the third."""
+    where, session, out = home(spark), stream_session(spark), Topics(home(spark))
+    lines = Topics(f"{where}/in")
+    rows = [("user_info", "r", "kafka", "dwd_user", 1), ("user_info", "r", "kafka", "dwd_user_new", 2), ("order_info", "insert", "kafka", "dwd_order", 3), *[("user_info", op, "none", "", 1) for op in "cu"]]
+    config = session.createDataFrame([(*r[:4], None, None, None, r[4]) for r in rows], f"{schemas.TABLE_PROCESS}, ts_ms bigint")
+    for batch, some in enumerate(_thirds(spark, sf), 1):
+        lines.put(sinks.encoded(_changes(spark, sf, some)).withColumn("topic", F.lit("ods_base_db")))
+        now = config.filter(F.col("ts_ms") <= batch)
+        fanout.start_base_db(session, lines.read(session, "ods_base_db", True), lambda now=now: now, out, f"{where}/dims", f"{where}/ck", held=f"{where}/held").awaitTermination()
+    sent = _read_all(spark, out, ("dwd_user", "dwd_user_new", "dwd_order")).select("topic", F.from_json("value", "map<string,string>").alias("after"))
+    return sent.select("topic", *[F.col("after")[c].alias(c) for c in ("id", "last", "kind")])
+
+
+@query(
+    """with m as (select max(event_id) // 3 as third from events), v as (select 0 as version, third as upto from m union all select 1, third * 2 from m union all select 2, third * 4 + 9 from m)
+    select version, user_id::varchar as id, max(event_id)::varchar as last from events, v where event_type in ('click', 'view') and event_id < upto and user_id % 5 = 0 group by version, user_id"""
+)
+def dimension_versions(spark, sf):
+    """A dimension as each of three batches left it, read for some keys: only their buckets are."""
+    where, keys = home(spark), table(spark, sf, "events").filter("user_id % 5 = 0").select("user_id").distinct()
+    for batch, some in enumerate(_thirds(spark, sf)):
+        jobs.base_db(spark, sinks.encoded(_changes(spark, sf, some)), _config(spark), Topics(f"{where}/topics"), f"{where}/dims", batch=batch)
+    parts = [sinks.dim_now(spark, f"{where}/dims", "dim_user", keys, version).filter("id % 5 = 0").select(F.lit(version).alias("version"), "id", "last") for version in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -94,7 +95,10 @@ def order_lookups(as_of: Column) -> list[Lookup]:
     ]
 
 
-def enrich(facts: DataFrame, dims: dict[str, DataFrame], specs: list[Lookup], how: str = "inner") -> DataFrame:
+def enrich(facts: DataFrame, dims: dict[str, DataFrame] | Callable[[str, DataFrame], DataFrame], specs: list[Lookup], how: str = "inner") -> DataFrame:
+    """All lookups, one after the other. ``dims`` are the tables by name, or a function that reads one for
+    the keys that it is given (``sinks.dim_now``)."""
     for spec in specs:
-        facts = lookup(facts, dims[spec.table], spec, how)
+        dim = dims(spec.table, facts.select(spec.fact_key)) if callable(dims) else dims[spec.table]
+        facts = lookup(facts, dim, spec, how)
     return facts

@@ -31,9 +31,12 @@ def page_rows(rows: DataFrame, keep: list[str], last_page: Column, during: Colum
 
 def windowed(parts: list[DataFrame], ts: str, width: str, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """Sums by window and dimensions, with the window's ends as text. The partial sums combine before
-    the one shuffle. ``ts`` is the least of the group, as arrival order can't be repeated."""
+    the one shuffle. ``ts`` is that of the row that arrived first, in milliseconds, where rows say when they did
+    (``arrived``, anything that can be ordered); else the least of the group."""
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    sums = rows.groupBy(F.window(ts, width).alias("w"), *dimensions).agg(*[F.sum(c).alias(c) for c in COUNTS], F.min(ts).alias("ts"))
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    first = F.min_by(ms, "arrived") if "arrived" in rows.columns else F.min(ms)
+    sums = rows.groupBy(F.window(ts, width).alias("w"), *dimensions).agg(*[F.sum(c).alias(c) for c in COUNTS], first.alias("ts"))
     return sums.select(ymd_hms(F.col("w.start")).alias("stt"), ymd_hms(F.col("w.end")).alias("edt"), *dimensions, *COUNTS, "ts")

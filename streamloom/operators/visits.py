@@ -15,9 +15,11 @@ def unique_visits(rows: DataFrame, entry: Column, day: Column, key: str, order:
 
 def bounces(rows: DataFrame, entry: Column, ts: str, key: str, order: tuple[str, ...], within: str) -> DataFrame:
     """Entry rows that no other page follows in time: the next row of the device is an entry too, or
-    comes ``within`` or later, or never. All rows are seen, so the end of the input decides the rest."""
+    comes ``within`` or later, or never. All rows are seen, so the end of the input decides the rest. ``kind``
+    is ``match`` where an entry follows in time, ``timeout`` else."""
     by = Window.partitionBy(key).orderBy(ts, *order)
     marked = rows.withColumn("_entry", F.coalesce(entry, F.lit(False)))
     marked = marked.withColumns({"_next": F.lead(ts).over(by), "_next_entry": F.lead("_entry").over(by)})
     late = F.col("_next") >= F.col(ts) + F.expr(f"interval {within}")
-    return marked.filter(F.col("_entry") & (F.col("_next").isNull() | late | F.col("_next_entry"))).drop("_entry", "_next", "_next_entry")
+    found = marked.filter(F.col("_entry") & (F.col("_next").isNull() | late | F.col("_next_entry")))
+    return found.withColumn("kind", F.when(F.coalesce(~late, F.lit(False)), "match").otherwise("timeout")).drop("_entry", "_next", "_next_entry")

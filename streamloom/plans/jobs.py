@@ -8,21 +8,27 @@ from pyspark.sql import functions as F
 from ..functions.scalars import date_text, is_empty
 from ..operators import cdc, joins, logs, routing, stats, visits
 from ..schemas import LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, TABLE_PROCESS, names
-from ..sinks import create_dim_tables, put_dims, write_routed, write_topic
+from ..records import Topics
+from ..sinks import create_dim_tables, put_dims, routed_records
+
+
+def log_records(lines: DataFrame) -> DataFrame:
+    """Raw logs as the records of the four log topics (``topic``, ``value``), new-visitor flags repaired.
+    Lines without device or time keep their flag and have no part in another's."""
+    docs = logs.documents(lines).withColumn("mid", F.when((F.col("kind") != "dirty") & F.col("ts").isNotNull(), F.col("mid")))
+    fixed = logs.repair_new_visitor(docs, order=("ts", "raw"))
+    return logs.records(fixed, F.when(F.col("kind") != "dirty", F.col("is_new")))
 
 
 def base_log(lines: DataFrame) -> dict[str, DataFrame]:
-    """Raw logs to ``start``, ``page``, ``display`` and ``dirty`` rows, new-visitor flags repaired."""
-    rows, dirty = logs.parse_logs(lines)
-    flat = rows.select("*", F.col("common.mid").alias("_mid"), F.col("common.is_new").alias("_new"))
-    fixed = logs.repair_new_visitor(flat, "_mid", "_new", ("ts", "raw"))
-    fixed = fixed.withColumn("common", F.col("common").withField("is_new", F.col("_new"))).drop("_mid", "_new")
-    start, page, display = logs.split_logs(fixed)
-    return {"start": start, "page": page, "display": display, "dirty": dirty}
+    """The same by topic, as ``start``, ``page``, ``display`` and ``dirty``."""
+    rows = log_records(lines)
+    return {name: rows.filter(F.col("topic") == name).select("value") for name in logs.TOPICS}
 
 
-def pages_of(lines: DataFrame) -> DataFrame:
-    return lines.select(F.from_json("value", LOG).alias("l")).select("l.*").withColumns({"mid": F.col("common.mid"), "time": F.timestamp_millis("ts")})
+def pages_of(lines: DataFrame, **more: Column) -> DataFrame:
+    """Page lines as typed rows, with more columns if wanted."""
+    return lines.select(F.from_json("value", LOG).alias("l"), *[c.alias(n) for n, c in more.items()]).select("l.*", *more).withColumns({"mid": F.col("common.mid"), "time": F.timestamp_millis("ts")})
 
 
 def unique_visit(pages: DataFrame) -> DataFrame:
@@ -42,14 +48,14 @@ def visitor_stats(pages: DataFrame, unique: DataFrame, jumps: DataFrame, width:
     return stats.windowed([stats.unique_rows(keyed(unique), keep), stats.jump_rows(keyed(jumps), keep), page], "time", width)
 
 
-def base_db(spark: SparkSession, lines: DataFrame, config: DataFrame, topics: str, dims: str, aliases: bool = True, batch: int = 0) -> DataFrame:
+def base_db(spark: SparkSession, lines: DataFrame, config: DataFrame, out: Topics, dims: str, aliases: bool = True, batch: int = 0) -> DataFrame:
     """Changes routed by the current configuration: topics written, dimensions created and their rows
     put (``sinks.dim_now`` reads them). Returns facts without configuration, which are kept for a later
-    try rather than lost. For use in foreachBatch, with the batch's number."""
-    changes = cdc.without_deletes(cdc.decode_changes(lines)).withColumn("table", F.col("source.table"))
+    try rather than lost. For use in foreachBatch, with the batch's number. The changes are decoded once."""
+    changes = cdc.without_deletes(cdc.decode_changes(lines)).withColumn("table", F.col("source.table")).persist()
     now = routing.current_config(config, aliases=aliases)
     parts = routing.route(changes, now)
-    write_routed(parts["kafka"], topics)
+    out.put(routed_records(parts["kafka"]), batch)
     create_dim_tables(spark, now, dims)
     put_dims(parts["hbase"], dims, batch)
     return parts["unmatched"]
@@ -78,6 +84,6 @@ def config_of(changes: DataFrame) -> DataFrame:
     return cdc.latest(keyed, ["source_table", "operate_type"], ["ts_ms"]).select(*names(TABLE_PROCESS), "ts_ms")
 
 
-def run_base_log(spark: SparkSession, lines: DataFrame, home: str) -> None:
-    for name, rows in base_log(lines).items():
-        write_topic(rows, f"{home}/{name}")
+def run_base_log(lines: DataFrame, out: Topics, batch: int | None = None) -> None:
+    """The log job in batch form: one read, one write to all four topics."""
+    out.put(log_records(lines), batch)

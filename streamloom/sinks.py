@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
+from .dims import DimStore
 from .functions.scalars import without_nulls
 from .operators.routing import dim_schema, extend_options
 
@@ -28,21 +28,9 @@ def write_topic(rows: DataFrame, where: str, servers: str | None = None, mode: s
         encoded(rows).write.mode(mode).text(where)
 
 
-def write_routed(rows: DataFrame, where: str, image: str = "after", servers: str | None = None, mode: str = "append") -> None:
-    """Each record's image to the topic that its ``sink_table`` names."""
-    out = rows.select(F.col("sink_table").alias("topic"), encoded_map(F.col(image)).alias("value"))
-    if servers:
-        out.write.format("kafka").option("kafka.bootstrap.servers", servers).save()
-    else:
-        out.write.mode(mode).partitionBy("topic").text(where)
-
-
-def stream_topic(rows: DataFrame, where: str, checkpoint: str, servers: str | None = None, **trigger) -> StreamingQuery:
-    """A stream of records (``value``) to a Kafka topic, or to a directory of line files."""
-    writer = rows.select("value").writeStream.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True})
-    if servers:
-        return writer.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", where).start()
-    return writer.format("text").start(where)
+def routed_records(rows: DataFrame, image: str = "after") -> DataFrame:
+    """Each record's image for the topic that its ``sink_table`` names (``topic``, ``value``)."""
+    return rows.select(F.col("sink_table").alias("topic"), encoded_map(F.col(image)).alias("value"))
 
 
 def create_dim_tables(spark: SparkSession, config: DataFrame, home: str) -> list[str]:
@@ -62,32 +50,13 @@ def create_dim_tables(spark: SparkSession, config: DataFrame, home: str) -> list
 
 
 def put_dims(rows: DataFrame, home: str, batch: int) -> None:
-    """A batch of routed dimension rows, appended in one write for all tables: what is written follows
-    the changes, never the tables. A batch that runs again replaces its own rows."""
-    out = rows.select("sink_table", "after", F.col("ts_ms").alias("at"))
-    out.write.mode("overwrite").partitionBy("sink_table").parquet(f"{home}/changes/batch={batch}")
-
-
-def dim_now(spark: SparkSession, home: str, table: str, key: str = "id") -> DataFrame:
-    """A dimension as its changes leave it: of each key the last one."""
-    empty = spark.read.parquet(f"{home}/tables/{table}")
-    try:
-        rows = spark.read.schema("after map<string,string>, at bigint, batch bigint, sink_table string").parquet(f"{home}/changes")
-    except AnalysisException:
-        return empty
-    rows = rows.filter(F.col("sink_table") == table).withColumn("_key", F.col("after")[key])
-    last = rows.groupBy("_key").agg(F.max_by("after", F.struct("batch", "at")).alias("after"))
-    return last.select(*[F.col("after")[c].alias(c) for c in empty.columns])
-
-
-def compact_dims(spark: SparkSession, home: str, to: str, keys: dict[str, str]) -> None:
-    """The dimensions (table -> key) in a new home, with one row a key; readers change over to it."""
-    for table, key in keys.items():
-        now = dim_now(spark, home, table, key)
-        now.limit(0).write.parquet(f"{to}/tables/{table}")
-        image = F.map_from_arrays(F.array(*[F.lit(c) for c in now.columns]), F.array(*now.columns))
-        rows = now.select(F.lit(table).alias("sink_table"), image.alias("after"), F.lit(0).cast("long").alias("at"))
-        rows.write.mode("append").partitionBy("sink_table").parquet(f"{to}/changes/batch=-1")
+    """A batch of routed dimension rows into their tables (``dims.DimStore``)."""
+    DimStore(home).merge(rows, batch)
+
+
+def dim_now(spark: SparkSession, home: str, table: str, keys: DataFrame | None = None, version: int | None = None) -> DataFrame:
+    """A dimension's columns as its changes leave it, or as of a version; ``keys`` (one column) are all that is looked for, if given."""
+    return DimStore(home).read(spark, table, spark.read.parquet(f"{home}/tables/{table}").columns, keys, version)
 
 
 def upsert(now: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -1,70 +1,64 @@
 """Streams that feed several sinks from one read, batch by batch.
 
-A batch writes to a folder of its own number and replaces it when it runs again, so a restart after a
-failure neither loses nor doubles records.
+A batch's records are one append to the topics (``records.Topics``), which replaces itself when the batch
+runs again, so a restart after a failure neither loses nor doubles records.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalars import is_object
 from ..operators import cdc, logs, routing
-from ..sinks import create_dim_tables, encoded, encoded_map, put_dims
+from ..records import Topics
+from ..sinks import create_dim_tables, encoded, put_dims, routed_records
 from . import stateful
 
 
-def _put(rows: DataFrame, where: str, batch: int) -> None:
-    rows.write.mode("overwrite").text(f"{where}/batch={batch}")
-
-
-def keyed_logs(lines: DataFrame) -> DataFrame:
-    """All lines of a stream for the keyed state, as ``payload``. What has no flag to repair, as it is
-    dirty or names no device or time, is flagged null, which the state passes through; such lines are
-    dealt out by their text, as no device's state is theirs."""
-    path = lambda p: F.get_json_object("value", p)
-    mid, ts = path("$.common.mid"), path("$.ts").cast("long")
-    whole = F.coalesce(is_object(F.col("value")) & mid.isNotNull() & ts.isNotNull(), F.lit(False))
-    no_device = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("value"), F.lit(1024)).cast("string"))
-    return lines.select(F.when(whole, mid).otherwise(no_device).alias("mid"), F.when(whole, path("$.common.is_new")).alias("is_new"), F.when(whole, ts).otherwise(F.lit(0)).alias("ts"), F.col("value").alias("payload"))
-
-
 def repaired_logs(lines: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """All lines of a stream, as text, with the new-visitor flag repaired by keyed state. Lines that are
-    no JSON object, or without device or time, come as they are, without a flag."""
-    return stateful.repaired_stream(keyed_logs(lines), ttl_ms)
+    """All lines of a stream (``payload``) with the new-visitor flag (``is_new``) repaired by keyed state. Only lines
+    that are flagged new, with device and time, go through the state; all others pass beside it, with
+    a null flag, which means as it is."""
+    docs = logs.documents(lines)
+    flagged = F.coalesce((F.col("kind") != "dirty") & (F.col("is_new") == "1") & F.col("mid").isNotNull() & F.col("ts").isNotNull(), F.lit(False))
+    new = docs.filter(flagged).select("mid", "is_new", "ts", F.col("raw").alias("payload"))
+    rest = docs.filter(~flagged).select(F.lit(None).cast("string").alias("is_new"), F.col("raw").alias("payload"))
+    return stateful.repaired_stream(new, ttl_ms).select("is_new", "payload").unionByName(rest)
 
 
-def start_base_log(lines: DataFrame, home: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Log lines to the start, page, display and dirty topics; each batch is persisted once and written four times."""
+def start_base_log(lines: DataFrame, out: Topics, checkpoint: str, **trigger) -> StreamingQuery:
+    """Log lines to the start, page, display and dirty topics, all in one append a batch."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        rows, dirty = logs.parse_logs(batch.select("is_new", F.col("payload").alias("value")), keep=("is_new",))
-        repaired = F.coalesce(F.col("is_new"), F.col("common.is_new"))
-        start, page, display = logs.split_logs(rows.withColumn("common", F.col("common").withField("is_new", repaired)).drop("is_new", "raw"))
-        for name, part in (("start", start), ("page", page), ("display", display)):
-            _put(encoded(part), f"{home}/{name}", number)
-        _put(dirty, f"{home}/dirty", number)
-        batch.unpersist()
+        docs = logs.documents(batch.withColumnRenamed("is_new", "_flag"), "payload", ("_flag",))
+        out.put(logs.records(docs, F.when(F.col("kind") != "dirty", F.coalesce("_flag", "is_new"))), number)
 
     return repaired_logs(lines).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def start_base_db(spark: SparkSession, lines: DataFrame, read_config, home: str, dims: str, checkpoint: str, **trigger) -> StreamingQuery:
+def start_base_db(spark: SparkSession, lines: DataFrame, read_config: Callable[[], DataFrame], out: Topics, dims: str, checkpoint: str, held: str | None = None, **trigger) -> StreamingQuery:
     """Change lines to topics and dimension tables. ``read_config()`` is called for every batch, so a
-    new configuration row counts from the next batch on; facts without one go to ``unmatched``. Of
-    dimensions only the batch's changes are written (``sinks.dim_now`` reads a table from them)."""
+    new configuration row counts from the next batch on.
+
+    Facts that no configuration names go to the topic ``unmatched``. With a folder ``held`` they are kept
+    there as well and tried again with every batch, so that they are routed when their row arrives:
+    batch n reads what batch n - 1 left, and replaces only what it left itself, so it can run again."""
 
     def write(batch: DataFrame, number: int) -> None:
-        changes = cdc.without_deletes(cdc.decode_changes(batch)).withColumn("table", F.col("source.table")).persist()
+        changes = cdc.without_deletes(cdc.decode_changes(batch)).withColumn("table", F.col("source.table"))
+        if held and number:
+            changes = changes.unionByName(spark.read.schema(changes.schema).parquet(f"{held}/batch={number - 1}"))
+        changes = changes.persist()
         config = routing.current_config(read_config())
         parts = routing.route(changes, config)
-        out = parts["kafka"].select(F.col("sink_table").alias("topic"), encoded_map(F.col("after")).alias("value"))
-        out.write.mode("overwrite").partitionBy("topic").text(f"{home}/topics/batch={number}")
-        _put(encoded(parts["unmatched"]), f"{home}/unmatched", number)
+        left = encoded(parts["unmatched"]).select(F.lit("unmatched").alias("topic"), "value")
+        if held:
+            parts["unmatched"].write.mode("overwrite").parquet(f"{held}/batch={number}")
+            left = left.limit(0)
+        out.put(routed_records(parts["kafka"]).unionByName(left), number)
         create_dim_tables(spark, config, dims)
         put_dims(parts["hbase"], dims, number)
         changes.unpersist()

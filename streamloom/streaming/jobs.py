@@ -16,7 +16,8 @@ from ..functions.scalars import date_text, is_empty
 from ..operators import joins, stats
 from ..plans import jobs
 from ..schemas import ORDER_WIDE
-from ..sinks import encoded, stream_topic
+from ..records import Topics
+from ..sinks import encoded
 from . import stateful
 from .joins import LATE, RISING, windowed_stream
 
@@ -28,44 +29,54 @@ def _pages(lines: DataFrame) -> DataFrame:
     return rows.filter("mid is not null and ts is not null").withColumn("time", F.timestamp_millis("ts"))
 
 
-def start_unique_visit(pages: DataFrame, topic: str, checkpoint: str, ttl_ms: int | None = None, servers: str | None = None, **trigger) -> StreamingQuery:
+def start_unique_visit(pages: DataFrame, out: Topics, checkpoint: str, ttl_ms: int | None = None, topic: str = "dwm_unique_visit", **trigger) -> StreamingQuery:
     """Page lines to those of daily unique visitors. With ``ttl_ms`` (``stateful.DAY_MS``) a device's day
     is forgotten, and the stream needs a trigger that goes on."""
     entries = _pages(pages).filter("entry").select("mid", date_text(F.col("time")).alias("day"), "ts", "payload")
-    return stream_topic(stateful.unique_visit_stream(entries, ttl_ms).select(F.col("payload").alias("value")), topic, checkpoint, servers, **trigger)
+    return out.stream(stateful.unique_visit_stream(entries, ttl_ms).select(F.col("payload").alias("value")), checkpoint, topic, **trigger)
 
 
-def start_user_jump(pages: DataFrame, topic: str, checkpoint: str, within_ms: int = 10_000, delay: str = "1001 milliseconds", servers: str | None = None, **trigger) -> StreamingQuery:
-    """Page lines to those of bounces."""
+def start_user_jump(pages: DataFrame, out: Topics, checkpoint: str, within_ms: int = 10_000, delay: str = "1001 milliseconds", topic: str = "dwm_user_jump_detail", timed_out: str | None = None, **trigger) -> StreamingQuery:
+    """Page lines to those of bounces. ``timed_out`` names a topic of its own for those that nothing
+    followed in time; without one, both kinds go to ``topic``."""
     rows = _pages(pages).select("mid", "time", F.col("ts").alias("ts_ms"), "entry", "payload")
-    return stream_topic(stateful.bounce_stream(rows, within_ms, delay).select(F.col("payload").alias("value")), topic, checkpoint, servers, **trigger)
+    found = stateful.bounce_stream(rows, within_ms, delay)
+    name = F.when(F.col("kind") == "timeout", timed_out or topic).otherwise(topic)
+    return out.stream(found.select(name.alias("topic"), F.col("payload").alias("value")), checkpoint, **trigger)
 
 
-def start_order_wide(orders: DataFrame, details: DataFrame, read_dims: Callable[[], dict[str, DataFrame]], as_of: Column, topic: str, checkpoint: str, how: str = "inner", slack: str = "5 seconds", delay: str = RISING, **trigger) -> StreamingQuery:
+def start_order_wide(orders: DataFrame, details: DataFrame, read_dims: Callable[[], dict[str, DataFrame] | Callable[[str, DataFrame], DataFrame]], as_of: Column, out: Topics, checkpoint: str, how: str = "inner", slack: str = "5 seconds", delay: str = RISING, topic: str = "dwm_order_wide", **trigger) -> StreamingQuery:
     """Order and detail lines to enriched order records. ``read_dims()`` is called for every batch, so a
-    lookup sees the newest rows. A batch writes to a folder of its own, which it replaces if it runs again."""
+    lookup sees the newest rows; it gives tables by name, or a function that reads what a batch's keys need."""
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         rows = joins.enrich(batch, read_dims(), joins.order_lookups(as_of), how)
-        encoded(rows).write.mode("overwrite").text(f"{topic}/batch={number}")
+        out.put(encoded(rows).withColumn("topic", F.lit(topic)), number)
+        batch.unpersist()
 
     pairs = jobs.order_pairs(orders, details, slack, delay)
     return pairs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def start_payment_wide(payments: DataFrame, wides: DataFrame, topic: str, checkpoint: str, before: str = "15 minutes", after: str = "5 seconds", delay: str = RISING, servers: str | None = None, **trigger) -> StreamingQuery:
+def start_payment_wide(payments: DataFrame, wides: DataFrame, out: Topics, checkpoint: str, before: str = "15 minutes", after: str = "5 seconds", delay: str = RISING, topic: str = "dwm_payment_wide", **trigger) -> StreamingQuery:
     """Payment lines and enriched order records to payment records."""
     w = wides.select(F.from_json("value", ORDER_WIDE).alias("r")).select("r.*")
-    return stream_topic(encoded(jobs.payment_wide(payments, w, before, after, delay)), topic, checkpoint, servers, **trigger)
+    return out.stream(encoded(jobs.payment_wide(payments, w, before, after, delay)), checkpoint, topic, **trigger)
 
 
-def start_visitor_stats(pages: DataFrame, unique: DataFrame, jumps: DataFrame, topic: str, checkpoint: str, width: str = "10 seconds", delay: str = LATE, servers: str | None = None, **trigger) -> StreamingQuery:
-    """Lines of pages, unique visitors and bounces to sums by window and dimensions."""
+def start_visitor_stats(pages: DataFrame, unique: DataFrame, jumps: DataFrame, out: Topics, checkpoint: str, width: str = "10 seconds", delay: str = LATE, topic: str = "dws_visitor_stats", **trigger) -> StreamingQuery:
+    """Lines of pages, unique visitors and bounces to sums by window and dimensions. Lines that come from
+    a topic bring their arrival (``at``, ``part``, ``offset``); ``ts`` is then that of the first to arrive, of
+    those of one time a page's, then a unique visitor's."""
     keep = ["time", *stats.DIMENSIONS]
+    if all("offset" in lines.columns for lines in (pages, unique, jumps)):
+        keep.append("arrived")
 
-    def keyed(lines: DataFrame) -> DataFrame:
-        return jobs.pages_of(lines).select("time", "page", *[F.col(f"common.{c}").alias(c) for c in stats.DIMENSIONS])
+    def keyed(lines: DataFrame, rank: int) -> DataFrame:
+        arrived = F.struct("at", F.lit(rank).alias("rank"), "part", "offset") if "arrived" in keep else F.lit(0)
+        return jobs.pages_of(lines, arrived=arrived).select("time", "page", "arrived", *[F.col(f"common.{c}").alias(c) for c in stats.DIMENSIONS])
 
-    page = stats.page_rows(keyed(pages), keep, F.col("page.last_page_id"), F.col("page.during_time"))
-    sums = windowed_stream([stats.unique_rows(keyed(unique), keep), stats.jump_rows(keyed(jumps), keep), page], "time", width, delay=delay)
-    return stream_topic(encoded(sums), topic, checkpoint, servers, **trigger)
+    page = stats.page_rows(keyed(pages, 0), keep, F.col("page.last_page_id"), F.col("page.during_time"))
+    sums = windowed_stream([stats.unique_rows(keyed(unique, 1), keep), stats.jump_rows(keyed(jumps, 2), keep), page], "time", width, delay=delay)
+    return out.stream(encoded(sums), checkpoint, topic, **trigger)

@@ -54,7 +54,8 @@ class DailyUnique(StatefulProcessor):
 
 
 class Bounces(StatefulProcessor):
-    """Entries that no other page of the device follows within a time, decided in order of event time.
+    """Entries that no other page of the device follows within a time, decided in order of event time: of
+    kind ``match`` where another entry follows in time, of kind ``timeout`` where nothing does.
 
     Rows wait until the watermark has passed them; one entry at most waits for its successor. A device
     has one timer, for the first time at which something of it can be decided: when it fires, all rows
@@ -94,11 +95,12 @@ class Bounces(StatefulProcessor):
         entry = self.open.get() if self.open.exists() else None
         out = []
         for ts, is_entry, payload in due:
-            if entry is not None and (ts - entry[0] >= self.within_ms or is_entry):
-                out.append(Row(mid=key[0], ts_ms=entry[0], payload=entry[1]))
+            late = entry is not None and ts - entry[0] >= self.within_ms
+            if late or entry is not None and is_entry:
+                out.append(Row(mid=key[0], ts_ms=entry[0], payload=entry[1], kind="timeout" if late else "match"))
             entry = (ts, payload) if is_entry else None
         if entry is not None and now >= entry[0] + self.within_ms:
-            out.append(Row(mid=key[0], ts_ms=entry[0], payload=entry[1]))
+            out.append(Row(mid=key[0], ts_ms=entry[0], payload=entry[1], kind="timeout"))
             entry = None
         if due:
             self.waiting.clear()
@@ -118,6 +120,30 @@ class Bounces(StatefulProcessor):
         pass
 
 
+class LastImage(StatefulProcessor):
+    """The image before each change, remembered by key: a log of new images becomes one of both. Images are
+    JSON texts. State holds one image a key, none after a delete; ``ttl_ms`` bounds it further."""
+
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "image string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in sorted(rows, key=lambda r: r.ts):
+            known = self.last.get()[0] if self.last.exists() else None
+            op = "u" if row.op in ("c", "r") and known is not None else row.op
+            yield Row(id=row.id, op=op, ts=row.ts, before=row.before if known is None else known, after=row.after)
+            if row.op == "d":
+                self.last.clear()
+            elif row.after is not None:
+                self.last.update((row.after,))
+
+    def close(self) -> None:
+        pass
+
+
 def _mode(ttl_ms: int | None) -> str:
     """State that expires keeps a stream awake: Spark then runs empty batches without end, so it needs a
     trigger that goes on. Without expiry a stream ends with its input."""
@@ -140,6 +166,11 @@ def unique_visits_simple(entries: DataFrame, ts: str = "time") -> DataFrame:
 
 
 def bounce_stream(rows: DataFrame, within_ms: int = 10_000, delay: str = "1001 milliseconds") -> DataFrame:
-    """Rows ``mid``, ``time`` (timestamp), ``ts_ms``, ``entry``, ``payload``; results ``mid``, ``ts_ms``, ``payload``."""
+    """Rows ``mid``, ``time`` (timestamp), ``ts_ms``, ``entry``, ``payload``; results ``mid``, ``ts_ms``, ``payload``, ``kind``."""
     marked = rows.withWatermark("time", delay)
-    return marked.groupBy("mid").transformWithState(Bounces(within_ms), "mid string, ts_ms bigint, payload string", "append", "eventTime")
+    return marked.groupBy("mid").transformWithState(Bounces(within_ms), "mid string, ts_ms bigint, payload string, kind string", "append", "eventTime")
+
+
+def with_before_stream(rows: DataFrame, ttl_ms: int | None = None) -> DataFrame:
+    """Changes ``id``, ``op``, ``ts``, ``before``, ``after`` (images as JSON texts), as ``operators.cdc.with_before`` completes them."""
+    return rows.groupBy("id").transformWithState(LastImage(ttl_ms), "id string, op string, ts bigint, before string, after string", "append", _mode(ttl_ms))

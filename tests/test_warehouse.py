@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from streamloom.functions import scalars as S
 from streamloom.operators import cdc, joins, logs, routing, stats, visits
 from streamloom.plans import jobs
-from streamloom.sinks import console, create_dim_tables, dim_now, encoded, upsert, write_daily, write_routed, write_topic
+from streamloom.records import Topics
+from streamloom.sinks import console, create_dim_tables, dim_now, encoded, routed_records, upsert, write_daily, write_topic
 from streamloom.sources import topics
 
 T0 = datetime(2024, 1, 1)
@@ -39,15 +40,19 @@ def test_interval_pairs(spark, exclusive, kept):
 LOG = {"common": {"mid": "m1", "is_new": "1", "vc": "v2", "ch": "web", "ar": "11"}, "page": {"page_id": "home", "during_time": 1200}, "displays": [{"item": "7"}, {"item": "9"}], "ts": 1704067200000}
 
 
-def test_log_split(spark):
-    start = LOG | {"start": "icon", "ts": LOG["ts"] + 1}
-    bad = ["{bad", "", "null", "[1]", None, json.dumps({"ts": 1}), json.dumps({"common": {"mid": "x"}, "ts": 1})]
-    parts = jobs.base_log(lines(spark, json.dumps(LOG), json.dumps(start), *bad))
-    page = parts["page"].collect()
-    assert [len(r.displays) for r in page] == [2] and "page_id" not in page[0].displays[0]
-    assert sorted(sorted(r.display.items()) for r in parts["display"].collect()) == [[("item", "7"), ("page_id", "home")], [("item", "9"), ("page_id", "home")]]
-    assert parts["start"].count() == 1 and parts["dirty"].count() == len(bad)
-    assert [r.common.is_new for r in parts["start"].collect()] == ["0"]  # its device was seen a millisecond before
+def test_log_records(spark):
+    """Whole documents: fields that no job knows, at every level, numbers and nulls go through; one flag changes."""
+    odd = LOG | {"common": LOG["common"] | {"os": {"v": [1, 2.5, None]}, "uid": 12345678901234567890}, "extra": {"b": True, "a": None}, "page": LOG["page"] | {"item": {"x": 1}}, "displays": [{"item": "7", "pos": 1, "in": {"z": [1]}}, {"item": "9"}]}
+    start = LOG | {"start": {"ms": 12, "entry": "icon"}, "ts": LOG["ts"] + 1}
+    bad = ["{bad", "", "null", "[1]", None, json.dumps({"ts": 1}), json.dumps({"common": {"mid": "x"}, "ts": 1}), json.dumps(LOG | {"displays": [7]}), json.dumps(LOG | {"displays": {"item": "7"}}), json.dumps(LOG | {"common": "x"}), '{"common":{},"common":{},"start":"x"}']
+    keyless = [LOG | {"common": {"is_new": "1"}, "displays": None}, LOG | {"ts": None, "displays": []}, LOG | {"start": "", "common": {"mid": "m2"}, "displays": []}]
+    parts = jobs.base_log(lines(spark, json.dumps(odd), json.dumps(start), *bad, *map(json.dumps, keyless)))
+    read = lambda name: [json.loads(r.value) for r in parts[name].collect()]
+    by = lambda docs: sorted(docs, key=lambda d: json.dumps(d, sort_keys=True))
+    assert by(read("page")) == by([odd, *keyless])
+    assert read("start") == [start | {"common": start["common"] | {"is_new": "0"}}]  # its device was seen a millisecond before
+    assert by(read("display")) == by([{"item": "7", "pos": 1, "in": {"z": [1]}, "page_id": "home"}, {"item": "9", "page_id": "home"}])
+    assert sorted((r.value for r in parts["dirty"].collect()), key=str) == sorted(bad, key=str)
 
 
 @pytest.mark.parametrize(("flags", "fixed", "known"), [("111", "100", "100"), ("011", "010", "000")])
@@ -110,10 +115,10 @@ def test_routing(spark, tmp_path):
         [("order_info", "insert", "kafka", "dwd_order_info", "id,user_id", None, None), ("base_trademark", "c", "hbase", "dim_base_trademark", "id, tm_name", None, None), ("t", "c", "clickhouse", "x", "id", None, None)],
         "source_table string, operate_type string, sink_type string, sink_table string, sink_columns string, sink_pk string, sink_extend string",
     )
-    left = jobs.base_db(spark, lines(spark, change("c", None, {"id": "1", "user_id": "2", "x": "3"}, "order_info"), change("c", None, {"id": "1", "tm_name": "a"}), change("c", None, {"id": "1"}, "t"), change("c", None, {"id": "1"}, "nobody"), change("d", {"id": "1"}, None, "order_info")), config, str(tmp_path / "topics"), str(tmp_path / "dims"))
+    left = jobs.base_db(spark, lines(spark, change("c", None, {"id": "1", "user_id": "2", "x": "3"}, "order_info"), change("c", None, {"id": "1", "tm_name": "a"}), change("c", None, {"id": "1"}, "t"), change("c", None, {"id": "1"}, "nobody"), change("d", {"id": "1"}, None, "order_info")), config, Topics(str(tmp_path / "topics")), str(tmp_path / "dims"))
     assert [r.table for r in left.collect()] == ["nobody"]
-    sent = spark.read.text(str(tmp_path / "topics")).collect()
-    assert [(r.topic, json.loads(r.value)) for r in sent] == [("dwd_order_info", {"id": "1", "user_id": "2"})]
+    sent = Topics(str(tmp_path / "topics")).read(spark, "dwd_order_info").collect()
+    assert [json.loads(r.value) for r in sent] == [{"id": "1", "user_id": "2"}]
     assert dim_now(spark, str(tmp_path / "dims"), "dim_base_trademark").collect() == [("1", None)]  # the row is put; names aren't trimmed
     assert dim_now(spark, str(tmp_path / "dims"), "dim_base_trademark").columns == ["id", " tm_name"]
     facts = cdc.decode_changes(lines(spark, change("c", None, {"id": "1", "tm_name": "a"}))).withColumn("table", F.col("source.table"))
@@ -187,8 +192,7 @@ def test_topics_and_logs(spark, tmp_path):
     write_daily(lines(spark, "l1"), str(tmp_path / "d"), F.lit("2024-01-01"))
     assert spark.read.text(str(tmp_path / "d")).first().value == "l1"
     routed = spark.createDataFrame([("t1", {"a": "1", "b": None})], "sink_table string, after map<string,string>")
-    write_routed(routed, str(tmp_path / "r"))
-    assert spark.read.text(str(tmp_path / "r")).first().value == '{"a":"1"}'
+    assert routed_records(routed).collect() == [("t1", '{"a":"1"}')]
     write_topic(lines(spark, "x"), str(tmp_path / "c"))
     (tmp_path / "feed").mkdir()
     (tmp_path / "feed/1.json").write_text("\n".join([change("r", None, {"id": "1"}), change("c", None, {"id": "2"}), change("c", None, {"id": "3"}, "other")]))
@@ -211,6 +215,11 @@ def test_jdbc_query(spark, tmp_path):
     found = topics.read_jdbc(spark, url, query, to_camel=True, driver=driver)
     assert found.columns == ["regionName", "tmCount"] and [tuple(r) for r in found.collect()] == [("south", 7)]
     assert topics.read_jdbc(spark, url, 'select "id" from base_province where "id" > 9', driver=driver).count() == 0
+    spark.range(100).selectExpr("if(id = 7, null, id * id) as id", "id as n").write.format("jdbc").options(url=url, driver=driver, dbtable="squares").save()
+    for parts in (1, 4, 9):
+        dealt = topics.read_jdbc(spark, url, 'select * from squares', key='"id"', parts=parts, driver=driver)
+        assert dealt.rdd.getNumPartitions() == parts and sorted(r.n for r in dealt.collect()) == list(range(100))
+    assert topics.read_jdbc(spark, url, 'select * from squares where "id" < 0', key='"id"', driver=driver).count() == 0
 
 
 def test_socket_and_console(spark):
@@ -246,3 +255,24 @@ def test_socket_and_console(spark):
             peer.close()
     assert got == [(1, "first", 1_700_000_000), (2, "second", 1_700_000_060)]
     assert query.exception() is None
+
+
+def test_snapshot_feed_and_retraction(spark):
+    """Whatever a chunk's read saw of the changes between its marks, the feed leaves the table as the log does."""
+    rng = random.Random(7)
+    log = [(k, k % 2, pos, rng.choice("ccud"), f"v{pos}") for pos, k in enumerate(rng.choices(range(12), k=60), 1)]
+    marks = {0: (10, 30), 1: (25, 40)}
+    for seen in ({0: 10, 1: 25}, {0: 20, 1: 33}, {0: 30, 1: 40}):
+        now = {}
+        for k, c, pos, op, image in log:
+            if pos <= seen[c]:
+                now[k] = None if op == "d" else image
+        snapshot = [(k, k % 2, v) for k, v in now.items() if v is not None]
+        feed = cdc.snapshot_feed(spark.createDataFrame(snapshot, "id int, chunk int, image string"), spark.createDataFrame([(c, *m) for c, m in marks.items()], "chunk int, low int, high int"), spark.createDataFrame(log, "id int, chunk int, pos int, op string, image string"), ["id"])
+        want = {k: (op, image) for k, c, pos, op, image in log}
+        assert {r.id: r.image for r in cdc.latest(feed, ["id"], ["pos"]).collect()} == {k: v for k, (op, v) in want.items() if op != "d"}
+    rows = spark.createDataFrame([("1", "c", 1, "a"), ("1", "c", 2, "b"), ("1", "d", 3, None), ("1", "c", 4, "c"), ("2", "u", 5, "x")], "id string, op string, ts int, after string").withColumn("before", F.lit(None).cast("string"))
+    full = cdc.with_before(rows, ["id"], ["ts"])
+    assert [(r.op, r.before) for r in full.orderBy("ts").collect()] == [("c", None), ("u", "a"), ("d", "b"), ("c", None), ("u", None)]
+    sums = cdc.retracted_sums(cdc.retract(full).filter("image is not null"), [F.lit(1).alias("g")], F.length("image"))
+    assert [(r.n, r.total) for r in sums.collect()] == [(2, 2)]  # what is left is c of key 1 and x of key 2
