@@ -26,11 +26,15 @@ from pyspark.sql import functions as F
 
 #: Characters of a piece that is encoded at once; longer texts are joined from such pieces.
 PIECE = 16_384
+#: Levels of the tree that are joined between two shuffles.
+LEVELS = 3
 #: Tokens decoded at once.
 BLOCK = 1 << 20
 #: Tokens on each side of a join in the first window.
 WINDOW = 32
 _IDS = np.dtype("<u4")
+#: The bit of a token that says, between tasks, that it starts a word.
+_HEAD = np.uint32(1 << 31)
 #: The public word pattern of byte-level vocabularies, and characters whose class (letter,
 #: number, space, other) is the same in every version of Unicode that a matcher may have been built on.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -77,14 +81,23 @@ class Codec:
             return None
         return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks={self.token[n]: n for n in words.values()}, special_tokens={})
 
+    def _settled(self, text: str) -> bool:
+        """Whether the faster encoder gives the same for a text."""
+        return bool(self.ranked and (text.isascii() or SETTLED.fullmatch(text)) and not _LONG_SPACE.search(text) and not any(t in text for t in self.added))
+
     def ids(self, text: str) -> np.ndarray:
         """The ids of a whole text."""
-        settled = self.ranked and (text.isascii() or SETTLED.fullmatch(text)) and not _LONG_SPACE.search(text) and not any(t in text for t in self.added)
-        made = self.ranked.encode_ordinary(text) if settled else self.model.encode(text, add_special_tokens=False).ids
-        return np.array(made, _IDS)
+        return np.array(self.ranked.encode_ordinary(text) if self._settled(text) else self.model.encode(text, add_special_tokens=False).ids, _IDS)
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, whether each starts a word)."""
+        if self._settled(text):
+            import regex
+
+            ids = np.array(self.ranked.encode_ordinary(text), _IDS)
+            found = regex.findall(PATTERN, text)
+            sizes = np.array([*map(len, found)] if text.isascii() else [len(w.encode()) for w in found], np.int64)
+            return ids, np.isin(np.cumsum(self.length[ids]) - self.length[ids], np.cumsum(sizes) - sizes)
         made = self.model.encode(text, add_special_tokens=False)
         word = np.array([-1 if w is None else w for w in made.word_ids], np.int64)
         return np.array(made.ids, _IDS), np.concatenate([np.ones(min(len(word), 1), bool), word[1:] != word[:-1]])
@@ -190,8 +203,8 @@ def encoded(rows: DataFrame, path: str, column: str = "text", piece: int = PIECE
     little-endian unsigned 32-bit integers. Null texts count as empty and have no ids.
 
     Texts of up to ``piece`` characters are encoded in one pass without a shuffle. Longer ones are cut,
-    their pieces dealt over all tasks and encoded there; then neighbours are joined, in as many rounds as
-    halving the longest text takes. A text's ids come together in one row, as the text itself is one.
+    their pieces dealt over all tasks and encoded there; then halves are joined, ``LEVELS`` levels of the tree
+    between two shuffles, as deep as halving the longest text goes. A text's ids come together in one row, as the text itself is one.
     Rows need no key: each is numbered where it is read, so ids that are null or repeated don't matter,
     nor do the names of other columns.
     """
@@ -206,39 +219,44 @@ def encoded(rows: DataFrame, path: str, column: str = "text", piece: int = PIECE
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                text, last = batch.column(2)[at].as_py(), False
+                text = batch.column(2)[at].as_py()
                 for first in range(0, len(text), piece * 64):
                     parts = [text[i : i + piece] for i in range(first, min(first + piece * 64, len(text)), piece)]
-                    last = first + piece * 64 >= len(text)
                     n = len(parts)
                     docs = batch.column(0).slice(at, 1).take(pa.array([None if first or i else 0 for i in range(n)], pa.int64()))
                     nodes = pa.array(range(first // piece, first // piece + n), pa.int64())
-                    yield pa.RecordBatch.from_arrays([docs, pa.array([batch.column(1)[at].as_py()] * n, pa.int64()), nodes, pa.array(parts), pa.array([last and i == n - 1 for i in range(n)])], names=["doc", "uid", "node", "text", "last"])
+                    yield pa.RecordBatch.from_arrays([docs, pa.array([batch.column(1)[at].as_py()] * n, pa.int64()), nodes, pa.array(parts)], names=["doc", "uid", "node", "text"])
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [codec(path).words(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _binary(m[0] for m in made), _binary(m[1] for m in made)], names=["doc", "uid", "node", "ids", "heads"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for kids in batch.column(3):
-                nodes = [(np.frombuffer(k["ids"].as_buffer(), _IDS), np.frombuffer(k["heads"].as_buffer(), bool)) for k in kids]
-                out.append(nodes[0] if len(nodes) == 1 else codec(path).join(*nodes))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _binary(o[0] for o in out), _binary(o[1] for o in out)], names=["doc", "uid", "node", "ids", "heads"])
-
-    node = f"doc {doc}, uid bigint, node bigint, ids binary, heads binary"
+            made = (codec(path).words(t.as_py()) for t in batch.column(3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _binary(np.where(heads, ids | _HEAD, ids) for ids, heads in made)], names=["doc", "uid", "node", "ids"])
+
+    def joined(last: bool):
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for kids in batch.column(3):
+                    both = [np.frombuffer(k["ids"].as_buffer(), _IDS) for k in kids]
+                    nodes = [(x & ~_HEAD, x >= _HEAD) for x in both]
+                    while len(nodes) > 1:
+                        nodes = [codec(path).join(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
+                    ids, heads = nodes[0]
+                    out.append(ids if last else np.where(heads, ids | _HEAD, ids))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], _binary(out)], names=["doc", "uid", "node", "ids"])
+
+        return join
+
+    node = f"doc {doc}, uid bigint, node bigint, ids binary"
     numbered = spark_rows.filter(long).select("doc", F.monotonically_increasing_id().alias("uid"), "text")
-    pieces = numbered.mapInArrow(cut, f"doc {doc}, uid bigint, node bigint, text string, last boolean")
+    pieces = numbered.mapInArrow(cut, f"doc {doc}, uid bigint, node bigint, text string")
     nodes = pieces.repartition("uid", "node").mapInArrow(leaf, node)
     longest = spark_rows.agg(F.max(F.char_length("text")).alias("n")).first()["n"] or 0
     count = -(-longest // piece)
     while count > 1:
-        kid = F.struct("node", "ids", "heads")
-        pairs = nodes.groupBy("uid", F.shiftright("node", 1).alias("node")).agg(F.max_by("doc", -F.col("node")).alias("doc"), F.array_sort(F.collect_list(kid)).alias("kids"))
-        nodes = pairs.select("doc", "uid", "node", "kids").mapInArrow(joined, node)
-        count = -(-count // 2)
+        count = -(-count // (1 << LEVELS))
+        groups = nodes.groupBy("uid", F.shiftright("node", LEVELS).alias("node")).agg(F.max_by("doc", -F.col("node")).alias("doc"), F.array_sort(F.collect_list(F.struct("node", "ids"))).alias("kids"))
+        nodes = groups.select("doc", "uid", "node", "kids").mapInArrow(joined(count == 1), node)
     made = spark_rows.filter(~long).mapInArrow(whole, f"doc {doc}, ids binary")
     return made.unionByName(nodes.select("doc", "ids")) if longest > piece else made
 
