@@ -86,20 +86,21 @@ def user_jump(spark, sf):
 @query(
     _JUMPS
     + """, u as (select *, lag(ts::date) over (partition by user_id order by event_id) as before from events where event_type = 'signup'),
-    r as (select ts, event_type, 1 as uv, 0 as pv, 0 as sv, 0 as uj, 0 as dur from u where before is distinct from ts::date
-      union all select ts, event_type, 0, 0, 0, 1, 0 from j
-      union all select ts, event_type, 0, 1, (event_type = 'signup')::int, 0, coalesce(floor(value), 0)::bigint from events)
+    r as (select event_id, ts, event_type, 1 as uv, 0 as pv, 0 as sv, 0 as uj, 0 as dur from u where before is distinct from ts::date
+      union all select event_id, ts, event_type, 0, 0, 0, 1, 0 from j
+      union all select event_id, ts, event_type, 0, 1, (event_type = 'signup')::int, 0, coalesce(floor(value), 0)::bigint from events)
     select strftime(time_bucket(interval 6 hour, ts), '%Y-%m-%d %H:%M:%S') as stt, strftime(time_bucket(interval 6 hour, ts) + interval 6 hour, '%Y-%m-%d %H:%M:%S') as edt,
-      event_type, sum(uv)::bigint as uv_ct, sum(pv)::bigint as pv_ct, sum(sv)::bigint as sv_ct, sum(uj)::bigint as uj_ct, sum(dur)::bigint as dur_sum
-    from r group by all"""
+      event_type, sum(uv)::bigint as uv_ct, sum(pv)::bigint as pv_ct, sum(sv)::bigint as sv_ct, sum(uj)::bigint as uj_ct, sum(dur)::bigint as dur_sum, arg_max(epoch_us(ts) // 1000, event_id) as ts
+    from r group by stt, edt, event_type"""
 )
 def visitor_stats(spark, sf):
-    e = table(spark, sf, "events")
-    entry, keep = F.col("event_type") == "signup", ["ts", "event_type"]
+    """The greatest id arrives first here, so that ``ts`` is no least or greatest time."""
+    e = table(spark, sf, "events").withColumn("arrived", -F.col("event_id"))
+    entry, keep = F.col("event_type") == "signup", ["ts", "event_type", "arrived"]
     unique = visits.unique_visits(e, entry, S.date_text(F.col("ts")), "user_id", ("event_id",))
     jumps = visits.bounces(e, entry, "ts", "user_id", ("event_id",), "6 hours")
     page = stats.page_rows(e, keep, F.when(~entry, F.col("event_type")), F.floor("value"))
-    return stats.windowed([stats.unique_rows(unique, keep), stats.jump_rows(jumps, keep), page], "ts", "6 hours", ("event_type",)).drop("ts")
+    return stats.windowed([stats.unique_rows(unique, keep), stats.jump_rows(jumps, keep), page], "ts", "6 hours", ("event_type",))
 
 
 def _interval(spark, sf, **bounds):

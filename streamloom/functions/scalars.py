@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DATE_TIME = "yyyy-MM-dd HH:mm:ss"
 YEAR_MS = 86_400_000 * 365
@@ -78,6 +79,22 @@ def pruned(m: Column, columns: Column) -> Column:
     return F.map_filter(m, lambda k, _: F.array_contains(names, k))
 
 
+def plain_name(name: Column) -> Column:
+    """A name without case and separators: ``user_name``, ``userName`` and ``UserName`` are one."""
+    return F.lower(F.regexp_replace(name, "[_-]", ""))
+
+
+def typed_json(text: Column, ddl: str) -> Column:
+    """A JSON object as a struct of the DDL's fields. A field takes the key of its very name, or else one that is
+    the same but for case and separators (of several, the last). What can't be read as the field's type
+    is null, and so is the struct of what is no object."""
+    fields = fields_of(F.try_parse_json(text))
+    alike = F.aggregate(F.map_keys(fields), F.create_map().cast("map<string,string>"), lambda m, k: put(m, plain_name(k), k))
+    kinds = T.StructType.fromDDL(ddl)
+    found = [F.try_variant_get(fields[F.when(F.map_contains_key(fields, F.lit(f.name)), f.name).otherwise(alike[plain_name(F.lit(f.name))])], "$", f.dataType.simpleString()).alias(f.name) for f in kinds.fields]
+    return F.when(fields.isNotNull(), F.struct(*found))
+
+
 def without_nulls(m: Column) -> Column:
     return F.map_filter(m, lambda _, v: v.isNotNull())
 

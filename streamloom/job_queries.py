@@ -127,16 +127,15 @@ def _payments(spark, sf) -> DataFrame:
 
 
 _PAID = f"""with {_PAIRS} select o_orderkey + 1000000000 as payment_id, {_TIME.format("o_orderdate + to_minutes(o_orderkey % 20)")} as payment_create_time, p.create_time as order_create_time, o_orderkey as order_id,
-    case when o_orderkey % 2 = 0 then o_custkey + 1 end as user_id, floor(o_totalprice) as total_amount, 's' as subject, '1101' as payment_type, null::varchar as callback_time, detail_id, sku_id, sku_num, order_price
+    case when o_orderkey % 2 = 0 then o_custkey + 1 end as user_id, floor(o_totalprice) as total_amount, 's' as subject, '1101' as payment_type, null::varchar as callback_time, 'old' as sku_name, p.* exclude (order_id, user_id, total_amount, create_time)
     from orders join p on order_id = o_orderkey where o_orderkey % 20 <= 15"""
-_PAID_COLUMNS = ["payment_id", "payment_create_time", "order_create_time", "order_id", "user_id", "total_amount", "subject", "payment_type", "callback_time", "detail_id", "sku_id", "sku_num", "order_price"]
 
 
 @query(_PAID)
 def payment_wide_rows(spark, sf):
     """Payments win over the order's values of the same name, null or not."""
     wides = jobs.order_pairs(sinks.encoded(_orders(spark, sf)), sinks.encoded(_details(spark, sf)), "30 days")
-    return _plain(jobs.payment_wide(sinks.encoded(_payments(spark, sf)), wides).select(*_PAID_COLUMNS))
+    return _plain(jobs.payment_wide(sinks.encoded(_payments(spark, sf)), wides))
 
 
 #: Events as log lines, in SQL of both engines: sign-ups start, errors are broken, views have two displays. Fields
@@ -221,11 +220,15 @@ def _changes(spark, sf, some: str = "true") -> DataFrame:
     return e.select(F.when(kind.isin("error", "click"), old).alias("before"), F.when(kind != "error", image).alias("after"), source.alias("source"), op.alias("op"), F.col("event_id").alias("ts_ms"))
 
 
-@query("select event_id as ts_ms, 'user_info' as name, case event_type when 'error' then 'd' when 'click' then 'u' else 'c' end as op, case when event_type in ('error', 'click') then user_id::varchar end as old_id, case when event_type <> 'error' then event_id::varchar end as new_last from events where event_type not in ('signup', 'purchase')")
+@query("with m as (select max(event_id) // 3 as third from events) select event_id as ts_ms, 'user_info' as name, case event_type when 'error' then 'd' when 'click' then 'u' else 'c' end as op, case when event_type in ('error', 'click') then user_id::varchar end as old_id, case when event_type <> 'error' then event_id::varchar end as new_last from events, m where event_type not in ('signup', 'purchase') and event_id >= third")
 def change_feed(spark, sf):
-    """A feed of one table, written to a topic and read from its latest state on."""
-    where = topic(_changes(spark, sf), home(spark))
-    rows = topics.read_changes(spark, where, tables=["shop.user_info"])
+    """A feed of one table from the position that it had when a group first asked for the latest: what was
+    there before isn't read, what came later is, however often the group starts."""
+    where, out = home(spark), Topics(home(spark))
+    for some in _thirds(spark, sf):
+        out.put(sinks.encoded(_changes(spark, sf, some)).withColumn("topic", F.lit("ods_base_db")))
+        feed = out.read(spark, "ods_base_db", start="latest", pin=f"{where}/begin")
+    rows = topics.change_rows(feed, tables=["shop.user_info"])
     return rows.select("ts_ms", F.col("source.table").alias("name"), "op", F.col("before")["id"].alias("old_id"), F.col("after")["last"].alias("new_last"))
 
 
@@ -293,12 +296,37 @@ def stream_routed_topics(spark, sf):
     return _routed(out.read(spark, "dwd_user").withColumn("topic", F.lit("dwd_user")), left)
 
 
-@query("select * from (values ('user_info', 'c', 'hbase', 'dim_user', 'id,last', 'id', ''), ('user_info', 'u', 'hbase', 'dim_user', 'id,last', 'id', ''), ('user_info', 'r', 'kafka', 'dwd_user', null, 'id', '')) as c(source_table, operate_type, sink_type, sink_table, sink_columns, sink_pk, sink_extend)")
+_CONFIGURED = """select 't' || c_custkey % 1000 as source_table, c_custkey % 7 as operation, case when c_custkey % 2 = 0 then 'kafka' else 'hbase' end as sink_type, 'dwd_' || c_custkey as sink_table,
+    case when c_custkey % 3 > 0 then 'id,name' end as sink_columns, c_custkey % 11 = 0 as gone, c_custkey as ts_ms from customer"""
+
+
+@query(
+    f"""with f as ({_CONFIGURED}), z as (select * from f qualify row_number() over (partition by source_table, operation order by ts_ms desc) = 1)
+    select source_table, ['insert', 'c', 'u', 'r', 'x', 'y', 'z'][operation + 1] as operate_type, sink_type, sink_table, sink_columns, 'id' as sink_pk, '' as sink_extend from z where not gone and operation > 0"""
+)
 def config_rows(spark, sf):
-    """The configuration as its feed leaves it: the last row of each key, defaults filled in."""
-    image = F.map_from_arrays(F.array(*[F.lit(c) for c in schemas.names(schemas.TABLE_PROCESS)]), F.array(*schemas.names(schemas.TABLE_PROCESS)))
-    feed = _config(spark).select(F.lit(None).cast("map<string,string>").alias("before"), image.alias("after"), F.lit("r").alias("op"), F.col("ts_ms").cast("long").alias("ts_ms"))
-    return routing.current_config(jobs.config_of(feed)).drop("ts_ms")
+    """The configuration as its feed leaves it, from the first row on: of each key the last row, without
+    deleted ones, defaults filled in, columns named in camel case."""
+    names = {"sourceTable": "source_table", "operateType": "operate_type", "sinkType": "sink_type", "sinkTable": "sink_table", "sinkColumns": "sink_columns"}
+    kinds = F.array(*[F.lit(x) for x in ("insert", "c", "u", "r", "x", "y", "z")])
+    table(spark, sf, "customer").createOrReplaceTempView("configured_customers")
+    rows = spark.sql(_CONFIGURED.replace("from customer", "from configured_customers")).filter("operation > 0").withColumn("operate_type", kinds[F.col("operation").cast("int")])
+    image = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names.values()))
+    none = F.lit(None).cast("map<string,string>")
+    feed = rows.select(F.when(F.col("gone"), image).otherwise(none).alias("before"), F.when(~F.col("gone"), image).otherwise(none).alias("after"), F.when(F.col("gone"), "d").otherwise("r").alias("op"), F.col("ts_ms").cast("long").alias("ts_ms"))
+    out = Topics(home(spark))
+    out.put(sinks.encoded(feed).withColumn("topic", F.lit("table_process")))
+    return routing.current_config(jobs.config_of(topics.change_rows(out.read(spark, "table_process"), startup="initial"))).drop("ts_ms")
+
+
+@query("select event_id, event_type as \"eventType\", user_id, case when event_id % 3 = 0 then floor(value)::bigint end as amount from events")
+def typed_names(spark, sf):
+    """JSON as typed rows, keys in snake, camel or Pascal case; what doesn't fit its type is null."""
+    e, n = table(spark, sf, "events"), F.col("event_id") % 3
+    pair = lambda *names: F.element_at(F.array(*[F.lit(x) for x in names]), (n + 1).cast("int"))
+    amount = F.when(n == 0, F.floor("value").cast("string")).when(n == 1, F.lit('"many"')).otherwise("null")
+    text = F.concat(F.lit('{"'), pair("event_id", "eventId", "EventId"), F.lit('":'), F.col("event_id").cast("string"), F.lit(',"'), pair("event_type", "eventType", "EVENT_TYPE"), F.lit('":"'), "event_type", F.lit('","'), pair("user_id", "userId", "userid"), F.lit('":'), F.col("user_id").cast("string"), F.lit(',"Amount":'), F.coalesce(amount, F.lit("null")), F.lit("}"))
+    return e.select(S.typed_json(text, "event_id bigint, eventType string, user_id bigint, amount bigint").alias("r")).select("r.*")
 
 
 @query("select user_id::int as id, event_id::bigint as last from events where event_type not in ('error', 'signup')")
@@ -395,7 +423,7 @@ _JUMP = f"""n as (select *, lead(ms) over w as nms, lead(event_type = 'signup')
 def stream_unique_visit(spark, sf):
     """Daily unique visitors by keyed state, over three starts of the stream."""
     out = Topics(home(spark))
-    _fed_pages(spark, sf, 3, lambda session, pages, where: streams.start_unique_visit(pages.read(session, "dwd_page_log", True), out, f"{where}/ck").awaitTermination())
+    _fed_pages(spark, sf, 3, lambda session, pages, where: streams.start_unique_visit(pages.read(session, "dwd_page_log", True), out, f"{where}/ck", None).awaitTermination())
     return _ids(out.read(spark, "dwm_unique_visit"))
 
 
@@ -420,7 +448,7 @@ def stream_visitor_stats(spark, sf):
 
     def start(session, pages, where):
         read = lambda: pages.read(session, "dwd_page_log", True)
-        streams.start_unique_visit(read(), made["unique"], f"{where}/ck1").awaitTermination()
+        streams.start_unique_visit(read(), made["unique"], f"{where}/ck1", None).awaitTermination()
         streams.start_user_jump(read(), made["jumps"], f"{where}/ck2", 6 * 3_600_000).awaitTermination()
         unique, jumps = made["unique"].read(session, "dwm_unique_visit", True), made["jumps"].read(session, "dwm_user_jump_detail", True)
         streams.start_visitor_stats(read(), unique, jumps, stats_out, f"{where}/ck3", "6 hours", delay="1 day").awaitTermination()
@@ -455,8 +483,10 @@ def stream_payment_wide(spark, sf):
     out = Topics(home(spark))
     wides = jobs.order_pairs(sinks.encoded(_orders(spark, sf)), sinks.encoded(_details(spark, sf)), "30 days")
     _fed_pairs(spark, sf, _payments(spark, sf), wides, lambda session, payments, orders, where: streams.start_payment_wide(payments, orders, out, f"{where}/ck").awaitTermination())
-    kinds = "payment_id bigint, payment_create_time string, order_create_time string, order_id bigint, user_id bigint, total_amount double, subject string, payment_type string, callback_time string, detail_id bigint, sku_id bigint, sku_num bigint, order_price double"
-    return out.read(spark, "dwm_payment_wide").select(F.from_json("value", kinds).alias("r")).select("r.*")
+    own = "payment_id bigint, payment_create_time string, order_create_time string, subject string, payment_type string, callback_time string, "
+    made = out.read(spark, "dwm_payment_wide").select(F.from_json("value", own + schemas.ORDER_WIDE).alias("r")).select("r.*")
+    looked_up = [c for spec in joins.order_lookups(F.lit(AS_OF)) for c in spec.columns if c != "sku_name"]
+    return _plain(made.drop("create_time", *looked_up))
 
 
 @query(

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.scalars import is_empty, ymd_hms
+from ..functions.scalars import epoch_ms, is_empty, ymd_hms
 
 COUNTS = ("uv_ct", "pv_ct", "sv_ct", "uj_ct", "dur_sum")
 DIMENSIONS = ("ar", "ch", "is_new", "vc")
@@ -36,7 +37,7 @@ def windowed(parts: list[DataFrame], ts: str, width: str, dimensions: tuple[str,
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    ms = epoch_ms(F.col(ts)) if isinstance(rows.schema[ts].dataType, T.TimestampNTZType) else F.unix_millis(ts)
     first = F.min_by(ms, "arrived") if "arrived" in rows.columns else F.min(ms)
     sums = rows.groupBy(F.window(ts, width).alias("w"), *dimensions).agg(*[F.sum(c).alias(c) for c in COUNTS], first.alias("ts"))
     return sums.select(ymd_hms(F.col("w.start")).alias("stt"), ymd_hms(F.col("w.end")).alias("edt"), *dimensions, *COUNTS, "ts")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import date_text, is_empty
+from ..functions.scalars import date_text, is_empty, typed_json
 from ..operators import cdc, joins, logs, routing, stats, visits
 from ..schemas import LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, TABLE_PROCESS, names
 from ..records import Topics
@@ -79,8 +79,10 @@ def payment_wide(payments: DataFrame, wides: DataFrame, before: str = "15 minute
 
 
 def config_of(changes: DataFrame) -> DataFrame:
-    """The configuration table as its change feed leaves it; deletions take rows away."""
-    keyed = changes.select("op", "ts_ms", *[F.coalesce(F.col("after")[c], F.col("before")[c]).alias(c) for c in names(TABLE_PROCESS)])
+    """The configuration table as its change feed leaves it; deletions take rows away. Columns may be named
+    in snake or camel case."""
+    image = typed_json(F.to_json(F.coalesce("after", "before")), TABLE_PROCESS)
+    keyed = changes.select("op", "ts_ms", image.alias("i")).select("op", "ts_ms", "i.*")
     return cdc.latest(keyed, ["source_table", "operate_type"], ["ts_ms"]).select(*names(TABLE_PROCESS), "ts_ms")
 
 

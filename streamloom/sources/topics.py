@@ -24,15 +24,20 @@ def read_topic(spark: SparkSession, where: str, streaming: bool = False, servers
     return reader.format("text").load(where).select("value")
 
 
-def read_changes(spark: SparkSession, where: str, streaming: bool = False, tables: list[str] | None = None, startup: str = "latest", **options) -> DataFrame:
-    """A change feed as rows. ``startup='latest'`` leaves the snapshot's reads out, ``'initial'`` keeps
-    them; no ``tables`` means all."""
-    rows = decode_changes(read_topic(spark, where, streaming, **options))
+def change_rows(lines: DataFrame, tables: list[str] | None = None, startup: str = "latest") -> DataFrame:
+    """Lines of a change feed as rows. ``startup='latest'`` leaves the snapshot's reads out, ``'initial'`` keeps
+    them; no ``tables`` means all. Where the feed begins is for the topic to say (``records.Topics.read``)."""
+    rows = decode_changes(lines)
     if startup == "latest":
         rows = rows.filter(~F.col("op").eqNullSafe("r"))
     return rows.filter(F.concat_ws(".", "source.db", "source.table").isin(tables)) if tables else rows
 
 
+def read_changes(spark: SparkSession, where: str, streaming: bool = False, tables: list[str] | None = None, startup: str = "latest", **options) -> DataFrame:
+    """A change feed of line files or of Kafka as rows."""
+    return change_rows(read_topic(spark, where, streaming, **options), tables, startup)
+
+
 def changelog_view(changes: DataFrame, name: str, schema: T.StructType, keys: list[str] | None = None, order: tuple[str, ...] = ("ts_ms",)) -> None:
     """A change feed as a typed SQL view: what a connector's table declares. With the ``keys`` of the
     declared table, its rows as the feed leaves them; without, every new image. Deletes show nothing."""

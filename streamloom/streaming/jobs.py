@@ -29,11 +29,13 @@ def _pages(lines: DataFrame) -> DataFrame:
     return rows.filter("mid is not null and ts is not null").withColumn("time", F.timestamp_millis("ts"))
 
 
-def start_unique_visit(pages: DataFrame, out: Topics, checkpoint: str, ttl_ms: int | None = None, topic: str = "dwm_unique_visit", **trigger) -> StreamingQuery:
-    """Page lines to those of daily unique visitors. With ``ttl_ms`` (``stateful.DAY_MS``) a device's day
-    is forgotten, and the stream needs a trigger that goes on."""
+def start_unique_visit(pages: DataFrame, out: Topics, checkpoint: str, ttl_ms: int | None = stateful.DAY_MS, topic: str = "dwm_unique_visit", **trigger) -> StreamingQuery:
+    """Page lines to those of daily unique visitors. A device's day is forgotten ``ttl_ms`` after its last
+    entry. State that expires keeps a stream running, so the job then goes on, batch after batch, unless a
+    trigger says otherwise; with None the state stays and the stream ends with its input."""
     entries = _pages(pages).filter("entry").select("mid", date_text(F.col("time")).alias("day"), "ts", "payload")
-    return out.stream(stateful.unique_visit_stream(entries, ttl_ms).select(F.col("payload").alias("value")), checkpoint, topic, **trigger)
+    going = trigger or ({"availableNow": True} if ttl_ms is None else {"processingTime": "1 second"})
+    return out.stream(stateful.unique_visit_stream(entries, ttl_ms).select(F.col("payload").alias("value")), checkpoint, topic, **going)
 
 
 def start_user_jump(pages: DataFrame, out: Topics, checkpoint: str, within_ms: int = 10_000, delay: str = "1001 milliseconds", topic: str = "dwm_user_jump_detail", timed_out: str | None = None, **trigger) -> StreamingQuery:

@@ -2,10 +2,13 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from streamloom.records import Topics
+from streamloom.streaming import jobs as streams
 from streamloom.streaming import joins as sj
 from streamloom.streaming import stateful
 from tests.test_warehouse import automaton
@@ -58,7 +61,12 @@ def test_bounce_stream(spark, tmp_path):
     stream = feed(spark, tmp_path, rows, "mid string, ts_ms bigint, entry boolean, payload string").withColumn("time", F.timestamp_millis("ts_ms"))
     out = drained(stateful.bounce_stream(stream), tmp_path)
     for m in "abc":
-        assert sorted(r.ts_ms for r in out if r.mid == m) == automaton([(t, e) for t, k, e in events if k == m], 10_000)
+        own = [(t, e) for t, k, e in events if k == m]
+        assert sorted(r.ts_ms for r in out if r.mid == m) == automaton(own, 10_000)
+        for r in out:
+            if r.mid == m:
+                later = [e for t, e in own if r.ts_ms < t < r.ts_ms + 10_000]
+                assert r.kind == ("match" if later else "timeout") and (not later or later[0])
 
 
 def test_interval_join_and_late_rows(spark, tmp_path):
@@ -73,3 +81,47 @@ def test_windows_drop_late_rows(spark, tmp_path):
     ddl = "time timestamp, k string, uv_ct bigint, pv_ct bigint, sv_ct bigint, uj_ct bigint, dur_sum bigint"
     out = sj.windowed_stream([feed(spark, tmp_path, [make(1, 9), make(40), make(5), make(59), make(59)], ddl)], "time", dimensions=("k",))
     assert [(r.stt[14:], r.uv_ct) for r in drained(out, tmp_path)][:1] == [("00:00", 2)]  # second 5 came too late
+
+
+@pytest.mark.parametrize(("ttl_ms", "kept"), [(3_000, ["0", "1"]), (None, ["0"]), (stateful.DAY_MS, ["0"])])
+def test_unique_visit_state_expires(spark, tmp_path, ttl_ms, kept):
+    """A second entry of a day counts again once the day is forgotten, and else doesn't; the state can be read."""
+    page = lambda n: json.dumps({"common": {"mid": "m"}, "page": {"page_id": str(n)}, "ts": 1_704_067_200_000 + n})
+    lines, out = Topics(str(tmp_path / "in")), Topics(str(tmp_path / "out"))
+
+    def put(n):
+        lines.put(spark.createDataFrame([("t", page(n))], "topic string, value string"))
+
+    def until(done):
+        end = time.time() + 90
+        while not done() and time.time() < end:
+            time.sleep(0.3)
+        assert done()
+
+    put(0)
+    start = lambda: streams.start_unique_visit(lines.read(spark, "t", True), out, str(tmp_path / "ck"), ttl_ms)
+    found = lambda: sorted(json.loads(r.value)["page"]["page_id"] for r in out.read(spark, "dwm_unique_visit").collect())
+    query = start()
+    if ttl_ms is None:
+        assert query.awaitTermination(120)
+    else:  # the job goes on, as its state expires
+        until(lambda: found() == ["0"])
+    state = spark.read.format("statestore").option("stateVarName", "day").load(str(tmp_path / "ck")).collect()
+    assert [(r.key.mid, r.value.value.day if ttl_ms else r.value.day) for r in state] == [("m", "2024-01-01")]
+    time.sleep(4)
+    put(1)
+    if ttl_ms is None:
+        query = start()
+        assert query.awaitTermination(120)
+    else:
+        seen = query.lastProgress["batchId"]
+        until(lambda: query.lastProgress["batchId"] > seen + 2)
+        query.stop()
+    assert found() == kept
+
+
+def test_last_image_stream(spark, tmp_path):
+    ddl = "id string, op string, ts bigint, before string, after string"
+    rows = [[{"id": "1", "op": "c", "ts": 1, "after": "a"}], [{"id": "1", "op": "d", "ts": 3}, {"id": "1", "op": "u", "ts": 2, "after": "b"}], [{"id": "1", "op": "c", "ts": 4, "after": "c"}, {"id": "2", "op": "u", "ts": 5, "before": "x", "after": "y"}, {"id": "1", "op": "r", "ts": 6, "after": "d"}]]
+    out = drained(stateful.with_before_stream(feed(spark, tmp_path, rows, ddl)), tmp_path)
+    assert sorted((r.ts, r.op, r.before, r.after) for r in out) == [(1, "c", None, "a"), (2, "u", "a", "b"), (3, "d", "b", None), (4, "c", None, "c"), (5, "u", "x", "y"), (6, "u", "c", "d")]

@@ -276,3 +276,17 @@ def test_snapshot_feed_and_retraction(spark):
     assert [(r.op, r.before) for r in full.orderBy("ts").collect()] == [("c", None), ("u", "a"), ("d", "b"), ("c", None), ("u", None)]
     sums = cdc.retracted_sums(cdc.retract(full).filter("image is not null"), [F.lit(1).alias("g")], F.length("image"))
     assert [(r.n, r.total) for r in sums.collect()] == [(2, 2)]  # what is left is c of key 1 and x of key 2
+
+
+def test_typed_json_and_views(spark):
+    given = ['{"user_id":1,"userName":"a","Total-Amount":2.50}', '{"userId":"x","user_name":null}', '{"USERID":3,"user_name":"n","userName":"m"}', "[1]", "{bad", None, "{}"]
+    rows = lines(spark, *given).select(S.typed_json(F.col("value"), "user_id bigint, user_name string, totalAmount decimal(16,2)").alias("r")).collect()
+    assert [r.r and tuple(r.r) for r in rows] == [(1, "a", Decimal("2.50")), (None, None, None), (3, "n", None), None, None, None, (None, None, None)]
+    from pyspark.sql import types as T
+
+    log = cdc.decode_changes(lines(spark, change("c", None, {"id": "1", "n": "a"}, ts=1), change("u", {"id": "1"}, {"id": "1", "n": "b"}, ts=2), change("c", None, {"id": "2", "n": "c"}, ts=3), change("d", {"id": "2"}, None, ts=4)))
+    kinds = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("n", T.StringType())])
+    topics.changelog_view(log, "every_image", kinds)
+    topics.changelog_view(log, "current_rows", kinds, ["id"])
+    assert sorted(map(tuple, spark.sql("select * from every_image").collect())) == [(1, "a"), (1, "b"), (2, "c")]
+    assert list(map(tuple, spark.sql("select * from current_rows").collect())) == [(1, "b")]
