@@ -19,8 +19,11 @@ HOT_PARTS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session names none."""
+    """The folder that driver and executors share; where the session names none, one is set if all run on
+    one machine, and else there is none to set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return found.rstrip("/")
@@ -44,6 +47,18 @@ def joined_hot(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -
     return rows.join(few, keys).unionByName(rest)
 
 
+def joined_salted(rows: DataFrame, table: DataFrame, keys: list[str], total: int, salts: int = 64) -> DataFrame:
+    """As ``joined_hot``, for a table that may have any number of rows a key, which no broadcast is sure to
+    hold: only the hot keys themselves (fewer than ``HOT_PARTS``) are broadcast. A hot key's rows are dealt over
+    ``salts`` parts, to each of which the table's rows of that key go."""
+    hot = F.col("n") * HOT_PARTS > total
+    known = F.broadcast(table.filter(hot).select(*keys).distinct())
+    rest = rows.join(known, keys, "left_anti").join(table.filter(~hot), keys)
+    dealt = rows.join(known, keys, "left_semi").withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    spread = table.filter(hot).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, [*keys, "_salt"]).drop("_salt").unionByName(rest)
+
+
 def hash_pair(col: Column) -> tuple[Column, Column]:
     """128 bits as two longs from differently seeded 64-bit hashes, which group and sort cheaply."""
     return F.xxhash64(col), F.xxhash64(F.lit(1), col)

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_hot, written
+from .common import joined_salted, written
 
+#: Bytes of the longest host name.
+LONGEST = 253
 _HOST = r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of an absolute URL without its port and final dot; null if there is none."""
+    """Lower-case host of an absolute URL without its port and final dot; null if there is none. What is
+    longer than any name may be (``LONGEST``) is no host: its domains would be of quadratic size."""
     found = F.rtrim(F.regexp_extract(F.lower(url), _HOST, 1), F.lit("."))
-    return F.when(found != "", found)
+    return F.when((found != "") & (F.octet_length(found) <= LONGEST), found)
 
 
 def list_keys(url: Column, host: Column) -> Column:
@@ -50,8 +53,8 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     Kinds: ``host`` (that host alone), ``domain`` (it and its subdomains), ``url`` (that URL without
     its fragment, in lower case). A URL's few possible keys are exploded and equi-joined with the
     intervals; the fetch time decides after the join. Equal captures are judged once, so a hot URL is
-    one row; keys of very many captures (a large host, a top-level domain) stay where they are read
-    and meet a broadcast of those keys' intervals alone (``joined_hot``).
+    one row; keys of very many captures (a large host, a top-level domain) are dealt over
+    several tasks, and those keys' intervals to each of them (``joined_salted``).
 
     Null or relative URLs have no host and can match by ``url`` only; a null fetch time matches
     nothing. One row per input row. Empty lists block nothing; no captures give no rows.
@@ -61,7 +64,9 @@ def url_filter(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = asked.withColumn("key", F.explode(list_keys(F.col("url"), F.col("host")))).select("url", "fetched", "key.kind", "key.value").filter("value is not null")
     asked, names = written(asked), ["kind", "value"]
     v = written(validity_intervals(entries).join(asked.groupBy(*names).agg(F.count(F.lit(1)).alias("n")), names))
-    hits = joined_hot(asked, v, names, asked.count()).filter("fetched >= since and (until is null or fetched < until)")
+    hits = joined_salted(asked, v, names, asked.count()).filter("fetched >= since and (until is null or fetched < until)")
     hits = hits.groupBy("url", "fetched").agg(F.sort_array(F.collect_set("list")).alias("found"))
     found = F.coalesce("found", F.array().cast("array<string>"))
-    return c.join(hits, ["url", "fetched"], "left").select("page_id", "url", "host", "fetched", found.alias("lists"), (F.size(found) > 0).alias("blocked"))
+    whole = F.col("url").isNotNull() & F.col("fetched").isNotNull()
+    rest = c.filter(~whole).withColumn("found", F.lit(None).cast("array<string>"))  # never meets a hit, and would be one task's
+    return c.filter(whole).join(hits, ["url", "fetched"], "left").unionByName(rest).select("page_id", "url", "host", "fetched", found.alias("lists"), (F.size(found) > 0).alias("blocked"))
