@@ -38,7 +38,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return spans.select("doc.doc_id", "n_removed", "n_spans", "n_bytes", "kept_sha256")
+    return spans.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,8 +204,9 @@ select doc_id, size, source_size, target,
 from q join t on q.source is not distinct from t.source""",
     "op8_url_filter": """
 with f(name, kind, value, action, day) as (values """ + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in URL_LIST) + """),
-c as (select page_id, url, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.'), '') as host,
-  date '2024-01-01' + (page_id % 730)::int as fetched from pages),
+b as (select page_id, url, rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1), '.') as named from pages),
+c as (select page_id, url, case when strlen(named) between 1 and 253 then named end as host,
+  date '2024-01-01' + (page_id % 730)::int as fetched from b),
 k as (select 'host' as kind, host as value from c union select 'url', regexp_replace(lower(url), '#.*$', '') from c
   union select 'domain', unnest([array_to_string(string_split(host, '.')[j:], '.') for j in range(1, len(string_split(host, '.')))]) from c),
 n as (select kind, value, ('0x' || substr(md5(kind || ' ' || value), 1, 7))::int as n from k where value is not null),
