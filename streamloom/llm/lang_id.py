@@ -188,7 +188,7 @@ def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULAR
     """Piece probabilities of each language by expectation maximisation over all segmentations.
 
     Fitted on a bounded sample: of each language's documents that are not held out, the ``sample``
-    ones of the smallest md5 of their id, without texts of over ``longest`` characters and runs of
+    rows of the smallest md5 of their id, then of their text's hash (rows that repeat both count once), without texts of over ``longest`` characters and runs of
     over ``LONGEST`` letters (neither is left out when texts are scored). Their words are
     counted once; a round is a Spark job over these counts that returns one row per language and
     piece used.
@@ -198,12 +198,14 @@ def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULAR
     trie = Pieces(pieces)
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= longest) & ~held_out)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    by = Window.partitionBy("lang").orderBy("key", "doc_id")
-    chosen = rows.select("lang", "doc_id", key.alias("key")).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= sample)
-    chosen = written(chosen.select("lang", "doc_id").distinct())
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    by = Window.partitionBy("lang").orderBy("key", "doc_id", "hash")
+    chosen = rows.select("lang", "doc_id", "hash", key.alias("key")).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= sample)
+    chosen = written(chosen.select("lang", "doc_id", "hash").distinct())
     if chosen.count() <= 200_000:  # two short columns
         chosen = F.broadcast(chosen)
-    texts = rows.join(chosen, (rows["lang"] == chosen["lang"]) & rows["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
+    texts = rows.join(chosen, (rows["lang"] == chosen["lang"]) & rows["doc_id"].eqNullSafe(chosen["doc_id"]) & (rows["hash"] == chosen["hash"]), "left_semi")
+    texts = texts.dropDuplicates(["lang", "doc_id", "hash"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
