@@ -76,7 +76,7 @@ def random_curves(sample: np.ndarray, longest: float, seed: int = 7) -> Curves:
     """Random projections, each with a grid of its own shift that covers the sample."""
     rng = np.random.default_rng(seed)
     dims = sample.shape[1] + 1
-    planes = np.stack([np.linalg.qr(rng.normal(size=(dims, dims)))[0][:, :DIMS] if dims >= DIMS else rng.normal(size=(dims, DIMS)) for _ in range(CURVES)])
+    planes = np.stack([np.linalg.qr(rng.normal(size=(dims, DIMS)))[0] if dims >= DIMS else rng.normal(size=(dims, DIMS)) for _ in range(CURVES)])
     curves = Curves(longest, planes, np.empty((CURVES, DIMS)), np.empty((CURVES, DIMS)))
     points = curves.lifted(sample, False)
     for c in range(CURVES):
