@@ -19,7 +19,7 @@ PIECES = ((5, 4), (4, 3), (3, 2), (3, 1), (2, 1), (1, 1))
 ENOUGH = 6
 #: Places of pieces in texts that are held at once; longer runs of texts are halved.
 ENTRIES = 4 << 20
-#: Shorter items name nothing and are not looked for.
+#: Shorter items are looked for as they are, between the borders of words, without edits.
 SHORTEST = 32
 #: Sampled places of a repetition; the repetitions follow from the recall wanted at MAX_EDITS.
 BITS, RECALL, MOST_REPETITIONS = 2, 0.99, 512
@@ -195,7 +195,10 @@ class Finder:
     def __init__(self, ids: list[int], texts: list[bytes], max_edits: float = MAX_EDITS, recall: float = RECALL, seed: int = 11):
         rng = np.random.default_rng(seed)
         keep = [i for i, t in enumerate(texts) if len(t) >= SHORTEST]
-        self.ids, self.max_edits = [ids[i] for i in keep], max_edits
+        folded = ((i, folded_bytes(np.frombuffer(t, np.uint8)).tobytes().strip()) for i, t in enumerate(texts) if len(t) < SHORTEST)
+        short = [(i, t) for i, t in folded if t]
+        self.short = [t for _, t in short]
+        self.ids, self.max_edits = [ids[i] for i in keep] + [ids[i] for i, _ in short], max_edits
         self.items = [folded_bytes(np.frombuffer(texts[i], np.uint8)) for i in keep]
         self.lengths = np.array([len(x) for x in self.items], np.int64)
         self.most = (self.max_edits * self.lengths).astype(np.int64)
@@ -268,6 +271,32 @@ class Finder:
         """(text, item, distance, start, end) for each text and the items that it leaks, the closest
         passage of each; with ``any_item``, a region that holds one, for each text that leaks any."""
         data = folded_bytes(data)
+        return self._long(data, offsets, any_item) + (self._short(data, offsets) if self.short else [])
+
+    def _short(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """The first place of each short item in each text where no letter or digit goes on beyond its ends."""
+        if not hasattr(self, "automaton"):
+            import ahocorasick
+
+            self.automaton, same = ahocorasick.Automaton(), {}
+            for i, item in enumerate(self.short):
+                same.setdefault(item.decode("latin-1"), []).append(len(self.items) + i)
+            for item, which in same.items():
+                self.automaton.add_word(item, (len(item), which))
+            self.automaton.make_automaton()
+        inner = lambda byte: 48 <= byte < 58 or 97 <= byte < 123 or byte >= 128
+        out, seen = [], set()
+        for t, (low, high) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            text = data[low:high].tobytes()
+            for last, (n, which) in self.automaton.iter(text.decode("latin-1")):
+                first, end = last - n + 1, last + 1
+                within = first and inner(text[first - 1]) and inner(text[first]) or end < len(text) and inner(text[end]) and inner(text[last])
+                if not within and (t, which[0]) not in seen:
+                    seen.add((t, which[0]))
+                    out += [(t, i, 0, first, end) for i in which]
+        return out
+
+    def _long(self, data: np.ndarray, offsets: np.ndarray, any_item: bool) -> list[tuple[int, int, int, int, int]]:
         if not self.items or not len(data):
             return []
         found = [part for pieces in self.pieces for part in self._places(pieces, *pieces.hits(data, offsets), offsets)]
@@ -302,11 +331,9 @@ class Finder:
         return [(t, i, *found) for (t, i), found in best.items()]
 
 
-def _finders(spark: SparkSession, items: DataFrame, max_edits: float, named: bool = True) -> Iterator:
-    """Broadcast sets of items of ``ITEM_BYTES`` at most (or one longer item), which hold all items, or
-    all with an id if they must be ``named``."""
-    item_id = items["item_id"].cast("long")
-    rows = items.select((item_id if named else F.coalesce(item_id, F.lit(-1))).alias("item_id"), "text").filter(F.octet_length("text") >= SHORTEST).filter("item_id is not null").distinct()
+def _finders(spark: SparkSession, items: DataFrame, max_edits: float) -> Iterator:
+    """Broadcast sets of items of ``ITEM_BYTES`` at most (or one longer item), which hold all items."""
+    rows = items.select(items["item_id"].cast("long").alias("item_id"), "text").filter(F.octet_length("text") > 0).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = -(-size // (ITEM_BYTES // 2)) if size > ITEM_BYTES else 1
     for n in range(passes):
@@ -326,8 +353,9 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
     distance, ends free, decides every region.
 
     Whole texts are searched where they are read; nothing is shuffled. The items are broadcast in
-    sets of bounded size, one pass for each set. Null and empty texts or items, and items of under
-    ``SHORTEST`` bytes, match nothing, nor do items without an id. Items with one id are one item; repeated documents are each
+    sets of bounded size, one pass for each set. Items of under ``SHORTEST`` bytes are found by their
+    exact bytes (folded as above), where no word goes on beyond their ends. Null and empty texts or items
+    match nothing. Items with one id are one item, as are those without (item_id null); repeated documents are each
     reported. Empty tables give an empty result.
     """
     spark, kinds = docs.sparkSession, "doc_id long, item_id long, distance long, start long, end long"
@@ -356,8 +384,7 @@ def leaks(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> Da
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """The documents without those that ``leaks`` would report, all columns as they are; items without
-    an id count too. Null and empty texts, null ids and repeated rows stay; empty tables give what they must."""
+    """The documents without those that ``leaks`` would report, all columns as they are. Null and empty texts, null ids and repeated rows stay; empty tables give what they must."""
     place = docs.columns.index("text")
 
     def run(shared) -> Callable:
@@ -370,6 +397,6 @@ def decontaminated(docs: DataFrame, items: DataFrame, max_edits: float = MAX_EDI
 
         return clean
 
-    for shared in _finders(docs.sparkSession, items, max_edits, named=False):
+    for shared in _finders(docs.sparkSession, items, max_edits):
         docs = docs.mapInArrow(run(shared), docs.schema)
     return docs
