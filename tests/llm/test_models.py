@@ -2,11 +2,12 @@
 
 import random
 import zlib
-from datetime import date
+from datetime import date, timedelta
 from math import exp, log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from streamloom.llm.ann import hilbert_keys, nearest
 from streamloom.llm.lang_id import Pieces, identify, words_of
@@ -156,3 +157,33 @@ def test_url_filter(spark):
     assert {r.page_id: r.host for r in got}[1] == "www.bad.com" and {r.page_id: r.host for r in got}[9] is None
     assert not any(r.blocked for r in url_filter(captures, entries.limit(0)).collect()) and url_filter(captures.limit(0), entries).count() == 0
     assert captures.select(host_of(captures["url"]).alias("h")).filter("h = 'a.org'").count() == 1
+
+
+@pytest.mark.parametrize("parts", [1, 3, 4096])
+def test_url_filter_of_hot_keys(spark, monkeypatch, parts):
+    """Keys of very many captures, and lists of very many changes of one key; names that are too long are no hosts."""
+    monkeypatch.setattr("streamloom.llm.common.HOT_PARTS", parts)
+    changes = [("spam", "domain", "big.com", "add" if i % 2 == 0 else "remove", date(2024, 1, 1) + timedelta(days=i)) for i in range(300)]
+    entries = spark.createDataFrame([*changes, ("x", "host", "c.org", "add", date(2024, 1, 1))], "list string, kind string, value string, action string, at date")
+    long = "http://" + "a." * 4000 + "big.com/"
+    rows = [(i, f"http://h{i % 9}.big.com/p{i % 40}", date(2024, 1, 1) + timedelta(days=i % 310)) for i in range(600)] + [(700, "http://c.org/", date(2024, 2, 1)), (701, long, date(2024, 1, 1)), *[(800 + i, None, date(2024, 1, 1)) for i in range(30)], (900, "http://c.org/", None)]
+    got = {r.page_id: r for r in url_filter(spark.createDataFrame(rows, "page_id int, url string, fetched date"), entries).collect()}
+    assert len(got) == len(rows) and {i for i, r in got.items() if r.blocked} == {i for i in range(600) if i % 310 < 300 and i % 310 % 2 == 0} | {700}
+    assert got[701].host is None and got[0].host == "h0.big.com"
+
+
+def test_language_sample_is_of_rows(spark):
+    """Rows that share an id, or have none, are sampled one by one: no more than asked for are learned from."""
+    from streamloom.llm import lang_id
+
+    rows = [(None, f"the cat and the dog {i}", "en") for i in range(200)] + [(7, f"der hund und die katze {i}", "de") for i in range(200)] + [(8, "le chat et le chien", "fr")] * 50
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = []
+    written = lang_id.written
+    try:
+        lang_id.written = lambda df: learned.append(written(df)) or learned[-1]
+        model = lang_id.fit_languages(docs, F.lit(False), sample=3)
+    finally:
+        lang_id.written = written
+    texts = {r.lang: r.n for r in learned[1].filter("word in ('cat', 'hund', 'chat')").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    assert texts == {"en": 3, "de": 3, "fr": 1} and sorted(model.langs) == ["de", "en", "fr"]

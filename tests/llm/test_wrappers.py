@@ -98,7 +98,7 @@ def test_op7(spark, documents):
     assert all(r.held_out == _held(i, 5, 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for i, r in got.items())
     held = [i for i in labels if i in got and _held(i, 5, 0)]
     if len(set(labels.values())) > 1 and held:
-        assert sum(got[i].predicted == labels[i] for i in held) >= 0.8 * len(held)
+        assert sum(got[i].predicted == labels[i] for i in held) >= 0.9 * len(held)
 
 
 def test_op10(spark, documents):
