@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from . import schemas, sinks
 from .catalogue import query, table
 from .functions import scalars as S
-from .operators import cdc, joins, logs, routing
+from .operators import cdc, joins, logs, routing, stats
 from .plans import jobs
 from .records import Topics
 from .sources import topics
@@ -30,7 +30,10 @@ AS_OF = "2024-01-01"
 
 def home(spark: SparkSession) -> str:
     """A new folder where driver and executors both see it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    shared = shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     return f"{shared.rstrip('/')}/streamloom/{uuid.uuid4().hex}"
 
 
@@ -354,10 +357,13 @@ def time_texts(spark, sf):
     return table(spark, sf, "events").select("event_id", S.parsed_ms(text, F.col("event_id"), "+08:00").alias("ms8"), S.to_ms(text, "+00:00").alias("ms0"))
 
 
-@query("select event_id, event_type as a, 'set' as b, upper(event_type) as up from events")
+@query("select event_id, event_type as a, 'set' as b, upper(event_type) as up, '{\"b\":\"' || event_type || '\",\"x\":{\"n\":' || event_id || ',\"v\":[1.5,null]}}' as doc from events")
 def json_put(spark, sf):
+    """One key of a map of strings, and one of a document whose other fields stay as they are."""
     m = S.put(F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.lit("old")), "b", F.lit("set"))
-    return table(spark, sf, "events").select("event_id", m["a"].alias("a"), m["b"].alias("b"), F.upper("event_type").alias("up"))
+    doc = F.parse_json(F.concat(F.lit('{"x":{"v":[1.50,null],"n":'), F.col("event_id").cast("string"), F.lit('},"b":[0]}')))
+    doc = F.to_json(S.put_json(doc, "b", F.col("event_type").cast("variant")))
+    return table(spark, sf, "events").select("event_id", m["a"].alias("a"), m["b"].alias("b"), F.upper("event_type").alias("up"), doc.alias("doc"))
 
 
 @query("select event_id as \"eventId\", user_id as \"userId\", event_type as \"eventType\" from events")
@@ -380,6 +386,18 @@ def daily_files(spark, sf):
     return spark.read.text(where).groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("long")).alias("ids"))
 
 
+@query("select strftime(ts, '%Y-%m-%d') as day, count(*) as n, sum(event_id)::bigint as ids from events group by day")
+def stream_daily_files(spark, sf):
+    """The same as a stream, started three times over a topic that grows."""
+    where, session, lines = home(spark), stream_session(spark), Topics(home(spark))
+    for some in _thirds(spark, sf):
+        rows = table(spark, sf, "events").filter(some)
+        lines.put(rows.select(F.lit("applog").alias("topic"), F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd"), F.col("event_id").cast("string")).alias("value")))
+        sinks.stream_daily(lines.read(session, "applog", True), f"{where}/days", F.substring("value", 1, 10), f"{where}/ck").awaitTermination()
+    found = spark.read.text(f"{where}/days").select(F.col("day").cast("string").alias("day"), F.substring_index("value", " ", -1).cast("long").alias("id"))
+    return found.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
 def _page_lines(spark, sf, some: str = "true") -> DataFrame:
     """Events as page lines; a sign-up is an entry. ``ts`` has all digits, so that no two rows of a user tie.
     They arrive (``at``) in an order of their own, the greatest id first."""
@@ -575,3 +593,25 @@ def dimension_versions(spark, sf):
         jobs.base_db(spark, sinks.encoded(_changes(spark, sf, some)), _config(spark), Topics(f"{where}/topics"), f"{where}/dims", batch=batch)
     parts = [sinks.dim_now(spark, f"{where}/dims", "dim_user", keys, version).filter("id % 5 = 0").select(F.lit(version).alias("version"), "id", "last") for version in range(3)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    """with e as (select *, epoch_us(ts) // 1000 as ms from events), m as (select make_timestamp((epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2) // 1000000 * 1000000) as cut from events),
+    f as (select e.*, ts < cut and event_id % 10 > 0 as early, (ms // 21600000 + 1) * 21600000 as ends from e, m), w as (select max(ms) - 43200000 as mark from f where early)
+    select strftime(make_timestamp((ends - 21600000) * 1000), '%Y-%m-%d %H:%M:%S') as stt, event_type, count(*) as pv_ct, sum(event_id)::bigint as dur_sum from f, w where early or ends > mark group by stt, event_type"""
+)
+def stream_late_rows(spark, sf):
+    """A tenth of the first half's rows come with the second half: those whose window has been closed by then
+    are lost, all others still count."""
+    where, session, lines, out = home(spark), stream_session(spark), Topics(home(spark)), Topics(home(spark))
+    first, _ = _parts(spark, sf, "events", "ts", 2)
+    early = f"{first} and event_id % 10 > 0"
+    for some in (early, f"not ({early})", None):
+        rows = table(spark, sf, "events").filter(some or "false").select(F.lit("pages").alias("topic"), F.to_json(F.struct(S.epoch_ms(F.col("ts")).alias("ms"), "event_type", "event_id")).alias("value"))
+        end = spark.createDataFrame([("pages", '{"ms":4000000000000,"event_type":"end","event_id":0}')], "topic string, value string")
+        lines.put(rows if some else end)
+        read = lines.read(session, "pages", True).select(F.from_json("value", "ms bigint, event_type string, event_id bigint").alias("r")).select(F.timestamp_millis("r.ms").alias("time"), "r.*")
+        page = stats.page_rows(read, ["time", "event_type"], F.lit("home"), F.col("event_id"))
+        out.stream(sinks.encoded(sj.windowed_stream([page], "time", "6 hours", ("event_type",), delay="12 hours")), f"{where}/ck", "sums").awaitTermination()
+    made = out.read(spark, "sums").select(F.from_json("value", "stt string, event_type string, pv_ct bigint, dur_sum bigint").alias("r")).select("r.*")
+    return made.filter("event_type <> 'end'")

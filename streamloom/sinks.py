@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .dims import DimStore
 from .functions.scalars import without_nulls
@@ -71,6 +72,12 @@ def write_daily(lines: DataFrame, where: str, day: Column, column: str = "value"
     lines.select(F.col(column).alias("value"), day.alias("day")).write.mode("append").partitionBy("day").text(where)
 
 
+def stream_daily(lines: DataFrame, where: str, day: Column, checkpoint: str, column: str = "value", **trigger) -> StreamingQuery:
+    """The same for a stream: files roll with the day of their lines, and a restart neither loses nor doubles any."""
+    writer = lines.select(F.col(column).alias("value"), day.alias("day")).writeStream.format("text").partitionBy("day")
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start(where)
+
+
 def console(rows: DataFrame, **options):
     """A stream to the console, for looking at it."""
     return rows.writeStream.format("console").options(**options).start()
