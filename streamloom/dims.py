@@ -7,6 +7,7 @@ manifest, so they see one version however long they read; a batch that runs agai
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -22,7 +23,7 @@ class DimStore:
     """All dimensions below ``home``; ``buckets`` of each table must stay as they were when it was made."""
 
     home: str
-    buckets: int = 64
+    buckets: int = 16
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")
@@ -73,10 +74,18 @@ class DimStore:
 
     def read(self, spark: SparkSession, table: str, columns: list[str], keys: DataFrame | None = None, version: int | None = None) -> DataFrame:
         """A table's ``columns``, whole, or only the buckets that ``keys`` (one column) fall into."""
-        held = {b: batch for (t, b), batch in self.manifest(spark, version).items() if t == table}
+        return self._read(spark, self.manifest(spark, version), table, columns, keys)
+
+    def reader(self, spark: SparkSession) -> Callable[[str, list[str], DataFrame | None], DataFrame]:
+        """``read`` for several tables as of one version, that which is the last now."""
+        held = self.manifest(spark)
+        return lambda table, columns, keys=None: self._read(spark, held, table, columns, keys)
+
+    def _read(self, spark: SparkSession, held: dict[tuple[str, int], int], table: str, columns: list[str], keys: DataFrame | None) -> DataFrame:
+        own = {b: batch for (t, b), batch in held.items() if t == table}
         if keys is not None:
             key = F.coalesce(F.col(keys.columns[0]).cast("string"), F.lit(""))
             needed = {r["b"] for r in keys.select(self.bucket(key).alias("b")).distinct().collect()}
-            held = {b: batch for b, batch in held.items() if b in needed}
-        rows = self._stored(spark, [(table, b, batch) for b, batch in held.items()])
+            own = {b: batch for b, batch in own.items() if b in needed}
+        rows = self._stored(spark, [(table, b, batch) for b, batch in own.items()])
         return rows.select(*[F.col("after")[c].alias(c) for c in columns])

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from . import schemas, sinks
 from .catalogue import query, table
+from .dims import DimStore
 from .functions import scalars as S
 from .operators import cdc, joins, logs, routing, stats
 from .plans import jobs
@@ -615,3 +616,49 @@ def stream_late_rows(spark, sf):
         out.stream(sinks.encoded(sj.windowed_stream([page], "time", "6 hours", ("event_type",), delay="12 hours")), f"{where}/ck", "sums").awaitTermination()
     made = out.read(spark, "sums").select(F.from_json("value", "stt string, event_type string, pv_ct bigint, dur_sum bigint").alias("r")).select("r.*")
     return made.filter("event_type <> 'end'")
+
+
+@query("with m as (select max(event_id) // 3 as third from events) select event_id, case when event_id >= third * 2 then 'rest' when event_id >= third then 'begun' else 'first' end as read from events, m")
+def topic_group(spark, sf):
+    """A topic read by a group that commits what it has read: each read begins after the last commit."""
+    out, found = Topics(home(spark), partitions=4), []
+    for n, (some, name) in enumerate(zip(_thirds(spark, sf), ("first", "begun", "rest"))):
+        rows = table(spark, sf, "events").filter(some)
+        out.put(rows.select(F.lit("events").alias("topic"), F.col("user_id").cast("string").alias("key"), F.col("event_id").cast("string").alias("value")))
+        read = out.read(spark, "events", group="readers")
+        found.append(read.select(F.col("value").cast("long").alias("event_id"), F.lit(name).alias("read")))
+        out.commit(read, "events", "readers", n)
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_MET = _PAIRS.replace("d.id as detail_id", "d.id as detail_id, greatest(o.at, d.at) as met")
+_CUT = "date_trunc('second', min(o_orderdate)::timestamp + (max(o_orderdate)::timestamp - min(o_orderdate)::timestamp) / 2)"
+
+
+@query(f"with m as (select {_CUT} as cut from orders), {_MET} " + _WIDE.format("", "").replace("p.*, c_mktsegment as user_gender", "p.* exclude (met), case when c_custkey % 2 = 0 and met >= (select cut from m) then 'changed' else c_mktsegment end as user_gender"))
+def stream_order_wide_dims(spark, sf):
+    """Orders enriched from dimension tables that change between two batches; a batch reads the buckets that its
+    keys fall into."""
+    where, out, starts = home(spark), Topics(home(spark)), []
+    dims = _dims(spark, sf)
+
+    def routed(name: str, rows: DataFrame, at: int) -> DataFrame:
+        image = F.map_from_arrays(F.array(*[F.lit(c) for c in rows.columns]), F.array(*rows.columns))
+        return rows.select(F.lit(name).alias("sink_table"), F.lit("ID").alias("sink_pk"), image.alias("after"), F.lit(at).cast("long").alias("ts_ms"))
+
+    def start(session, orders, details, folder):
+        users = dims["DIM_USER_INFO"].filter("int(ID) % 2 = 0").withColumn("GENDER", F.lit("changed"))
+        parts = [routed("DIM_USER_INFO", users, 1)] if starts else [routed(n, rows, 0) for n, rows in dims.items()]
+        for part in parts[1:]:
+            parts[0] = parts[0].unionByName(part)
+        sinks.put_dims(parts[0], f"{where}/dims", len(starts))
+        starts.append(1)
+
+        def read_dims():
+            read = DimStore(f"{where}/dims").reader(session)
+            return lambda name, keys: read(name, dims[name].columns, keys)
+
+        streams.start_order_wide(orders, details, read_dims, F.lit(AS_OF), out, f"{folder}/ck", slack="30 days").awaitTermination()
+
+    _fed_pairs(spark, sf, _orders(spark, sf), _details(spark, sf), start)
+    return _plain(out.read(spark, "dwm_order_wide").select(F.from_json("value", schemas.ORDER_WIDE).alias("r")).select("r.*"))

@@ -53,8 +53,9 @@ def start_order_wide(orders: DataFrame, details: DataFrame, read_dims: Callable[
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        rows = joins.enrich(batch, read_dims(), joins.order_lookups(as_of), how)
-        out.put(encoded(rows).withColumn("topic", F.lit(topic)), number)
+        if not batch.isEmpty():  # a batch may have come to move the watermark only
+            rows = joins.enrich(batch, read_dims(), joins.order_lookups(as_of), how)
+            out.put(encoded(rows).withColumn("topic", F.lit(topic)), number)
         batch.unpersist()
 
     pairs = jobs.order_pairs(orders, details, slack, delay)
