@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import crc_mod, written
 
@@ -20,7 +19,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE, SAMPLE_CHARS, ROUNDS = 1500, 65_536, 3
 #: Longer runs of letters are scored one by one, and not learned from.
 LONGEST = 128
-#: Labels that the model has room for (pieces x languages are broadcast); more are an error.
+#: Labels that a model has room for (pieces x languages are broadcast); more make more models.
 MOST_LANGUAGES = 512
 #: Words whose scores a task remembers.
 REMEMBERED = 300_000
@@ -160,7 +159,9 @@ class LanguageModel:
     def __getstate__(self):
         return {"pieces": self.pieces, "langs": self.langs, "logp": self.logp, "known": {}, "rows": None}
 
-    def classify(self, texts: list[str]) -> list[tuple[str, float]]:
+    def classify(self, texts: list[str]) -> list[tuple[str | None, float, float]]:
+        """For each text the likeliest language, its log probability, and the sum of all languages' probabilities
+        as a multiple of its own; no language for texts without words."""
         split = [words_of(t) for t in texts]
         if len(self.known) > REMEMBERED or self.rows is None:
             self.known, self.rows = {}, np.empty((0, len(self.langs)))
@@ -176,16 +177,18 @@ class LanguageModel:
         found = []
         for words in split:
             if not words or not self.langs:
-                found.append(("und", 0.0))
+                found.append((None, 0.0, 0.0))
                 continue
             total = self.rows[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
             best = int(total.argmax())
-            found.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+            found.append((self.langs[best], float(total[best]), float(np.exp(total - total[best]).sum())))
         return found
 
 
-def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, sample: int = SAMPLE, longest: int = SAMPLE_CHARS) -> LanguageModel:
-    """Piece probabilities of each language by expectation maximisation over all segmentations.
+def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, sample: int = SAMPLE, longest: int = SAMPLE_CHARS) -> Iterator[LanguageModel]:
+    """Piece probabilities of each language by expectation maximisation over all segmentations: a model for each
+    ``MOST_LANGUAGES`` labels, in order, so that no machine holds more at once. Languages are fitted
+    on their own texts alone, so what a label learns doesn't depend on the others of its model.
 
     Fitted on a bounded sample: of each language's documents that are not held out, the ``sample``
     rows of the smallest md5 of their id, then of their text's hash (rows that repeat both count once), without texts of over ``longest`` characters and runs of
@@ -217,13 +220,19 @@ def fit_languages(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULAR
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string())], names=["lang", "word"])
 
     counts = written(texts.select("lang", "text").mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
-    langs = sorted(r["lang"] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} different labels")
+    known = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    for start in range(0, len(known), MOST_LANGUAGES):
+        langs = known[start : start + MOST_LANGUAGES]
+        some = counts if len(known) <= MOST_LANGUAGES else counts.filter(F.col("lang").between(langs[0], langs[-1]))
+        yield _fitted(some, langs, pieces, trie)
+
+
+def _fitted(counts: DataFrame, langs: list[str], pieces: list, trie: Pieces) -> LanguageModel:
+    spark = counts.sparkSession
     place = {lang: i for i, lang in enumerate(langs)}
     logp = np.full((len(pieces) + 1, len(langs)), -np.log(len(pieces)))
     logp[-1] = UNKNOWN
-    for _ in range(ROUNDS if langs else 0):
+    for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((trie, logp, place))
 
         def uses(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -250,7 +259,8 @@ def identify(docs: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, voc
 
     A text's score in a language is the sum over its words (lower-cased runs of letters) of the log
     probability of the word, a forward algorithm's sum over all its segmentations into pieces of the
-    vocabulary. Rows stay where they are read; the model (pieces x languages) is broadcast.
+    vocabulary. Rows stay where they are read; the model (pieces x languages) is broadcast. With more
+    labels than a model holds, the rows pass one model after the other, written in between.
 
     Returns all of docs' columns as the struct ``doc``, ``held_out``, ``lang_pred`` (a language of the
     training rows; ``und`` if the text is null or has no letter, or nothing could be learned) and
@@ -259,18 +269,33 @@ def identify(docs: DataFrame, held_out_mod: int = 4, held_out_rest: int = 2, voc
     """
     spark = docs.sparkSession
     held = crc_mod(F.col("doc_id"), held_out_mod) == held_out_rest
-    shared = spark.sparkContext.broadcast(fit_languages(docs, held, vocabulary))
-    rows = docs.select(F.struct("*").alias("doc"), held.alias("held_out"), docs["text"].alias("text"))
-    names = ["doc", "held_out", "lang_pred", "score"]
+    scored = "best string, top double, mass double"
+    rows = docs.select(F.struct("*").alias("doc"), held.alias("held_out"), docs["text"].alias("text"), *[F.lit(None).cast(k.split()[1]).alias(k.split()[0]) for k in scored.split(", ")])
+    schema, several = rows.schema, False
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                found = model.classify([t.as_py() or "" for t in part.column(2)])
-                pred, score = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pred, score], names=names)
-
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(predict, schema)
+    def predicted(shared) -> Callable:
+        def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = shared.value
+            for batch in batches:
+                for start in range(0, batch.num_rows, 500):
+                    part = batch.slice(start, 500)
+                    found = model.classify([t.as_py() or "" for t in part.column(2)])
+                    found = [_likelier(a, b) for a, b in zip(zip(*(c.to_pylist() for c in part.columns[3:])), found)]
+                    columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:3], *columns], names=part.schema.names)
+
+        return predict
+
+    for model in fit_languages(docs, held, vocabulary):
+        rows = (written(rows) if several else rows).mapInArrow(predicted(spark.sparkContext.broadcast(model)), schema)
+        several = True
+    known = F.col("best").isNotNull()
+    return rows.select("doc", "held_out", F.coalesce("best", F.lit("und")).alias("lang_pred"), F.when(known, 1 / F.col("mass")).otherwise(0.0).alias("score"))
+
+
+def _likelier(one: tuple, other: tuple) -> tuple:
+    """What two models say of a text, as if they were one: the likelier language, and the sum of all."""
+    if one[0] is None or other[0] is None:
+        return other if one[0] is None else one
+    best, rest = (one, other) if one[1] >= other[1] else (other, one)
+    return best[0], best[1], best[2] + rest[2] * float(np.exp(rest[1] - best[1]))

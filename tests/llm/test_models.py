@@ -182,8 +182,22 @@ def test_language_sample_is_of_rows(spark):
     written = lang_id.written
     try:
         lang_id.written = lambda df: learned.append(written(df)) or learned[-1]
-        model = lang_id.fit_languages(docs, F.lit(False), sample=3)
+        (model,) = lang_id.fit_languages(docs, F.lit(False), sample=3)
     finally:
         lang_id.written = written
     texts = {r.lang: r.n for r in learned[1].filter("word in ('cat', 'hund', 'chat')").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     assert texts == {"en": 3, "de": 3, "fr": 1} and sorted(model.langs) == ["de", "en", "fr"]
+
+
+def test_more_languages_than_a_model_holds(spark, monkeypatch):
+    """Blocks of labels give what one model gives."""
+    from streamloom.llm import lang_id
+
+    rng = random.Random(4)
+    words = {lang: ["".join(rng.choice("abcdefghijkl") for _ in range(5)) for _ in range(30)] for lang in "vwxyz"}
+    rows = [(i, " ".join(rng.choices(words[lang], k=20)), lang) for i, lang in enumerate("vwxyz" * 16)] + [(90, None, "x"), (91, "12", "y"), (92, " ".join(words["v"]), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    read = lambda: {r.id: (r.lang_pred, round(r.score, 9)) for r in lang_id.identify(docs).select("doc.doc_id", "lang_pred", "score").withColumnRenamed("doc_id", "id").collect()}
+    whole = read()
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 2)
+    assert read() == whole and whole[92][0] == "v" and whole[90] == ("und", 0.0)
