@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Buckets of a table. For one of many millions of rows, thousands keep a bucket small.
+BUCKETS = 16
 _ROW = "key string, after map<string,string>, at bigint, sink_table string, bucket int"
 _MANIFEST = "sink_table string, bucket int, batch bigint"
 
@@ -23,7 +25,7 @@ class DimStore:
     """All dimensions below ``home``; ``buckets`` of each table must stay as they were when it was made."""
 
     home: str
-    buckets: int = 16
+    buckets: int = BUCKETS
 
     def bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .dims import DimStore
+from .dims import BUCKETS, DimStore
 from .functions.scalars import without_nulls
 from .operators.routing import dim_schema, extend_options
 
@@ -50,14 +50,15 @@ def create_dim_tables(spark: SparkSession, config: DataFrame, home: str) -> list
     return made
 
 
-def put_dims(rows: DataFrame, home: str, batch: int) -> None:
-    """A batch of routed dimension rows into their tables (``dims.DimStore``)."""
-    DimStore(home).merge(rows, batch)
+def put_dims(rows: DataFrame, home: str, batch: int, buckets: int = BUCKETS) -> None:
+    """A batch of routed dimension rows into their tables (``dims.DimStore``). More ``buckets`` make a batch that
+    touches few keys rewrite less; all that use a home must agree on them."""
+    DimStore(home, buckets).merge(rows, batch)
 
 
-def dim_now(spark: SparkSession, home: str, table: str, keys: DataFrame | None = None, version: int | None = None) -> DataFrame:
+def dim_now(spark: SparkSession, home: str, table: str, keys: DataFrame | None = None, version: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A dimension's columns as its changes leave it, or as of a version; ``keys`` (one column) are all that is looked for, if given."""
-    return DimStore(home).read(spark, table, spark.read.parquet(f"{home}/tables/{table}").columns, keys, version)
+    return DimStore(home, buckets).read(spark, table, spark.read.parquet(f"{home}/tables/{table}").columns, keys, version)
 
 
 def upsert(now: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
