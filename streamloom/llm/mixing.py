@@ -66,8 +66,8 @@ def _cut(entries: DataFrame, weights: int, budget: int) -> tuple[int, int] | Non
     return None if found is None else (int(found["at"] * found["left"] - (found["given"] - budget)), int(found["left"]))
 
 
-def fair_queue(docs: DataFrame, cycle: int = 3, epochs: int = 3) -> DataFrame:
-    """The mix, as a schedule ordered by virtual finish time.
+def fair_queue(docs: DataFrame, cycle: int = 3, epochs: int = 3, ordered: bool = True) -> DataFrame:
+    """The mix, as a schedule ordered by virtual finish time (or, if not ``ordered``, its rows as they lie).
 
     Each source's documents are shuffled (by md5 of the id, then of the text's hash, so reruns agree)
     and queued up to ``epochs`` times over. An entry's virtual finish time is its source's running
@@ -119,4 +119,5 @@ def fair_queue(docs: DataFrame, cycle: int = 3, epochs: int = 3) -> DataFrame:
     queue = queue.withColumn("places", F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), place))
     queue = queue.withColumn("taken", F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + p["words"]))
     entries = queue.withColumn("place", F.explode(F.filter("places", lambda p: (p["words"] > 0) | (p["epoch"] == 0))))
-    return entries.select("doc", "size", "source_size", "target", "taken", "place.*", "key").sort("finish", "key").drop("key")
+    entries = entries.select("doc", "size", "source_size", "target", "taken", "place.*", "key")
+    return (entries.sort("finish", "key") if ordered else entries).drop("key")

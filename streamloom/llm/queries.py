@@ -47,7 +47,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queue = fair_queue(_table(spark, sf_dir, "documents"))
+    queue = fair_queue(_table(spark, sf_dir, "documents"), ordered=False)
     return queue.filter("epoch = 0").select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
