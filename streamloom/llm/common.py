@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST_ID = 2**63 - 1
 #: A key of more than one part in so many of all rows is hot: there are fewer of them than this.
 HOT_PARTS = 4096
+#: The folder of the innermost ``scratch``, if any.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,11 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/streamloom/{uuid.uuid4().hex}"
+    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors. Inside
+    ``scratch`` the table goes when the block ends."""
+    return _written(df, _folder(df.sparkSession))
+
+
+def _folder(spark: SparkSession) -> str:
+    return _FOLDER.get() or f"{shared_dir(spark)}/streamloom"
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What ``written`` writes inside goes when the block ends, also if it fails. What is still to be read
+    afterwards is written by the function that the block gets, which keeps it as long as the code around does."""
+    outer = _folder(spark)
+    inner = f"{outer}/{uuid.uuid4().hex}"
+    token = _FOLDER.set(inner)
+    try:
+        yield lambda df: _written(df, outer)
+    finally:
+        _FOLDER.reset(token)
+        where = spark._jvm.org.apache.hadoop.fs.Path(inner)
+        where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def joined_hot(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:

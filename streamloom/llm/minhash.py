@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, doc_key, hash_pair, joined_hot, packed, unpacked, written
+from .common import LAST_ID, doc_key, hash_pair, joined_hot, packed, scratch, unpacked, written
 from .components import components
 from .shingles import byte_slices, mixed, shingle_hashes, shingle_sets
 
@@ -141,6 +141,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
        Tasks return a spanning forest of the links they find.
     4. Components of the confirmed links are the result.
 
+    Band keys, groups and components that hold a large part of the rows are broadcast to them
+    (``joined_hot``), so none makes a large task of its own.
+
     Returns one row per input row: ``doc`` (struct of the input's columns, without text), ``did``
     (its id), ``n_shingles``, ``component_id`` (the smallest doc_id reachable), ``kept`` (whether it is
     the first of its group, by id and hash of the text). Different texts are documents of their own
@@ -168,9 +171,23 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
     made = written(made)
     classes = made.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.count(F.lit(1)).alias("held"), F.first("keys").alias("keys"), F.min(F.struct("did", "t1", "t2")).alias("text"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()))
+    with scratch(base.sparkSession) as keep:
+        same = keep(_firsts(base, classes, words, percent))
+    # a set that very many texts hold is hot; texts without words have none and meet nothing
+    sets = made.select("did", "t1", "t2", "n_shingles", "s1", "s2")
+    rows = joined_hot(sets.filter("n_shingles > 0"), same, ["s1", "s2"], made.count())
+    rows = rows.unionByName(sets.filter("n_shingles = 0"), allowMissingColumns=True)
+    kept = F.coalesce(F.struct("did", "t1", "t2") == F.col("first"), F.lit(True))
+    rows = rows.select("did", "t1", "t2", "n_shingles", F.coalesce("first.did", "did").alias("root"), kept.alias("kept"))
+    return rows.groupBy("did", "t1", "t2").agg(F.min("n_shingles").alias("n_shingles"), F.min("root").alias("root"), F.max("kept").alias("kept"))
+
+
+def _firsts(base: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The first text (``first``) of the component of each class, by its set (``s1``, ``s2``), with the texts that hold it (``n``)."""
     bands = classes.select("cls", F.explode("keys").alias("key"))
-    hubs = written(bands.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).filter("hub < last").select("key", "hub"))
-    met = bands.join(hubs, "key").filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
+    hubs = bands.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.count(F.lit(1)).alias("n"))
+    hubs = written(hubs.filter("hub < last").select("key", "hub", "n"))
+    met = joined_hot(bands, hubs, ["key"], BANDS * classes.count()).filter("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
     groups = components(met)
     members = classes.select("cls", "n", "text.*").join(groups, F.col("cls") == F.col("node")).select("cls", "n", "did", "t1", "t2", F.col("root").alias("grp"))
     members = written(members)
@@ -180,14 +197,16 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
     sums = [F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")]
     members = members.withColumn("level", size_level(F.col("n"), percent))
     levels = members.groupBy("grp", "level").agg(*sums).withColumn("blocks", blocks)
-    sizes = levels.groupBy("grp").agg(F.sum("m").alias("m"), F.sum("total").alias("total")).select("grp", (blocks > 1).alias("split"))
+    whole = Window.partitionBy("grp")
+    levels = levels.withColumns({"split": F.greatest(F.ceil(F.sum("m").over(whole) / BLOCK), F.ceil(F.sum("total").over(whole) / BLOCK_SHINGLES)) > 1})
     by = Window.partitionBy("grp").orderBy("level")
     above = F.when(F.lead("level").over(by) == F.col("level") + 1, F.lead("blocks").over(by))
     below = F.when(F.lag("level").over(by) == F.col("level") - 1, F.lag("blocks").over(by))
-    levels = levels.select("grp", "level", "blocks", F.coalesce(above, F.lit(0)).alias("above"), F.coalesce(below, F.lit(0)).alias("below"))
-    total = members.agg(F.sum("n")).first()[0] or 0
+    levels = written(levels.select("grp", "level", "blocks", "split", F.coalesce(above, F.lit(0)).alias("above"), F.coalesce(below, F.lit(0)).alias("below"), F.col("m").alias("n")))
+    held, total = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     bins = max(1, -(-total // (BLOCK_SHINGLES // 2)))
-    small = members.join(sizes.filter(~F.col("split")), "grp").withColumns({"mine": F.lit(0).cast("long"), "bin": F.pmod(F.xxhash64("grp"), F.lit(bins))})
+    dealt = joined_hot(members.drop("n"), levels, ["grp", "level"], held)
+    small = dealt.filter(~F.col("split")).withColumns({"mine": F.lit(0).cast("long"), "bin": F.pmod(F.xxhash64("grp"), F.lit(bins))})
     small = small.withColumn("pair", F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
     mine = _block(F.col("level"), F.pmod(F.xxhash64("cls"), F.col("blocks")))
 
@@ -198,7 +217,7 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
 
         return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), pair)
 
-    large = members.join(sizes.filter("split").select("grp", "split"), "grp").join(levels, ["grp", "level"]).withColumns({"mine": mine, "bin": F.col("grp")})
+    large = dealt.filter("split").withColumns({"mine": mine, "bin": F.col("grp")})
     large = large.withColumn("pair", F.explode(F.concat(meets(0, "blocks"), meets(1, "above"), meets(-1, "below"))))
     names = ["cls", "did", "t1", "t2", "grp", "mine", "split", "bin", "pair.i", "pair.j"]
     placed = small.select(*names).unionByName(large.select(*names))
@@ -219,13 +238,6 @@ def _rooted(base: DataFrame, words: int, percent: int) -> DataFrame:
 
     confirmed = texts.groupBy("split", "bin", "i", "j").applyInArrow(link, "a long, b long")
     found = written(classes.select("cls", "text").join(components(confirmed), F.col("cls") == F.col("node")).select("cls", "text", "root"))
-    firsts = found.groupBy("root").agg(F.min("text").alias("first"))
-    found = found.join(firsts, "root").select("cls", "first")
-    same = written(classes.join(found, "cls", "left").select("s1", "s2", F.col("held").alias("n"), F.coalesce("first", "text").alias("first")))
-    # a set that very many texts hold is hot; texts without words have none and meet nothing
-    sets = made.select("did", "t1", "t2", "n_shingles", "s1", "s2")
-    rows = joined_hot(sets.filter("n_shingles > 0"), same, ["s1", "s2"], made.count())
-    rows = rows.unionByName(sets.filter("n_shingles = 0"), allowMissingColumns=True)
-    kept = F.coalesce(F.struct("did", "t1", "t2") == F.col("first"), F.lit(True))
-    rows = rows.select("did", "t1", "t2", "n_shingles", F.coalesce("first.did", "did").alias("root"), kept.alias("kept"))
-    return rows.groupBy("did", "t1", "t2").agg(F.min("n_shingles").alias("n_shingles"), F.min("root").alias("root"), F.max("kept").alias("kept"))
+    firsts = written(found.groupBy("root").agg(F.min("text").alias("first"), F.count(F.lit(1)).alias("n")))
+    found = joined_hot(found, firsts, ["root"], found.count()).select("cls", "first")
+    return classes.join(found, "cls", "left").select("s1", "s2", F.col("held").alias("n"), F.coalesce("first", "text").alias("first"))
