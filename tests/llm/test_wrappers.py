@@ -122,3 +122,24 @@ def test_similar_sizes_are_in_adjacent_levels(spark, percent):
     n = spark.range(1, 3000).select(F.col("id").alias("n"), size_level(F.col("id"), percent).alias("level"))
     level = {r.n: r.level for r in n.collect()}
     assert all(0 <= level[hi] - level[lo] <= 1 for hi in level for lo in {-(-hi * percent // 100), hi})
+
+
+def test_scratch_keeps_what_is_asked_for(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from streamloom.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    rows, tables = spark.range(5), lambda: sum(1 for _ in Path(tmp_path).rglob("_SUCCESS"))
+    with common.scratch(spark) as keep:
+        once = common.written(rows)
+        with common.scratch(spark) as keep_inner:
+            twice = keep_inner(common.written(once))
+            assert tables() == 3
+        assert tables() == 2 and twice.count() == 5
+        kept = keep(twice)
+    assert tables() == 1 and kept.count() == 5
+    with pytest.raises(ZeroDivisionError), common.scratch(spark):
+        common.written(rows)
+        1 / 0
+    assert tables() == 1
