@@ -3,12 +3,14 @@
 A table's rows lie in buckets by the hash of their key. A batch of changes rewrites the buckets that its keys
 fall into and no others, then a new manifest says which batch wrote each bucket last. Readers take one
 manifest, so they see one version however long they read; a batch that runs again replaces its own files.
+Old versions stay until ``vacuum`` takes them away.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,6 +76,32 @@ class DimStore:
         entries = [(*t, b) for t, b in (held | {t: batch for t in touched}).items()]
         spark.createDataFrame(entries, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.home}/manifests/version={batch}")
 
+    def vacuum(self, spark: SparkSession, keep: int = 10) -> int:
+        """Delete all versions but the last ``keep``, and the bucket files that none of these names; returns how many
+        of them went. Files of batches after the last version stay, as they may be being written. Readers of older
+        versions must be done. A batch that runs again needs the version before its own, so two are the least."""
+        if keep < 2:
+            raise ValueError("keep at least two versions: the last batch may run again")
+        versions = self.versions(spark)
+        old, kept = versions[:-keep], versions[-keep:]
+        if not old:
+            return 0
+        # manifests first: a file that is gone is then named by no version
+        hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+        files = hadoop.Path(self.home).getFileSystem(conf)
+        for version in old:
+            files.delete(hadoop.Path(f"{self.home}/manifests/version={version}"), True)
+        named = {(batch, *place) for v in kept for place, batch in self.manifest(spark, v).items()}
+        gone = 0
+        for status in files.globStatus(hadoop.Path(f"{self.home}/data/batch=*/sink_table=*/bucket=*")):
+            path = status.getPath()
+            table, batch = path.getParent(), path.getParent().getParent()
+            number, name, bucket = (unquote(p.getName().partition("=")[2]) for p in (batch, table, path))
+            if int(number) <= kept[-1] and (int(number), name, int(bucket)) not in named:
+                files.delete(path, True)
+                gone += 1
+        return gone
+
     def read(self, spark: SparkSession, table: str, columns: list[str], keys: DataFrame | None = None, version: int | None = None) -> DataFrame:
         """A table's ``columns``, whole, or only the buckets that ``keys`` (one column) fall into."""
         return self._read(spark, self.manifest(spark, version), table, columns, keys)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..dims import DimStore
 from ..operators import cdc, logs, routing
 from ..records import Topics
 from ..sinks import create_dim_tables, encoded, put_dims, routed_records
@@ -39,13 +40,15 @@ def start_base_log(lines: DataFrame, out: Topics, checkpoint: str, **trigger) ->
     return repaired_logs(lines).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def start_base_db(spark: SparkSession, lines: DataFrame, read_config: Callable[[], DataFrame], out: Topics, dims: str, checkpoint: str, held: str | None = None, **trigger) -> StreamingQuery:
+def start_base_db(spark: SparkSession, lines: DataFrame, read_config: Callable[[], DataFrame], out: Topics, dims: str, checkpoint: str, held: str | None = None, keep_versions: int | None = None, **trigger) -> StreamingQuery:
     """Change lines to topics and dimension tables. ``read_config()`` is called for every batch, so a
     new configuration row counts from the next batch on.
 
     Facts that no configuration names go to the topic ``unmatched``. With a folder ``held`` they are kept
     there as well and tried again with every batch, so that they are routed when their row arrives:
-    batch n reads what batch n - 1 left, and replaces only what it left itself, so it can run again."""
+    batch n reads what batch n - 1 left, and replaces only what it left itself, so it can run again.
+
+    Every batch leaves a version of the dimensions; with ``keep_versions`` only so many stay."""
 
     def write(batch: DataFrame, number: int) -> None:
         changes = cdc.without_deletes(cdc.decode_changes(batch)).withColumn("table", F.col("source.table"))
@@ -61,6 +64,8 @@ def start_base_db(spark: SparkSession, lines: DataFrame, read_config: Callable[[
         out.put(routed_records(parts["kafka"]).unionByName(left), number)
         create_dim_tables(spark, config, dims)
         put_dims(parts["hbase"], dims, number)
+        if keep_versions:
+            DimStore(dims).vacuum(spark, keep_versions)
         changes.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()

@@ -93,6 +93,31 @@ def test_dimension_buckets(spark, tmp_path):
     assert store.versions(spark) == [0, 1]
 
 
+def test_vacuum_of_dimension_versions(spark, tmp_path):
+    store, want = DimStore(str(tmp_path), buckets=4), {}
+
+    def merge(batch, keys):
+        made = [("t", None, {"id": k, "v": str(batch)}, batch) for k in keys]
+        store.merge(spark.createDataFrame(made, "sink_table string, sink_pk string, after map<string,string>, ts_ms bigint"), batch)
+        want[batch] = want.get(batch - 1, {}) | {k: str(batch) for k in keys}
+
+    now = lambda **k: dict(map(tuple, store.read(spark, "t", ["id", "v"], **k).collect()))
+    held = lambda: {tuple(int(p.name.partition("=")[2]) for p in (f.parent.parent, f)) for f in tmp_path.glob("data/*/*/bucket=*")}
+    assert store.vacuum(spark) == 0
+    merge(0, [str(i) for i in range(20)])
+    for batch in (1, 2, 3):
+        merge(batch, ["7"])
+    before, bucket = held(), next(b for (_, b), batch in store.manifest(spark).items() if batch == 3)
+    with pytest.raises(ValueError):
+        store.vacuum(spark, 1)
+    (tmp_path / "data/batch=4/sink_table=t/bucket=0").mkdir(parents=True)  # being written
+    assert store.vacuum(spark, 2) == 2 and held() == before - {(0, bucket), (1, bucket)} | {(4, 0)}
+    assert store.versions(spark) == [2, 3] and now() == want[3] and now(version=2) == want[2]
+    merge(3, ["8"])  # the last batch runs again
+    assert now() == want[2] | {"8": "3"}
+    assert store.vacuum(spark, 2) == 0
+
+
 def test_enrich_reads_what_keys_need(spark, tmp_path):
     from streamloom.operators.joins import Lookup, enrich
 
