@@ -209,8 +209,8 @@ def stream_base_log(spark, sf):
 
 def _thirds(spark, sf) -> list[str]:
     """Conditions that cut the events into three parts by id, the order in which the log lines are numbered."""
-    most = table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0
-    return [f"event_id < {most // 3}", f"event_id >= {most // 3} and event_id < {most * 2 // 3}", f"event_id >= {most * 2 // 3}"]
+    third = (table(spark, sf, "events").agg(F.max("event_id")).first()[0] or 0) // 3
+    return [f"event_id < {third}", f"event_id >= {third} and event_id < {third * 2}", f"event_id >= {third * 2}"]
 
 
 def _changes(spark, sf, some: str = "true") -> DataFrame:
