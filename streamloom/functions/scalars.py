@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +12,18 @@ DATE_TIME = "yyyy-MM-dd HH:mm:ss"
 YEAR_MS = 86_400_000 * 365
 
 
+def apart(rows: DataFrame, fields: Column | None = None, *keep: str) -> DataFrame:
+    """The fields of a struct (by default all columns) as columns, after those to ``keep``, worked out once a row. Out
+    of a plain select, filters and joins above take copies of the whole expression down to the scan: a
+    document would be parsed again for each of their conditions."""
+    return rows.select(*keep, F.inline(F.array(F.struct("*") if fields is None else fields)))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ymd_hms(ts: Column) -> Column:
     return F.date_format(ts, DATE_TIME)
 
@@ -88,11 +102,16 @@ def typed_json(text: Column, ddl: str) -> Column:
     """A JSON object as a struct of the DDL's fields. A field takes the key of its very name, or else one that is
     the same but for case and separators (of several, the last). What can't be read as the field's type
     is null, and so is the struct of what is no object."""
-    fields = fields_of(F.try_parse_json(text))
-    alike = F.aggregate(F.map_keys(fields), F.create_map().cast("map<string,string>"), lambda m, k: put(m, plain_name(k), k))
-    kinds = T.StructType.fromDDL(ddl)
-    found = [F.try_variant_get(fields[F.when(F.map_contains_key(fields, F.lit(f.name)), f.name).otherwise(alike[plain_name(F.lit(f.name))])], "$", f.dataType.simpleString()).alias(f.name) for f in kinds.fields]
-    return F.when(fields.isNotNull(), F.struct(*found))
+    kinds = T.StructType.fromDDL(ddl).fields
+
+    def found(fields: Column, alike: Column) -> Column:
+        key = lambda name: F.when(F.map_contains_key(fields, F.lit(name)), name).otherwise(alike[plain_name(F.lit(name))])
+        return F.struct(*[F.try_variant_get(fields[key(f.name)], "$", f.dataType.simpleString()).alias(f.name) for f in kinds])
+
+    def alike(fields: Column) -> Column:
+        return F.aggregate(F.map_keys(fields), F.create_map().cast("map<string,string>"), lambda m, k: put(m, plain_name(k), k))
+
+    return let(fields_of(F.try_parse_json(text)), lambda fields: F.when(fields.isNotNull(), let(alike(fields), lambda names: found(fields, names))))
 
 
 def without_nulls(m: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalars import date_text, is_empty
+from ..functions.scalars import apart, date_text, is_empty
 from ..operators import joins, stats
 from ..plans import jobs
 from ..schemas import ORDER_WIDE
@@ -26,7 +26,7 @@ def _pages(lines: DataFrame) -> DataFrame:
     """Page lines for the keyed state, the line itself as ``payload``; those without device or time go."""
     rows = lines.select("value", *[F.get_json_object("value", f"$.{p}").alias(n) for p, n in (("common.mid", "mid"), ("page.last_page_id", "last"), ("ts", "ts"))])
     rows = rows.select("mid", F.col("ts").cast("long").alias("ts"), is_empty(F.col("last")).alias("entry"), F.col("value").alias("payload"))
-    return rows.filter("mid is not null and ts is not null").withColumn("time", F.timestamp_millis("ts"))
+    return apart(rows).filter("mid is not null and ts is not null").withColumn("time", F.timestamp_millis("ts"))
 
 
 def start_unique_visit(pages: DataFrame, out: Topics, checkpoint: str, ttl_ms: int | None = stateful.DAY_MS, topic: str = "dwm_unique_visit", **trigger) -> StreamingQuery:
@@ -41,7 +41,7 @@ def start_unique_visit(pages: DataFrame, out: Topics, checkpoint: str, ttl_ms: i
 def start_user_jump(pages: DataFrame, out: Topics, checkpoint: str, within_ms: int = 10_000, delay: str = "1001 milliseconds", topic: str = "dwm_user_jump_detail", timed_out: str | None = None, **trigger) -> StreamingQuery:
     """Page lines to those of bounces. ``timed_out`` names a topic of its own for those that nothing
     followed in time; without one, both kinds go to ``topic``."""
-    rows = _pages(pages).select("mid", "time", F.col("ts").alias("ts_ms"), "entry", "payload")
+    rows = _pages(pages).select("mid", "time", F.col("ts").alias("ts_ms"), "entry", F.when(F.col("entry"), F.col("payload")).alias("payload"))  # others are never written
     found = stateful.bounce_stream(rows, within_ms, delay)
     name = F.when(F.col("kind") == "timeout", timed_out or topic).otherwise(topic)
     return out.stream(found.select(name.alias("topic"), F.col("payload").alias("value")), checkpoint, **trigger)
@@ -64,7 +64,7 @@ def start_order_wide(orders: DataFrame, details: DataFrame, read_dims: Callable[
 
 def start_payment_wide(payments: DataFrame, wides: DataFrame, out: Topics, checkpoint: str, before: str = "15 minutes", after: str = "5 seconds", delay: str = RISING, topic: str = "dwm_payment_wide", **trigger) -> StreamingQuery:
     """Payment lines and enriched order records to payment records."""
-    w = wides.select(F.from_json("value", ORDER_WIDE).alias("r")).select("r.*")
+    w = apart(wides, F.from_json("value", ORDER_WIDE))
     return out.stream(encoded(jobs.payment_wide(payments, w, before, after, delay)), checkpoint, topic, **trigger)
 
 

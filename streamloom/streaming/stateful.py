@@ -1,4 +1,8 @@
-"""Keyed state of the log jobs: new-visitor repair, daily unique visitors, bounces."""
+"""Keyed state of the log jobs: new-visitor repair, daily unique visitors, bounces.
+
+Every call on a state is a message to the JVM, so a key's state is read once and written once in a batch,
+however many rows it has.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
+#: Rows that wait are put into the state so many at a time.
+CHUNK = 1000
 
 
 class NewVisitorRepair(StatefulProcessor):
@@ -20,14 +26,14 @@ class NewVisitorRepair(StatefulProcessor):
         self.seen = handle.getValueState("seen", "seen boolean", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen = known = self.seen.exists()
         for row in sorted(rows, key=lambda r: r.ts):
             flag = row.is_new
             if flag == "1":
-                if self.seen.exists():
-                    flag = "0"
-                else:
-                    self.seen.update((True,))
+                flag, seen = "0" if seen else "1", True
             yield Row(mid=row.mid, is_new=flag, ts=row.ts, payload=row.payload)
+        if seen and not known:
+            self.seen.update((True,))
 
     def close(self) -> None:
         pass
@@ -43,11 +49,13 @@ class DailyUnique(StatefulProcessor):
         self.day = handle.getValueState("day", "day string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last = self.day.get()
+        day = None if last is None else last[0]
         for row in sorted(rows, key=lambda r: r.ts):
-            last = self.day.get()
-            if last is None or last[0] != row.day:
+            if day is None or day != row.day:
                 yield Row(mid=row.mid, day=row.day, ts=row.ts, payload=row.payload)
-            self.day.update((row.day,))
+            day = row.day
+        self.day.update((day,))
 
     def close(self) -> None:
         pass
@@ -67,32 +75,34 @@ class Bounces(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "ts bigint, entry boolean, payload string")
-        self.open = handle.getValueState("open", "ts bigint, payload string")
-        self.timer = handle.getValueState("timer", "ts bigint")
-
-    def _wake(self, ms: int | None) -> None:
-        """The one timer, set to ms unless it fires earlier."""
-        now = self.timer.get()[0] if self.timer.exists() else None
-        if ms is None or now is not None and now <= ms:
-            return
-        if now is not None:
-            self.handle.deleteTimer(now)
-        self.timer.update((ms,))
-        self.handle.registerTimer(ms)
+        # the time of the timer, and the entry that waits for its successor
+        self.mark = handle.getValueState("mark", "timer bigint, ts bigint, payload string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        first = None
+        first, some = None, []
         for row in rows:
-            self.waiting.appendValue((row.ts_ms, row.entry, row.payload))
+            some.append((row.ts_ms, row.entry, row.payload))
             first = row.ts_ms if first is None else min(first, row.ts_ms)
-        self._wake(first)
+            if len(some) == CHUNK:
+                self.waiting.appendList(some)
+                some = []
+        if some:
+            self.waiting.appendList(some)
+        mark = self.mark.get()
+        timer, *entry = mark or (None, None, None)
+        if timer is None or first < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.mark.update((first, *entry))
+            self.handle.registerTimer(first)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         rows = sorted(self.waiting.get(), key=lambda r: r[0])
         due, later = [r for r in rows if r[0] <= now], [r for r in rows if r[0] > now]
-        entry = self.open.get() if self.open.exists() else None
+        mark = self.mark.get()
+        entry = None if mark is None or mark[1] is None else mark[1:]
         out = []
         for ts, is_entry, payload in due:
             late = entry is not None and ts - entry[0] >= self.within_ms
@@ -106,14 +116,12 @@ class Bounces(StatefulProcessor):
             self.waiting.clear()
             if later:
                 self.waiting.put(later)
-        self.timer.clear()
-        times = [r[0] for r in later[:1]]
-        if entry is None:
-            self.open.clear()
-        else:
-            self.open.update(entry)
-            times.append(entry[0] + self.within_ms)
-        self._wake(min(times, default=None))
+        times = [r[0] for r in later[:1]] + ([] if entry is None else [entry[0] + self.within_ms])
+        if times:
+            self.mark.update((min(times), *(entry or (None, None))))
+            self.handle.registerTimer(min(times))
+        elif mark is not None:
+            self.mark.clear()
         return iter(out)
 
     def close(self) -> None:
@@ -131,14 +139,20 @@ class LastImage(StatefulProcessor):
         self.last = handle.getValueState("last", "image string", self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.last.get()
+        before = known = None if held is None else held[0]
+        written = False
         for row in sorted(rows, key=lambda r: r.ts):
-            known = self.last.get()[0] if self.last.exists() else None
             op = "u" if row.op in ("c", "r") and known is not None else row.op
             yield Row(id=row.id, op=op, ts=row.ts, before=row.before if known is None else known, after=row.after)
             if row.op == "d":
-                self.last.clear()
+                known, written = None, True
             elif row.after is not None:
-                self.last.update((row.after,))
+                known, written = row.after, True
+        if written and known is not None:
+            self.last.update((known,))
+        elif written and before is not None:
+            self.last.clear()
 
     def close(self) -> None:
         pass

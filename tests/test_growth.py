@@ -1,10 +1,20 @@
 """What showed on larger tables only."""
 
+from types import SimpleNamespace
+
 import duckdb
 import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 import streamloom.job_queries  # noqa: F401  adds the jobs
 from streamloom.catalogue import ORACLE_SQL, QUERIES
+from streamloom.functions import scalars as S
+from streamloom.operators import cdc, logs
+from streamloom.plans import jobs
+from streamloom.sinks import write_topic
+from streamloom.sources.topics import read_topic
+from streamloom.streaming import stateful
 
 
 @pytest.mark.parametrize("name", ["topic_group", "dimension_versions"])
@@ -17,3 +27,99 @@ def test_cut_of_events(spark, tmp_path, name, n):
     frame, found = QUERIES[name](spark, str(tmp_path)), duck.execute(ORACLE_SQL[name])
     columns = [c[0] for c in found.description]
     assert sorted(map(repr, map(tuple, frame.select(*columns).collect()))) == sorted(map(repr, found.fetchall()))
+
+
+class Handle:
+    """States of one key in memory, with a count of the calls on them."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getValueState(self, *_):
+        return Value(self)
+
+    def getListState(self, *_):
+        return Values(self)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.calls += 1
+        self.timers.discard(ms)
+
+
+class Value:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def _called(self, result=None):
+        self.handle.calls += 1
+        return result
+
+    def get(self):
+        return self._called(self.value)
+
+    def exists(self):
+        return self._called(self.value is not None)
+
+    def update(self, value):
+        self.value = self._called(tuple(value))
+
+    def clear(self):
+        self.value = self._called()
+
+
+class Values(Value):
+    def get(self):
+        return iter(self._called(self.value or ()))
+
+    def appendValue(self, value):
+        self.value = self._called((*(self.value or ()), tuple(value)))
+
+    def appendList(self, values):
+        self.value = self._called((*(self.value or ()), *values))
+
+    put = Value.update
+
+
+@pytest.mark.parametrize("processor", [stateful.NewVisitorRepair(), stateful.DailyUnique(None), stateful.Bounces(5), stateful.LastImage()])
+def test_calls_on_state_are_by_key(processor):
+    handle = Handle()
+    processor.init(handle)
+    rows = [Row(mid="m", id="m", is_new="1", day=str(i // 9), ts=i, ts_ms=i, entry=True, payload=str(i), op="u", before=None, after=str(i)) for i in range(500)]
+    out = [*processor.handleInputRows(("m",), iter(rows), None)]
+    assert handle.calls <= 4
+    if isinstance(processor, stateful.Bounces):
+        assert handle.timers == {0}
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 450, getExpiryTimeInMs=lambda: 0)
+        out, handle.calls = [*processor.handleExpiredTimer(("m",), now, now)], 0
+        assert [r.ts_ms for r in out] == [*range(450)] and 451 in handle.timers
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 9_000, getExpiryTimeInMs=lambda: 451)
+        out = [*processor.handleExpiredTimer(("m",), now, now)]
+        assert [(r.ts_ms, r.kind) for r in out] == [*((i, "match") for i in range(450, 499)), (499, "timeout")] and handle.calls <= 6
+    else:
+        assert len(out) == (56 if isinstance(processor, stateful.DailyUnique) else 500)
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_parsed_once(spark):
+    """Conditions of joins and filters take no copies of the parsing down to the scan."""
+    lines = spark.range(3).selectExpr("concat('{\"id\":', id, ',\"op\":\"c\"}') as value")
+    pairs = jobs.order_pairs(lines, lines)
+    assert _plan(pairs).count("from_json(") == 2
+    assert _plan(jobs.payment_wide(lines, pairs)).count("from_json(") == 3
+    assert _plan(cdc.without_deletes(cdc.decode_changes(lines))).count("from_json(") == 1
+    assert _plan(logs.documents(lines).filter("kind <> 'dirty' and is_new = '1' and mid is not null")).count("parse_json") <= 1
+    assert _plan(lines.select(S.typed_json(F.col("value"), "id bigint, op string, user_id bigint").alias("r")).select("r.*")).count("parse_json") <= 1
+
+
+def test_line_files_are_compressed(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id", "'a name' as sku_name", "'2024-01-01 00:00:00' as create_time")
+    write_topic(rows, str(tmp_path / "t"))
+    assert sum(p.stat().st_size for p in (tmp_path / "t").glob("part-*")) < 20_000 * 60 / 4
+    assert read_topic(spark, str(tmp_path / "t")).distinct().count() == 20_000
