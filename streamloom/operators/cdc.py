@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import topic_parts
+from ..functions.scalars import apart, topic_parts
 from ..schemas import CHANGE
 
 
 def decode_changes(lines: DataFrame, column: str = "value") -> DataFrame:
     """Debezium JSON as rows; anything unreadable fails the job, as it does at the source."""
-    return lines.select(F.from_json(column, CHANGE, {"mode": "FAILFAST"}).alias("e")).select("e.*")
+    return apart(lines, F.from_json(column, CHANGE, {"mode": "FAILFAST"}))
 
 
 def plain_envelope(changes: DataFrame, topic: str | None = None) -> DataFrame:

@@ -14,10 +14,11 @@ from ..functions.scalars import age_years, date_part, hour_part, to_ms
 def interval_join(left: DataFrame, right: DataFrame, on: Column, left_ts: str, right_ts: str, before: str, after: str, lower_exclusive: bool = False, upper_exclusive: bool = False) -> DataFrame:
     """Inner join of rows of one key whose right time is in ``[left - before, left + after]``. The key
     shuffles; the range is part of the join's condition. Streams need watermarks on both sides, and
-    the range then bounds their state."""
+    the range then bounds their state. Facts are never broadcast: how many rows a document column gives isn't
+    known from its size."""
     low, high = F.col(left_ts) - F.expr(f"interval {before}"), F.col(left_ts) + F.expr(f"interval {after}")
     r = F.col(right_ts)
-    return left.join(right, on & (r > low if lower_exclusive else r >= low) & (r < high if upper_exclusive else r <= high))
+    return left.join(right.hint("shuffle_merge"), on & (r > low if lower_exclusive else r >= low) & (r < high if upper_exclusive else r <= high))
 
 
 def with_order_times(orders: DataFrame, zone: str = "+00:00") -> DataFrame:

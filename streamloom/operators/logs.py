@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fields_of, put_json
+from ..functions.scalars import apart, fields_of, put_json
 
 #: The topics of the log job.
 TOPICS = ("start", "page", "display", "dirty")
@@ -27,7 +27,7 @@ def documents(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = (
     to ``keep``. The kind is ``start`` where ``start`` isn't empty, else ``page``; it is ``dirty`` for lines that are no
     object or repeat a key, have no ``common`` or neither ``start`` nor ``page``, or whose ``displays``
     are no array of objects: such lines would fail further on."""
-    rows = lines.select(*keep, F.col(column).alias("raw"), F.try_parse_json(column).alias("doc"))
+    rows = apart(lines, F.struct(F.col(column).alias("raw"), F.try_parse_json(column).alias("doc")), *keep)
     path = lambda p, kind: F.try_variant_get("doc", f"$.{p}", kind)
     start, shown = path("start", "variant"), path("displays", "variant")
     started = start.isNotNull() & ~F.is_variant_null(start) & (F.to_json(start) != '""')
@@ -36,7 +36,7 @@ def documents(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = (
     usable = fields_of(path("common", "variant")).isNotNull() & (started | fields_of(path("page", "variant")).isNotNull()) & whole
     kind = F.when(~F.coalesce(usable, F.lit(False)), "dirty").when(started, "start").otherwise("page")
     found = {"mid": path("common.mid", "string"), "is_new": path("common.is_new", "string"), "ts": path("ts", "bigint"), "kind": kind}
-    return rows.withColumns(found)
+    return apart(rows, F.struct(*[c.alias(n) for n, c in found.items()]), *rows.columns)
 
 
 def repair_new_visitor(rows: DataFrame, key: str = "mid", flag: str = "is_new", order: tuple[str, ...] = ("ts",), known_counts: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import date_text, is_empty, typed_json
+from ..functions.scalars import apart, date_text, is_empty, typed_json
 from ..operators import cdc, joins, logs, routing, stats, visits
 from ..schemas import LOG, ORDER_DETAIL, ORDER_INFO, PAYMENT_INFO, TABLE_PROCESS, names
 from ..records import Topics
@@ -63,8 +63,8 @@ def base_db(spark: SparkSession, lines: DataFrame, config: DataFrame, out: Topic
 
 def order_pairs(orders: DataFrame, details: DataFrame, slack: str = "5 seconds", delay: str | None = None) -> DataFrame:
     """Order and detail records, joined; ``delay`` bounds the state of streams."""
-    o = orders.select(F.from_json("value", ORDER_INFO).alias("r")).select("r.*")
-    d = details.select(F.from_json("value", ORDER_DETAIL).alias("r")).select("r.*")
+    o = apart(orders, F.from_json("value", ORDER_INFO))
+    d = apart(details, F.from_json("value", ORDER_DETAIL))
     return joins.order_wide(o, d, slack, delay)
 
 
@@ -74,7 +74,7 @@ def order_wide(orders: DataFrame, details: DataFrame, dims: dict[str, DataFrame]
 
 
 def payment_wide(payments: DataFrame, wides: DataFrame, before: str = "15 minutes", after: str = "5 seconds", delay: str | None = None) -> DataFrame:
-    p = payments.select(F.from_json("value", PAYMENT_INFO).alias("r")).select("r.*")
+    p = apart(payments, F.from_json("value", PAYMENT_INFO))
     return joins.payment_wide(p, wides, before, after, delay=delay)
 
 
