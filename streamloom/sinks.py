@@ -22,11 +22,12 @@ def encoded_map(image: Column) -> Column:
 
 
 def write_topic(rows: DataFrame, where: str, servers: str | None = None, mode: str = "append") -> None:
-    """JSON records to a Kafka topic, or to a directory of line files that stands for it."""
+    """JSON records to a Kafka topic, or to a directory of line files (gzip, which readers know by the name) that
+    stands for it."""
     if servers:
         encoded(rows).write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", where).save()
     else:
-        encoded(rows).write.mode(mode).text(where)
+        encoded(rows).write.mode(mode).option("compression", "gzip").text(where)
 
 
 def routed_records(rows: DataFrame, image: str = "after") -> DataFrame:
