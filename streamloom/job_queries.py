@@ -8,6 +8,7 @@ take days where the jobs take seconds.
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,12 +39,13 @@ def home(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/streamloom/{uuid.uuid4().hex}"
 
 
-def stream_session(spark: SparkSession) -> SparkSession:
-    """A session for streams: their settings stay out of the caller's."""
+def stream_session(spark: SparkSession, stateful: bool = True) -> SparkSession:
+    """A session for streams: their settings stay out of the caller's. State stores are as many as tasks run at once."""
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
-    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    sj.configure(session)
+    if stateful:
+        session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+        sj.configure(session)
     return session
 
 
@@ -57,17 +59,22 @@ def _when(column: str):
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
 
 
-def _orders(spark, sf) -> DataFrame:
+def _at(rows: DataFrame, time, some: str) -> DataFrame:
+    """Rows whose time fits a condition on ``create_time``, before it is made a text."""
+    return rows.withColumn("create_time", time.cast("timestamp_ntz")).filter(some)
+
+
+def _orders(spark, sf, some: str = "true") -> DataFrame:
     amount = F.col("o_totalprice").cast(schemas.DEC)
-    return table(spark, sf, "orders").select(
+    return _at(table(spark, sf, "orders"), F.col("o_orderdate"), some).select(
         F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("province_id"), F.col("o_orderstatus").alias("order_status"), F.col("o_custkey").alias("user_id"),
         amount.alias("total_amount"), amount.alias("original_total_amount"), F.lit(None).cast(schemas.DEC).alias("feight_fee"), _when("o_orderdate").alias("create_time"),
     )
 
 
-def _details(spark, sf) -> DataFrame:
+def _details(spark, sf, some: str = "true") -> DataFrame:
     price = F.col("l_extendedprice").cast(schemas.DEC)
-    return table(spark, sf, "lineitem").select(
+    return _at(table(spark, sf, "lineitem"), F.col("l_shipdate"), some).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku_id"), F.lit("old").alias("sku_name"),
         price.alias("order_price"), F.col("l_quantity").cast("long").alias("sku_num"), price.alias("split_total_amount"), _when("l_shipdate").alias("create_time"),
     )
@@ -122,9 +129,9 @@ def order_wide_rows_left(spark, sf):
     return _plain(jobs.order_wide(*lines, _dims(spark, sf, "c_custkey % 3 <> 0"), F.lit(AS_OF), "left", "30 days"))
 
 
-def _payments(spark, sf) -> DataFrame:
+def _payments(spark, sf, some: str = "true") -> DataFrame:
     paid = F.col("o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 20).cast("int"))
-    return table(spark, sf, "orders").select(
+    return _at(table(spark, sf, "orders"), paid, some).select(
         (F.col("o_orderkey") + 1_000_000_000).alias("id"), F.col("o_orderkey").alias("order_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey") + 1).alias("user_id"),
         F.floor(F.col("o_totalprice")).cast(schemas.DEC).alias("total_amount"), F.lit("s").alias("subject"), F.lit("1101").alias("payment_type"), F.date_format(paid, "yyyy-MM-dd HH:mm:ss").alias("create_time"),
     )
@@ -477,13 +484,14 @@ def stream_visitor_stats(spark, sf):
     return rows.filter("ar <> 'end'")
 
 
-def _fed_pairs(spark, sf, left: DataFrame, right: DataFrame, start) -> None:
-    """Two topics of rows with ``create_time``, in two appends each; ``start(session, left, right, where)`` runs after each."""
-    where, session = home(spark), stream_session(spark)
+def _fed_pairs(spark, sf, left, right, start) -> None:
+    """Two topics, in two appends each, of what ``left`` and ``right`` give for a condition on ``create_time``;
+    ``start(session, left, right, where)`` runs after each."""
+    where, session = home(spark), stream_session(spark, stateful=False)
     topics_ = Topics(f"{where}/left"), Topics(f"{where}/right")
     for some in _parts(spark, sf, "orders", "o_orderdate", 2, "create_time"):
         for out, rows in zip(topics_, (left, right)):
-            out.put(sinks.encoded(rows.filter(some)).withColumn("topic", F.lit("rows")))
+            out.put(sinks.encoded(rows(some)).withColumn("topic", F.lit("rows")))
         start(session, *[t.read(session, "rows", True) for t in topics_], where)
 
 
@@ -491,7 +499,7 @@ def _fed_pairs(spark, sf, left: DataFrame, right: DataFrame, start) -> None:
 def stream_order_wide(spark, sf):
     """Order and detail streams, joined, started twice, with the dimensions as they are when a batch comes."""
     out = Topics(home(spark))
-    _fed_pairs(spark, sf, _orders(spark, sf), _details(spark, sf), lambda session, orders, details, where: streams.start_order_wide(
+    _fed_pairs(spark, sf, partial(_orders, spark, sf), partial(_details, spark, sf), lambda session, orders, details, where: streams.start_order_wide(
         orders, details, lambda: _dims(session, sf), F.lit(AS_OF), out, f"{where}/ck", slack="30 days").awaitTermination())
     return _plain(out.read(spark, "dwm_order_wide").select(F.from_json("value", schemas.ORDER_WIDE).alias("r")).select("r.*"))
 
@@ -500,8 +508,9 @@ def stream_order_wide(spark, sf):
 def stream_payment_wide(spark, sf):
     """Payment and order streams, joined, started twice."""
     out = Topics(home(spark))
-    wides = jobs.order_pairs(sinks.encoded(_orders(spark, sf)), sinks.encoded(_details(spark, sf)), "30 days")
-    _fed_pairs(spark, sf, _payments(spark, sf), wides, lambda session, payments, orders, where: streams.start_payment_wide(payments, orders, out, f"{where}/ck").awaitTermination())
+    wides = jobs.order_pairs(sinks.encoded(_orders(spark, sf)), sinks.encoded(_details(spark, sf)), "30 days").persist()
+    _fed_pairs(spark, sf, partial(_payments, spark, sf), wides.filter, lambda session, payments, orders, where: streams.start_payment_wide(payments, orders, out, f"{where}/ck").awaitTermination())
+    wides.unpersist()
     own = "payment_id bigint, payment_create_time string, order_create_time string, subject string, payment_type string, callback_time string, "
     made = out.read(spark, "dwm_payment_wide").select(F.from_json("value", own + schemas.ORDER_WIDE).alias("r")).select("r.*")
     looked_up = [c for spec in joins.order_lookups(F.lit(AS_OF)) for c in spec.columns if c != "sku_name"]
@@ -660,5 +669,5 @@ def stream_order_wide_dims(spark, sf):
 
         streams.start_order_wide(orders, details, read_dims, F.lit(AS_OF), out, f"{folder}/ck", slack="30 days").awaitTermination()
 
-    _fed_pairs(spark, sf, _orders(spark, sf), _details(spark, sf), start)
+    _fed_pairs(spark, sf, partial(_orders, spark, sf), partial(_details, spark, sf), start)
     return _plain(out.read(spark, "dwm_order_wide").select(F.from_json("value", schemas.ORDER_WIDE).alias("r")).select("r.*"))

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import age_years, date_part, hour_part, to_ms
 
 
+#: Names the column that is true in rows of a stream's batch and false in those that waited for it.
+FRESH = "_fresh"
+
+
 def interval_join(left: DataFrame, right: DataFrame, on: Column, left_ts: str, right_ts: str, before: str, after: str, lower_exclusive: bool = False, upper_exclusive: bool = False) -> DataFrame:
     """Inner join of rows of one key whose right time is in ``[left - before, left + after]``. The key
     shuffles; the range is part of the join's condition. Streams need watermarks on both sides, and
@@ -21,15 +25,6 @@ def interval_join(left: DataFrame, right: DataFrame, on: Column, left_ts: str, r
     return left.join(right.hint("shuffle_merge"), on & (r > low if lower_exclusive else r >= low) & (r < high if upper_exclusive else r <= high))
 
 
-def with_order_times(orders: DataFrame, zone: str = "+00:00") -> DataFrame:
-    made = F.col("create_time")
-    return orders.withColumns({"create_date": date_part(made), "create_hour": hour_part(made), "create_ts": to_ms(made, zone)})
-
-
-def with_detail_time(details: DataFrame, zone: str = "+00:00") -> DataFrame:
-    return details.withColumn("create_ts", to_ms(F.col("create_time"), zone))
-
-
 _ORDER = ["order_status", "create_time", "create_date", "create_hour", "activity_reduce_amount", "coupon_reduce_amount", "original_total_amount", "feight_fee", "total_amount", "province_id", "user_id"]
 _DETAIL = ["sku_id", "sku_name", "order_price", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount"]
 
@@ -38,14 +33,30 @@ def _marked(rows: DataFrame, ts: str, delay: str | None) -> DataFrame:
     return rows.withWatermark(ts, delay) if delay else rows
 
 
+def _new_pair(left: DataFrame, right: DataFrame) -> Column:
+    """Whether a pair is new: those of two rows that waited were made before."""
+    both = all(FRESH in side.columns for side in (left, right))
+    return F.col(f"l.{FRESH}") | F.col(f"r.{FRESH}") if both else F.lit(True)
+
+
+def timed(rows: DataFrame, ts: str, zone: str = "+00:00") -> DataFrame:
+    """Rows with their ``create_time`` as a timestamp."""
+    return rows.withColumn(ts, F.timestamp_millis(to_ms(F.col("create_time"), zone)))
+
+
 def order_wide(orders: DataFrame, details: DataFrame, slack: str = "5 seconds", delay: str | None = None) -> DataFrame:
     """Orders with their details of nearly the same time. Columns that neither side fills are null.
     Streams need a ``delay`` for their watermarks."""
-    o = _marked(with_order_times(orders).withColumn("o_ts", F.timestamp_millis("create_ts")), "o_ts", delay).alias("o")
-    d = _marked(with_detail_time(details).withColumn("d_ts", F.timestamp_millis("create_ts")), "d_ts", delay).alias("d")
-    rows = interval_join(o, d, F.col("o.id") == F.col("d.order_id"), "o_ts", "d_ts", slack, slack)
+    return order_pairs(_marked(timed(orders, "o_ts"), "o_ts", delay), _marked(timed(details, "d_ts"), "d_ts", delay), slack)
+
+
+def order_pairs(orders: DataFrame, details: DataFrame, slack: str) -> DataFrame:
+    """The same of rows that have their times, ``o_ts`` and ``d_ts``. Parts of texts are cut out of pairs only."""
+    o, d = orders.alias("l"), details.alias("r")
+    rows = interval_join(o, d, (F.col("l.id") == F.col("r.order_id")) & _new_pair(orders, details), "o_ts", "d_ts", slack, slack)
+    made = {"create_date": date_part(F.col("l.create_time")), "create_hour": hour_part(F.col("l.create_time"))}
     unset = [F.lit(None).cast(k).alias(n) for n, k in (("split_feight_fee", "decimal(16,2)"), ("expire_time", "string"), ("operate_time", "string"))]
-    return rows.select(F.col("o.id").alias("order_id"), *[F.col(f"o.{c}") for c in _ORDER], F.col("d.id").alias("detail_id"), *[F.col(f"d.{c}") for c in _DETAIL], *unset)
+    return rows.select(F.col("l.id").alias("order_id"), *[made[c].alias(c) if c in made else F.col(f"l.{c}") for c in _ORDER], F.col("r.id").alias("detail_id"), *[F.col(f"r.{c}") for c in _DETAIL], *unset)
 
 
 def merged_orders(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,12 +68,16 @@ def merged_orders(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def payment_wide(payments: DataFrame, wides: DataFrame, before: str = "15 minutes", after: str = "5 seconds", zone: str = "+00:00", delay: str | None = None) -> DataFrame:
     """Payments with the order rows from ``before`` to ``after`` around them. A payment's value wins
     over the order's of the same name, null or not. Streams need a ``delay`` for their watermarks."""
-    p = _marked(payments.withColumn("p_ts", F.timestamp_millis(to_ms(F.col("create_time"), zone))), "p_ts", delay).alias("p")
-    w = _marked(wides.withColumn("w_ts", F.timestamp_millis(to_ms(F.col("create_time"), zone))), "w_ts", delay).alias("w")
-    rows = interval_join(p, w, F.col("p.order_id") == F.col("w.order_id"), "p_ts", "w_ts", before, after)
-    own = [F.col("p.id").alias("payment_id"), F.col("p.create_time").alias("payment_create_time"), F.col("w.create_time").alias("order_create_time")]
-    same = [c for c in payments.columns if c not in ("id", "create_time")]
-    return rows.select(*own, *[F.col(f"p.{c}") for c in same], *[F.col(f"w.{c}") for c in wides.columns if c not in same and c != "create_time"])
+    return payment_pairs(_marked(timed(payments, "p_ts", zone), "p_ts", delay), _marked(timed(wides, "w_ts", zone), "w_ts", delay), before, after)
+
+
+def payment_pairs(payments: DataFrame, wides: DataFrame, before: str, after: str) -> DataFrame:
+    """The same of rows that have their times, ``p_ts`` and ``w_ts``."""
+    p, w = payments.alias("l"), wides.alias("r")
+    rows = interval_join(p, w, (F.col("l.order_id") == F.col("r.order_id")) & _new_pair(payments, wides), "p_ts", "w_ts", before, after)
+    own = [F.col("l.id").alias("payment_id"), F.col("l.create_time").alias("payment_create_time"), F.col("r.create_time").alias("order_create_time")]
+    same = [c for c in payments.columns if c not in ("id", "create_time", "p_ts", FRESH)]
+    return rows.select(*own, *[F.col(f"l.{c}") for c in same], *[F.col(f"r.{c}") for c in wides.columns if c not in (*same, "create_time", "w_ts", FRESH)])
 
 
 @dataclass(frozen=True)

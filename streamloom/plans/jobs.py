@@ -63,9 +63,19 @@ def base_db(spark: SparkSession, lines: DataFrame, config: DataFrame, out: Topic
 
 def order_pairs(orders: DataFrame, details: DataFrame, slack: str = "5 seconds", delay: str | None = None) -> DataFrame:
     """Order and detail records, joined; ``delay`` bounds the state of streams."""
-    o = apart(orders, F.from_json("value", ORDER_INFO))
-    d = apart(details, F.from_json("value", ORDER_DETAIL))
-    return joins.order_wide(o, d, slack, delay)
+    return joins.order_wide(orders_of(orders), details_of(details), slack, delay)
+
+
+def orders_of(lines: DataFrame) -> DataFrame:
+    return apart(lines, F.from_json("value", ORDER_INFO))
+
+
+def details_of(lines: DataFrame) -> DataFrame:
+    return apart(lines, F.from_json("value", ORDER_DETAIL))
+
+
+def payments_of(lines: DataFrame) -> DataFrame:
+    return apart(lines, F.from_json("value", PAYMENT_INFO))
 
 
 def order_wide(orders: DataFrame, details: DataFrame, dims: dict[str, DataFrame], as_of: Column, how: str = "inner", slack: str = "5 seconds") -> DataFrame:
@@ -74,8 +84,7 @@ def order_wide(orders: DataFrame, details: DataFrame, dims: dict[str, DataFrame]
 
 
 def payment_wide(payments: DataFrame, wides: DataFrame, before: str = "15 minutes", after: str = "5 seconds", delay: str | None = None) -> DataFrame:
-    p = apart(payments, F.from_json("value", PAYMENT_INFO))
-    return joins.payment_wide(p, wides, before, after, delay=delay)
+    return joins.payment_wide(payments_of(payments), wides, before, after, delay=delay)
 
 
 def config_of(changes: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..schemas import ORDER_WIDE
 from ..records import Topics
 from ..sinks import encoded
 from . import stateful
-from .joins import LATE, RISING, windowed_stream
+from .joins import LATE, RISING, start_joined, windowed_stream
 
 
 def _pages(lines: DataFrame) -> DataFrame:
@@ -51,21 +51,19 @@ def start_order_wide(orders: DataFrame, details: DataFrame, read_dims: Callable[
     """Order and detail lines to enriched order records. ``read_dims()`` is called for every batch, so a
     lookup sees the newest rows; it gives tables by name, or a function that reads what a batch's keys need."""
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        if not batch.isEmpty():  # a batch may have come to move the watermark only
-            rows = joins.enrich(batch, read_dims(), joins.order_lookups(as_of), how)
-            out.put(encoded(rows).withColumn("topic", F.lit(topic)), number)
-        batch.unpersist()
+    def write(pairs: DataFrame, number: int) -> None:
+        rows = joins.enrich(pairs, read_dims(), joins.order_lookups(as_of), how)
+        out.put(encoded(rows).withColumn("topic", F.lit(topic)), number)
 
-    pairs = jobs.order_pairs(orders, details, slack, delay)
-    return pairs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+    o, d = joins.timed(jobs.orders_of(orders), "o_ts"), joins.timed(jobs.details_of(details), "d_ts")
+    return start_joined(o, d, "o_ts", "d_ts", slack, slack, lambda a, b: joins.order_pairs(a, b, slack), write, checkpoint, delay, **trigger)
 
 
 def start_payment_wide(payments: DataFrame, wides: DataFrame, out: Topics, checkpoint: str, before: str = "15 minutes", after: str = "5 seconds", delay: str = RISING, topic: str = "dwm_payment_wide", **trigger) -> StreamingQuery:
     """Payment lines and enriched order records to payment records."""
-    w = apart(wides, F.from_json("value", ORDER_WIDE))
-    return out.stream(encoded(jobs.payment_wide(payments, w, before, after, delay)), checkpoint, topic, **trigger)
+    p, w = joins.timed(jobs.payments_of(payments), "p_ts"), joins.timed(apart(wides, F.from_json("value", ORDER_WIDE)), "w_ts")
+    write = lambda pairs, number: out.put(encoded(pairs).withColumn("topic", F.lit(topic)), number)
+    return start_joined(p, w, "p_ts", "w_ts", before, after, lambda a, b: joins.payment_pairs(a, b, before, after), write, checkpoint, delay, **trigger)
 
 
 def start_visitor_stats(pages: DataFrame, unique: DataFrame, jumps: DataFrame, out: Topics, checkpoint: str, width: str = "10 seconds", delay: str = LATE, topic: str = "dws_visitor_stats", **trigger) -> StreamingQuery:

@@ -1,5 +1,6 @@
 """What showed on larger tables only."""
 
+import random
 from types import SimpleNamespace
 
 import duckdb
@@ -7,14 +8,17 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-import streamloom.job_queries  # noqa: F401  adds the jobs
+from streamloom import job_queries, schemas
 from streamloom.catalogue import ORACLE_SQL, QUERIES
 from streamloom.functions import scalars as S
 from streamloom.operators import cdc
 from streamloom.plans import jobs
-from streamloom.sinks import write_topic
+from streamloom.records import Topics
+from streamloom.sinks import encoded, write_topic
 from streamloom.sources.topics import read_topic
+from streamloom.streaming import jobs as streams
 from streamloom.streaming import stateful
+from streamloom.streaming.joins import RISING
 
 
 @pytest.mark.parametrize("name", ["topic_group", "dimension_versions"])
@@ -122,3 +126,38 @@ def test_line_files_are_compressed(spark, tmp_path):
     write_topic(rows, str(tmp_path / "t"))
     assert sum(p.stat().st_size for p in (tmp_path / "t").glob("part-*")) < 20_000 * 60 / 4
     assert read_topic(spark, str(tmp_path / "t")).distinct().count() == 20_000
+
+
+def test_pairs_of_streams_without_state_by_row(spark, tmp_path):
+    """Batches that overlap in time, with late rows and a batch that runs again: the pairs of Spark's own stateful join,
+    while only rows that can still meet another are held."""
+    rng, session = random.Random(7), job_queries.stream_session(spark)
+    topics, own, out = [Topics(str(tmp_path / n)) for n in "pw"], Topics(str(tmp_path / "own")), Topics(str(tmp_path / "out"))
+    ddl = ("id bigint, order_id bigint, create_time string", "order_id bigint, detail_id bigint, create_time string")
+
+    def start():
+        p, w = [t.read(session, "rows", True) for t in topics]
+        wide = S.apart(w, F.from_json("value", schemas.ORDER_WIDE))
+        own.stream(encoded(jobs.payment_wide(p, wide, delay=RISING)), str(tmp_path / "native"), "made").awaitTermination()
+        query = streams.start_payment_wide(p, w, out, str(tmp_path / "ck"), topic="made")
+        query.awaitTermination()
+        return query
+
+    for n in range(3):
+        for topic, columns in zip(topics, ddl):
+            if (n, topic) != (1, topics[1]):  # one batch has one side only
+                rows = [(i, i % 5, f"2024-01-01 {10 + n}:{rng.randrange(60):02}:{rng.randrange(60):02}") for i in range(40)]
+                rows += [(99, 3, "2024-01-01 10:30:00"), (98, None, "2024-01-01 11:00:00"), (97, 3, None)]
+                if topic is topics[1]:
+                    rows = [(b, a, t) for a, b, t in rows]
+                topic.put(encoded(spark.createDataFrame(rows, columns)).withColumn("topic", F.lit("rows")))
+        query = start()
+        assert all(not p["stateOperators"] for p in query.recentProgress)
+    made = [sorted(r.value for r in t.read(spark, "made").collect()) for t in (own, out)]
+    assert made[0] == made[1] and len(made[0]) > 30
+    held = spark.read.parquet(str(tmp_path / "ck/waiting/rows=2"))
+    assert 0 < held.count() < 60  # of 215
+    next((tmp_path / "ck/commits").glob("2")).unlink()  # as if the last batch had been broken off
+    (tmp_path / "ck/commits/.2.crc").unlink(missing_ok=True)
+    start()
+    assert sorted(r.value for r in out.read(spark, "made").collect()) == made[0]
