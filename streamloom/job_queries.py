@@ -508,9 +508,9 @@ def stream_order_wide(spark, sf):
 def stream_payment_wide(spark, sf):
     """Payment and order streams, joined, started twice."""
     out = Topics(home(spark))
-    wides = jobs.order_pairs(sinks.encoded(_orders(spark, sf)), sinks.encoded(_details(spark, sf)), "30 days").persist()
-    _fed_pairs(spark, sf, partial(_payments, spark, sf), wides.filter, lambda session, payments, orders, where: streams.start_payment_wide(payments, orders, out, f"{where}/ck").awaitTermination())
-    wides.unpersist()
+    wides = jobs.order_pairs(sinks.encoded(_orders(spark, sf)), sinks.encoded(_details(spark, sf)), "30 days")
+    wides.write.parquet(made := home(spark))  # both appends are cut from it
+    _fed_pairs(spark, sf, partial(_payments, spark, sf), spark.read.parquet(made).filter, lambda session, payments, orders, where: streams.start_payment_wide(payments, orders, out, f"{where}/ck").awaitTermination())
     own = "payment_id bigint, payment_create_time string, order_create_time string, subject string, payment_type string, callback_time string, "
     made = out.read(spark, "dwm_payment_wide").select(F.from_json("value", own + schemas.ORDER_WIDE).alias("r")).select("r.*")
     looked_up = [c for spec in joins.order_lookups(F.lit(AS_OF)) for c in spec.columns if c != "sku_name"]
